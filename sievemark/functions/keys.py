@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)\s+"
+BLANKS = " \t\r\n\f\u000b\u00a0"
 
 
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, null when nothing is left."""
-    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    return F.when(t != "", t)
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
 
 
 def facility_key(c: Column) -> Column:
@@ -22,17 +21,21 @@ def facility_key(c: Column) -> Column:
 
 def tag_key(c: Column) -> Column:
     """Tag without blanks and leading zeros; a bare number is an F tag."""
-    t = F.upper(F.regexp_replace(c, SPACE, ""))
-    letter, number = F.regexp_extract(t, r"^([A-Z]?)0*(\d+)$", 1), F.regexp_extract(t, r"^([A-Z]?)0*(\d+)$", 2)
-    return F.when(number != "", F.concat(F.when(letter == "", F.lit("F")).otherwise(letter), number)).when(t != "", t)
+    t = F.nullif(F.upper(F.translate(c, BLANKS, "")), F.lit(""))
+    head = F.substring(t, 1, 1)
+    lettered = head.between("A", "Z")
+    number = F.when(lettered, F.substring(t, 2, 1 << 30)).otherwise(t)
+    digits = (number != "") & (F.translate(number, "0123456789", "") == "")
+    bare = F.ltrim(number, F.lit("0"))
+    return F.when(digits, F.concat(F.when(lettered, head).otherwise("F"), F.when(bare == "", "0").otherwise(bare))).otherwise(t)
 
 
 def day_key(c: Column) -> Column:
     """A day written ``yyyy-mm-dd`` or ``mm/dd/yyyy`` as ``yyyy-mm-dd``; impossible days stay comparable text."""
     t = blank_to_null(c)
-    us = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-    month, day, year = (F.regexp_extract(t, us, i) for i in (1, 2, 3))
-    return F.when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))).otherwise(t)
+    part = lambda i: F.split_part(t, F.lit("/"), F.lit(i))
+    us = t.contains("/") & t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
+    return F.when(us, F.concat_ws("-", part(3), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"))).otherwise(t)
 
 
 def grid_key(c: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievemark.functions.keys import day_key, facility_key, grid_key, tag_key
+from sievemark.session import checkpointed
 
 ALWAYS_FROM, FOREVER = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
@@ -59,40 +60,42 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = 1024) -> Dat
         )
         .withColumn("q", _quarter(F.col("valid_from")))
     )
+    # One row for each key and quarter, of references (n_refs) and of rows that can answer (until).
     asked = r.groupBy("ref_table", "key", "q").agg(F.count(F.lit(1)).alias("n_refs"))
     known = p.groupBy("ref_table", "key", "q").agg(F.min("valid_from").alias("first_from"), F.max("valid_to").alias("until"))
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("block", F.pmod(F.xxhash64("ref_table", "key"), F.lit(blocks)).cast("int"))
 
-    block = F.pmod(F.xxhash64("ref_table", "key"), F.lit(blocks)).cast("int")
-    keys = asked.select("ref_table", "key").unionByName(known.select("ref_table", "key")).distinct().withColumn("block", block)
-    entry = F.row_number().over(Window.partitionBy("block").orderBy("ref_table", "key")) - 1
-    words = keys.withColumn("entry", entry).select("ref_table", "key", "block", F.expr("entry div 64").alias("word"), F.expr("entry % 64").cast("int").alias("bit"))
-    bit = F.expr("bit_or(shiftleft(1L, bit))")
+    # The dictionary: a dense number for each key of a block.
+    entry = F.dense_rank().over(Window.partitionBy("block").orderBy("ref_table", "key")) - 1
+    coded = checkpointed(both.withColumn("entry", entry).select("*", F.expr("entry div 64").cast("int").alias("word"), F.expr("entry % 64").cast("int").alias("bit")).drop("entry"))
 
     # A row loaded in quarter q and valid to quarter e answers every reference of the quarters between.
-    span = asked.agg(F.min("q").alias("a"), F.max("q").alias("b")).first()
-    lo, hi = (span["a"], span["b"]) if span and span["a"] is not None else (0, -1)
+    span = coded.where("n_refs is not null").agg(F.min("q").alias("a"), F.max("q").alias("b")).first()
+    lo, hi = (span["a"], span["b"]) if span["a"] is not None else (0, -1)
     start, end = F.greatest(F.col("q") + 1, F.lit(lo)), F.least(_quarter(F.col("until")) - 1, F.lit(hi))
-    whole = known.where(start <= end).select("ref_table", "key", F.explode(F.sequence(start, end)).alias("q"))
-    valid = whole.join(words, ["ref_table", "key"]).groupBy("block", "word", "q").agg(bit.alias("valid_bits"))
-    wanted = asked.join(words, ["ref_table", "key"]).groupBy("block", "word", "q").agg(bit.alias("asked_bits"))
+    whole = coded.where(F.col("until").isNotNull() & (start <= end)).select("block", "word", "bit", F.explode(F.sequence(start, end)).alias("q"), F.lit(False).alias("asks"))
+    bits = coded.where("n_refs is not null").select("block", "word", "bit", "q", F.lit(True).alias("asks")).unionByName(whole)
     left = (
-        wanted.join(valid, ["block", "word", "q"], "left")
-        .select("block", "word", "q", F.expr("asked_bits & ~coalesce(valid_bits, 0L)").alias("bits"))
+        bits.groupBy("block", "word", "q")
+        .agg(F.expr("bit_or(if(asks, shiftleft(1L, bit), 0L)) & ~bit_or(if(asks, 0L, shiftleft(1L, bit)))").alias("bits"))
         .where("bits != 0")
         .select("block", "word", "q", F.explode(F.expr("filter(sequence(0, 63), b -> getbit(bits, b) = 1)")).alias("bit"))
     )
-    open_keys = left.join(words, ["block", "word", "bit"]).select("ref_table", "key", "q")
 
-    # What was known of such a key before the quarter, and its changes inside it. One row a load quarter.
-    before = known.withColumnRenamed("q", "kq")
+    # Decoded: what was known of such a key before the quarter, and whether it changed inside it.
     facts = (
-        open_keys.join(before, ["ref_table", "key"], "left")
-        .groupBy("ref_table", "key", "q")
-        .agg(F.min("first_from").alias("first_from"), F.max(F.when(F.col("kq") < F.col("q"), F.col("until"))).alias("carried"))
-    )
+        left.join(coded.withColumnRenamed("q", "kq"), ["block", "word", "bit"])
+        .groupBy("block", "word", "bit", "q")
+        .agg(
+            F.first("ref_table").alias("ref_table"), F.first("key").alias("key"), F.min("first_from").alias("first_from"),
+            F.max(F.when(F.col("kq") < F.col("q"), F.col("until"))).alias("carried"), F.coalesce(F.bool_or((F.col("kq") == F.col("q")) & F.col("until").isNotNull()), F.lit(False)).alias("changed"),
+        )
+        .drop("block", "word", "bit")
+    )
+    facts = checkpointed(facts)
     changes = (
-        p.groupBy("ref_table", "key", "q", "valid_from").agg(F.max("valid_to").alias("valid_to"))
-        .join(open_keys, ["ref_table", "key", "q"], "left_semi")
+        p.join(facts.where("changed").select("ref_table", "key", "q"), ["ref_table", "key", "q"], "left_semi")
+        .groupBy("ref_table", "key", "q", "valid_from").agg(F.max("valid_to").alias("valid_to"))
         .groupBy("ref_table", "key", "q").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("changes"))
     )
     facts = facts.join(changes, ["ref_table", "key", "q"], "left")
