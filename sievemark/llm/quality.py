@@ -31,7 +31,8 @@ STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "c
 #: Least standard deviation taken for each statistic, so that one that hardly varies in prose does not decide alone.
 LEAST_SD = (1.0, 0.45, 0.03, 0.045, 0.075, 0.035, 0.07, 0.18, 0.18, 0.30)
 
-_LIST = r"^\s*(?:[-*+•·–—◦‣]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)])\s+\S"
+_MARKED = r"^\s*(?:[-*+•·–—◦‣▪●○■□☐☑✓✔→➤]|\[[ xX]?\]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\(?[ivx]{1,4}[.)])\s+\S"
+_BARE = r"^\s*[\p{Lu}\p{N}](?:(?![.!?:;,…]\s*$)[^\n]){1,44}$"  # a short line that begins like an item and ends like none
 _TABLE = (
     r"^\s*(?:"
     r"\|.*\|\s*|[-+=|: ]*[-+=|][-+=|: ]{2,}|"  # ruled rows
@@ -48,6 +49,12 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"\r\n?|[  \u0085]", "\n"), "\n"), lambda x: F.length(F.trim(x)) > 0)
 
 
+def _inline(line: Column) -> Column:
+    """A line that runs through short items: five or more separators, one for every six words at least."""
+    marks = F.regexp_count(line, F.lit(r"[,;|•]\s| / "))
+    return (marks >= 5) & (marks * 6 >= F.regexp_count(line, F.lit(r"\S+")))
+
+
 def _share(words: Column, listed: list[str]) -> Column:
     """Share of an array of words that are in a list."""
     held = F.array(*[F.lit(w) for w in listed])
@@ -73,7 +80,8 @@ def text_statistics(documents: DataFrame, text: str = "text", key: str = "doc_id
         n(r"(?i)[aeiouyáéíóúàèìòùâêîôûäëïöüœæ]").alias("_vowels"),
         F.size("_line").alias("_nl"),
         F.size(F.filter("_line", lambda x: x.rlike(r"[.!?:;…][\"'”’»)\]]*\s*$"))).alias("_ends"),
-        size(F.col("_line")).alias("_chars"), size(F.filter("_line", lambda x: x.rlike(_LIST))).alias("_listed"), size(F.filter("_line", lambda x: x.rlike(_TABLE) & ~x.rlike(_LIST))).alias("_tabled"),
+        size(F.col("_line")).alias("_chars"), size(F.filter("_line", lambda x: x.rlike(_MARKED) | ((x.rlike(_BARE) | _inline(x)) & ~x.rlike(_TABLE)))).alias("_listed"),
+        size(F.filter("_line", lambda x: x.rlike(_TABLE) & ~x.rlike(_MARKED))).alias("_tabled"),
         *[v.alias(f"_{k}") for k, v in shares.items()],
     )
     best = F.greatest(*[F.col(f"_{k}") for k in COMMON_WORDS])
@@ -106,15 +114,17 @@ def _distance(centres: dict[str, tuple[np.ndarray, np.ndarray]], names: tuple[st
             expr = F.when(F.col("language") == k, F.lit(float(v))) if expr is None else expr.when(F.col("language") == k, F.lit(float(v)))
         return expr.otherwise(F.lit(float(value[next(iter(value))])))
 
+    # Shares of a few words scatter: a short document's deviations weigh less.
+    weight = F.col("n_words") / (F.col("n_words") + 8.0)
     diff = [F.col(x) - pick({k: c[i] for k, (c, _) in centres.items()}) for i, x in enumerate(names)]
     out = {}
     for i, x in enumerate(names):
         row = sum((pick({k: p[i, j] for k, (_, p) in centres.items()}) * diff[j] for j in range(len(names))), F.lit(0.0))
-        out[x] = diff[i] * row
+        out[x] = diff[i] * row * weight
     return out
 
 
-def prose_model(stats: DataFrame, names: tuple[str, ...] = STATISTICS, steps: int = 2, cutoff: float = 30.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def prose_model(stats: DataFrame, names: tuple[str, ...] = STATISTICS, steps: int = 2, cutoff: float = 20.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Centre and precision of prose for each language.
 
     Start: medians and interquartile ranges (few languages, one row each). Step: of the documents within
@@ -149,7 +159,7 @@ def prose_model(stats: DataFrame, names: tuple[str, ...] = STATISTICS, steps: in
     return centres
 
 
-def classify_forms(documents: DataFrame, cutoff: float = 30.0, majority: float = 0.5, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def classify_forms(documents: DataFrame, cutoff: float = 20.0, majority: float = 0.5, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Statistics, distance, contributions and form (prose, list, table, junk) of every non-blank document.
 
     ``distance`` is the squared robust Mahalanobis distance from the prose of the document's language,

@@ -5,12 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievemark.llm.chunking import split_oversized
+from sievemark.llm.consensus import annotator_consensus
 from sievemark.llm.decontaminate import find_leaks
+from sievemark.llm.quality import STATISTICS, classify_forms
 from sievemark.llm.tokenize import encode_corpus
 from sievemark.session import table
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return annotator_consensus(table(spark, d, "annotations"))[0].select("doc_id", "field_name", "label")
+
+
+def p6_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return annotator_consensus(table(spark, d, "annotations"))[1]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "corpus")).select("doc_id", "cut").distinct()
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "corpus"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -19,5 +39,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return classify_forms(table(spark, d, "documents")).where("form != 'prose'").select("doc_id", "form").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics, distance and the contribution of each statistic, one column each."""
+    out = classify_forms(table(spark, d, "documents"))
+    return out.select("doc_id", "language", "n_words", "n_chars", *STATISTICS, "distance", *[F.col("contributions")[x].alias(f"due_to_{x}") for x in STATISTICS], "form")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
