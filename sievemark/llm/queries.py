@@ -10,11 +10,37 @@ from pyspark.sql import functions as F
 from sievemark.llm.chunking import split_oversized
 from sievemark.llm.consensus import annotator_consensus
 from sievemark.llm.decontaminate import find_leaks
+from sievemark.llm.pii import find_personal_information, redact
 from sievemark.llm.quality import STATISTICS, classify_forms
+from sievemark.llm.sampling import category_counts, corpus_categories, corpus_rows, draw_samples, sample_report, target_shortfalls
 from sievemark.llm.tokenize import encode_corpus
 from sievemark.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal_information(table(spark, d, "corpus")).select("doc_id", "kind").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "corpus"))
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return category_counts(corpus_categories(table(spark, d, "corpus"), table(spark, d, "extracted")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return target_shortfalls(table(spark, d, "sample_targets"), _counts(spark, d)).where("not met").select("plan_id", "field_name", "category").distinct()
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return draw_samples(corpus_rows(table(spark, d, "corpus"), table(spark, d, "extracted")), table(spark, d, "sample_targets"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return sample_report(p2_sample(spark, d), table(spark, d, "sample_targets"), _counts(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return annotator_consensus(table(spark, d, "annotations"))[0].select("doc_id", "field_name", "label")
 
@@ -49,5 +75,19 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "language", "n_words", "n_chars", *STATISTICS, "distance", *[F.col("contributions")[x].alias(f"due_to_{x}") for x in STATISTICS], "form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sample, p2_report, p6_found, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
+SQL: dict[str, str] = {
+    "p2_found": """
+WITH rows AS (
+  SELECT DISTINCT doc_id, 'state' AS field_name, upper(trim(state)) AS category FROM corpus WHERE trim(state) <> ''
+  UNION ALL SELECT DISTINCT doc_id, 'year', CAST(year AS VARCHAR) FROM corpus WHERE year IS NOT NULL
+  UNION ALL SELECT DISTINCT doc_id, 'technology_type', technology_type FROM extracted WHERE parse_ok AND technology_type IS NOT NULL AND doc_id IN (SELECT doc_id FROM corpus)),
+counts AS (SELECT field_name, category, count(*) AS available FROM rows GROUP BY ALL)
+SELECT DISTINCT t.plan_id, t.field_name, t.category
+FROM sample_targets t LEFT JOIN counts c ON c.field_name = t.field_name AND c.category = t.category
+WHERE coalesce(c.available, 0) < CAST(t.target_share AS DECIMAL(20, 10)) * t.sample_size OR coalesce(c.available, 0) < t.min_rows""",
+    "p7_found": r"""
+WITH long AS (SELECT doc_id, narrative FROM corpus WHERE len(regexp_extract_all(narrative, '\S+')) > 400),
+parts AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(narrative, '([.?!]["\x27”’»)\]}]?)\s+', '\1' || chr(10), 'g'), '[\n\r\v\f]+')) AS part FROM long)
+SELECT doc_id, CASE WHEN max(len(regexp_extract_all(part, '\S+'))) > 400 THEN 'forced' ELSE 'natural' END AS cut FROM parts GROUP BY doc_id""",
+}
