@@ -125,8 +125,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x), F.col(y))
     rx, ry = ranked(x), ranked(y)
     r = base.join(rx, base[x] == rx["_v"]).drop("_v").join(ry, base[y] == ry["_v"]).drop("_v")
-    constant = (F.stddev_pop(f"_r_{x}") == 0) | (F.stddev_pop(f"_r_{y}") == 0)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 2) & ~constant, F.corr(f"_r_{x}", f"_r_{y}")).alias("rho"))
+    spread = F.nullif(F.stddev_pop(f"_r_{x}") * F.stddev_pop(f"_r_{y}"), F.lit(0.0))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, F.try_divide(F.covar_pop(f"_r_{x}", f"_r_{y}"), spread)).alias("rho"))
 
 
 def self_consistency(first: DataFrame, second: DataFrame, fields: list[str]) -> DataFrame:

@@ -50,7 +50,7 @@ def parse_responses(df: DataFrame, response: str = "response", narrative: str |
     error = (
         F.when(F.col("_body").isNull() & looks_like_refusal(F.col(response)), "refusal")
         .when(F.col("_body").isNull(), "no JSON object found")
-        .when(F.col("_v").isNull(), "invalid JSON")
+        .when(F.col("_v").isNull() | ~F.coalesce(F.json_array_length(F.concat(F.lit("["), "_body", F.lit("]"))) == 1, F.lit(False)), "invalid JSON")  # one value and nothing after it
         .when(~F.schema_of_variant("_v").startswith("OBJECT"), "response is not an object")
         .when(F.size("_missing") > 0, F.concat(F.lit("missing keys: "), F.array_join("_missing", ", ")))
         .when(kind("technology_present") != "BOOLEAN", "technology_present not boolean")

@@ -94,9 +94,11 @@ def judge_lines(raw_id: pa.Array, file_name: pa.Array, line_no: pa.Array, raw_li
             read_options=csv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, len(data) + 1)),
             parse_options=csv.ParseOptions(invalid_row_handler=invalid, newlines_in_values=False),
             convert_options=csv.ConvertOptions(column_types={k: pa.string() for k in names}, strings_can_be_null=False),
-        ).combine_chunks()
+        )
     else:
         parsed = pa.table({k: pa.array([], pa.string()) for k in names})
+    # one array for each field: some kernels fail on a column without chunks, which is what all-invalid lines leave
+    parsed = {k: pa.concat_arrays(parsed[k].chunks) if parsed[k].num_chunks else pa.array([], pa.string()) for k in names}
     for i, k in rejected.items():
         reason[i], n_fields[i] = "column_count", k
     at = pc.cast(parsed["_i"], pa.int64())
@@ -105,7 +107,7 @@ def judge_lines(raw_id: pa.Array, file_name: pa.Array, line_no: pa.Array, raw_li
         text = pc.replace_substring(pc.replace_substring(parsed[k], nl, "\n"), cr, "\r")
         cols[k] = pc.utf8_trim_whitespace(text)
     tag = pc.utf8_upper(pc.replace_substring_regex(cols["f_tag"], r"\s", ""))
-    day = _days(cols["survey_date"].combine_chunks() if isinstance(cols["survey_date"], pa.ChunkedArray) else cols["survey_date"])
+    day = _days(cols["survey_date"])
     flag = pc.utf8_lower(cols["is_complaint"])
     good = {
         "ccn": _matches(cols["ccn"], r"\A[A-Za-z0-9]{6}\z"),
@@ -118,7 +120,7 @@ def judge_lines(raw_id: pa.Array, file_name: pa.Array, line_no: pa.Array, raw_li
     }
     places = at.to_pylist()
     for k in reversed(FIELDS):  # the first failing field has the last word
-        for j in pc.indices_nonzero(pc.invert(good[k])).to_pylist():
+        for j in (~good[k].to_numpy(zero_copy_only=False).astype(bool)).nonzero()[0]:
             reason[places[j]], field[places[j]] = "invalid_value", k
     for p in places:
         n_fields[p] = len(FIELDS)
@@ -135,9 +137,7 @@ def judge_lines(raw_id: pa.Array, file_name: pa.Array, line_no: pa.Array, raw_li
     take = pa.array(where, pa.int64())
     out = {"raw_id": raw_id, "file_name": file_name, "line_no": line_no, "reason": reason_a, "failed_field": pa.array(field, pa.string()), "n_fields": pa.array(n_fields, pa.int32()), "raw_line": pc.if_else(pc.is_valid(reason_a), raw_line, pa.scalar(None, pa.string()))}
     for k in FIELDS:
-        column = typed[k]
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        out[k] = column.take(take)
+        out[k] = typed[k].take(take)
     return pa.table(out).cast(_ARROW)
 
 

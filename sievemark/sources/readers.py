@@ -73,7 +73,7 @@ def split_tag_blocks(text: Column) -> Column:
 
 def read_text_reports(spark: SparkSession, path: str, column_map: dict[str, str] | None = None, header: str = REPORT_HEADER) -> DataFrame:
     """Whole reports with a CCN and DATE header and one record for each tag block; a report without header raises."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file_name"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_name"))
     ccn, day = F.regexp_extract("value", header, 1), F.regexp_extract("value", header, 2)
     checked = raw.select(F.when(ccn == "", F.raise_error(F.concat(F.lit("no report header in "), "file_name"))).otherwise(ccn).alias("ccn"), day.alias("survey_date"), "file_name", F.explode(split_tag_blocks(F.col("value"))).alias("b"))
     none = F.lit(None).cast("string")
