@@ -160,7 +160,7 @@ def align(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, i
     n, m = len(item), len(stretch)
     if not n or not m:
         return None
-    cost = 3  # an edit costs as many matches; local optima then hold at most one edit in four words
+    gain, cost = 2, 3  # two matches outweigh an edit, so an edit near an end does not cut the end off
     score = np.zeros(n + 1, np.int64)
     # origin of a path: item place, document place and edits, carried along with the score
     oi, od, ed = np.arange(n + 1), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
@@ -168,7 +168,7 @@ def align(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, i
     penalty = np.arange(n + 1) * cost
     for j in range(m):
         match = item == stretch[j]
-        diag = score[:-1] + np.where(match, 1, -cost)
+        diag = score[:-1] + np.where(match, gain, -cost)
         up = score[1:] - cost
         s = np.zeros(n + 1, np.int64)
         take = diag >= up
@@ -187,7 +187,8 @@ def align(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, i
         noi, nod, ned = np.where(use, noi[source], noi), np.where(use, nod[source], nod), np.where(use, ned[source] + np.arange(n + 1) - source, ned)
         score, oi, od, ed = s, noi, nod, ned
         span = np.arange(n + 1) - oi
-        ok = (score > 0) & (ed * rule.per_edit <= span + rule.per_edit)
+        ended = np.concatenate([[False], match & take]) & ~use  # the stretch ends with a word of the item
+        ok = ended & (score > 0) & (ed * rule.per_edit <= span + rule.per_edit)
         k = int(np.argmax(np.where(ok, span, 0)))
         if ok[k] and span[k] > best[1]:
             best = (int(od[k]), int(span[k]), int(ed[k]), k)

@@ -146,7 +146,8 @@ def train_field(examples: list[tuple[str, list[tuple[str, int, int]]]], min_coun
     lengths = np.array([len(t) for t, _ in rows])
     order = [i for i in range(len(rows)) if lengths[i]]
     n_step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        pace = rate * (1 - 0.92 * epoch / epochs)
         rng.shuffle(order)
         groups = [sorted(order[i : i + 4 * batch], key=lambda j: lengths[j]) for i in range(0, len(order), 4 * batch)]
         for chunk in (g[i : i + batch] for g in groups for i in range(0, len(g), batch)):
@@ -186,7 +187,7 @@ def train_field(examples: list[tuple[str, list[tuple[str, int, int]]]], min_coun
                 g = g / len(chunk) - decay * p * 50
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
-                p += rate * (m[i] / (1 - 0.9**n_step)) / (np.sqrt(v[i] / (1 - 0.99**n_step)) + 1e-8)
+                p += pace * (m[i] / (1 - 0.9**n_step)) / (np.sqrt(v[i] / (1 - 0.99**n_step)) + 1e-8)
     return field
 
 

@@ -42,6 +42,7 @@ _MAILED = "Reply to {E} by Friday, the memo said.|The family had written to {E}
 _PHONED = "They dialed {P} twice and hung up.|On-call line {P} rang without an answer.|Emergency contact {P} had been crossed out.|Voicemails left for {P} were not returned.|The daughter's number, {P}, was missing from the chart.|Tel. {P} was written on tape on the phone.|A note by the bed read: call {P} first.|The responsible party was to be reached at {P}.|Phone: {P}.|Her cell is {P} and she works nights."
 _CARDED = "Face sheet listed {I}, in view of visitors.|Staff read {I} aloud in the hallway.|A copied page with {I} was taped to the wall.|The open binder showed {I}.|The roster printed {I} beside the room.|Transfer form: {I}.|A label with {I} was found in the trash.|The pharmacy bag carried {I}.|A sticker with {I} was on the wheelchair."
 _HOMED = "The resident was discharged to {A} without supplies.|The resident was found walking near {A}.|Mail still went to {A}.|The guardian lives at {A}.|An ambulance had picked the resident up from {A}.|Home address was given as {A}.|Belongings were shipped to {A} by mistake.|A taxi took her to {A} at night.|The resident was seen near {A} after dark.|Staff drove past {A} and turned back.|A cab dropped her at {A} after dark."
+_DISTRACT = "serial {s}|lot {s}|form {f}|Form {f}|model ZX-{h}-{n}|order number {n},{h}|batch {f}|tag F{h}|room {n}|section {g}|invoice {n}|serial number {s}|lot no. {s}|part {f}|policy {f}|unit {n}|device {s}|the Maple Hollow wing|the Elm Unit|the Rose Lane dining area".split("|")
 _HUNG = ["; see {X}.", ", now {X}, per the file.", " - {X}.", " ({X}).", ", {X}."]  # after a plain sentence
 
 _PLAIN = (
@@ -156,7 +157,7 @@ def _address(r: random.Random) -> str:
     text += r.choice(["", "", "", f"\nApt {r.randint(1, 20)}{r.choice('ABC')}", f" Apt {r.randint(1, 20)}{r.choice('ABC')}", f" # {r.randint(1, 60)}", f", Unit {r.randint(1, 60)}"])
     if r.random() < 0.5:
         text += f", {r.choice(_CITY)}" + (f", {r.choice(_STATE)} {_digits(r, 5)}" if r.random() < 0.75 else "")
-    return text.upper() if r.random() < 0.15 else text
+    return text.upper() if r.random() < 0.28 else text
 
 
 def _day(r: random.Random) -> str:
@@ -167,6 +168,8 @@ def _day(r: random.Random) -> str:
 
 def _plain(r: random.Random) -> str:
     text = r.choice(_PLAIN.split("|"))
+    if r.random() < 0.04 and text.endswith("."):
+        text = text[:-1] + r.choice(_HUNG).replace("{X}", r.choice(_DISTRACT))
     staff = lambda: f"{r.choice(['Staff', 'CNA', 'LPN', 'RN', 'Nurse Aide', 'Med Aide', 'Employee', 'Therapist'])} {r.choice('ABCDEFGHIJKLMNOPQRSTUVW')}"
     someone = lambda: r.choice([f"Resident {r.randint(1, 140)}", f"resident {r.randint(1, 140)}", f"Resident #{r.randint(1, 140)}", f"Resident (R) {r.randint(1, 140)}", f"R{r.randint(1, 140)}", "the resident", "The roommate", "A second resident"])
     fill = {
@@ -200,7 +203,7 @@ def labelled_sentences(n: int = 7000, seed: int = 20240601) -> list[tuple[str, l
         if u < 0.45:
             text, mark = before + r.choice([" ", " ", "\n"]) + after, []
         else:
-            slot = r.choices(list(makers), [5, 2, 2, 3, 3])[0]
+            slot = r.choices(list(makers), [6, 2, 3, 4, 4])[0]
             kind, make, carriers = makers[slot]
             value = make(r)
             if slot != "{N}" and r.random() < 0.4:
