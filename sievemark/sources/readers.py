@@ -68,7 +68,7 @@ def split_tag_blocks(text: Column) -> Column:
     mark = "\u0001"
     parts = F.split(F.regexp_replace(text, TAG_BLOCK, mark + "$1" + mark), mark)
     n = F.floor((F.size(parts) - 1) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.upper(F.regexp_replace(F.get(parts, i * 2 + 1), r"\s", "")).alias("f_tag"), F.trim(F.get(parts, i * 2 + 2)).alias("narrative"), i.alias("place")))).otherwise(F.array().cast("array<struct<f_tag:string,narrative:string,place:int>>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.upper(F.regexp_replace(F.get(parts, i * 2 + 1), r"\s", "")).alias("f_tag"), F.regexp_replace(F.get(parts, i * 2 + 2), r"(?U)^\s+|\s+$", "").alias("narrative"), i.alias("place")))).otherwise(F.array().cast("array<struct<f_tag:string,narrative:string,place:int>>"))
 
 
 def read_text_reports(spark: SparkSession, path: str, column_map: dict[str, str] | None = None, header: str = REPORT_HEADER) -> DataFrame:
