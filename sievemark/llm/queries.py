@@ -45,6 +45,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return annotator_consensus(table(spark, d, "annotations"))[0].select("doc_id", "field_name", "label")
 
 
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with their number of votes, weighted support and agreement."""
+    return annotator_consensus(table(spark, d, "annotations"))[0]
+
+
 def p6_reliability(spark: SparkSession, d: str) -> DataFrame:
     return annotator_consensus(table(spark, d, "annotations"))[1]
 
@@ -75,7 +80,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "language", "n_words", "n_chars", *STATISTICS, "distance", *[F.col("contributions")[x].alias(f"due_to_{x}") for x in STATISTICS], "form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sample, p2_report, p6_found, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sample, p2_report, p6_found, p6_consensus, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
 SQL: dict[str, str] = {
     "p2_found": """
 WITH rows AS (
