@@ -75,7 +75,10 @@ def read_text_reports(spark: SparkSession, path: str, column_map: dict[str, str]
     """Whole reports with a CCN and DATE header and one record for each tag block; a report without header raises."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_name"))
     ccn, day = F.regexp_extract("value", header, 1), F.regexp_extract("value", header, 2)
-    checked = raw.select(F.when(ccn == "", F.raise_error(F.concat(F.lit("no report header in "), "file_name"))).otherwise(ccn).alias("ccn"), day.alias("survey_date"), "file_name", F.explode(split_tag_blocks(F.col("value"))).alias("b"))
+    blocks = split_tag_blocks(F.col("value"))
+    # the check sits in the exploded value: a report without tags leaves no row that could raise later
+    guarded = F.when(ccn == "", F.raise_error(F.concat(F.lit("no report header in "), "file_name"))).otherwise(blocks)
+    checked = raw.select(ccn.alias("ccn"), day.alias("survey_date"), "file_name", F.explode(guarded).alias("b"))
     none = F.lit(None).cast("string")
     return checked.select("ccn", "survey_date", F.col("b.f_tag").alias("f_tag"), F.col("b.narrative").alias("narrative"), none.alias("scope_severity"), none.alias("is_complaint"), none.alias("state"), F.col("b.place").cast("bigint").alias("offset"), "file_name")
 
