@@ -144,12 +144,13 @@ class ItemIndex:
             near = counts + np.concatenate([counts[1:], [0]]) + np.concatenate([[0], counts[:-1]])
             done: set[int] = set()
             for d in (near >= min(rule.kept, max(1, len(q) - rule.shingle + 1))).nonzero()[0]:
-                start = max(0, (low + int(d) - 2) * rule.drift)
+                start = (low + int(d) - 2) * rule.drift
                 if start // (4 * rule.drift) in done:
                     continue
                 done.add(start // (4 * rule.drift))
+                start = max(0, start)
                 stretch = s[start : (low + int(d) + 3) * rule.drift + len(q) + len(q) // rule.per_edit + rule.drift]
-                best = align(q, stretch, rule)
+                best = align(q, stretch, rule) or align_windows(q, stretch, rule)
                 if best and best[1] > found.get(int(item[a]), (0, 0, 0))[1]:
                     found[int(item[a])] = (start + best[0], best[1], best[2])
         return [(self.ids[k], *v) for k, v in sorted(found.items())]
@@ -196,6 +197,57 @@ def align(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, i
     return best[:3] if best[1] >= need else None
 
 
+def align_windows(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, int, int] | None:
+    """(place in the stretch, item words covered, edits) of the longest stretch that holds a window of the item within the edit limit, else None.
+
+    ``align`` keeps one path for each cell, so a clean run is lost where it follows a heavily edited part
+    of the same item. Here each cell keeps, for each number of edits, the path that starts first in the
+    item. Window words hidden behind an end of the path count as edits.
+    """
+    n, m = len(item), len(stretch)
+    window = min(rule.min_words, n)
+    need = min(rule.min_words - rule.slack, n)
+    limit = (window + rule.per_edit) // rule.per_edit
+    if n < 1 or m < need - limit:
+        return None
+    never = n + 1
+    places = np.arange(n + 1)
+
+    def search(layers: int) -> tuple[int, int, int] | None:
+        # item place and stretch place at which the path of so many edits began
+        oi = [np.full(n + 1, never) for _ in range(layers + 1)]
+        od = [np.zeros(n + 1, np.int64) for _ in range(layers + 1)]
+        best = (0, 0, 0)
+        for j in range(m):
+            match = item == stretch[j]
+            new_i, new_d = [], []
+            for e in range(layers + 1):
+                gi, gd = np.full(n + 1, never), np.zeros(n + 1, np.int64)
+                gi[1:] = np.where(match, oi[e][:-1], never)
+                gd[1:] = od[e][:-1]
+                if e == 0:  # a path begins with a word of the item
+                    begin = np.concatenate([[False], match]) & (gi == never)
+                    gi, gd = np.where(begin, places - 1, gi), np.where(begin, j, gd)
+                span = np.where(gi == never, 0, places - gi)
+                ok = (span >= need) & ((e + np.maximum(0, window - span)) * rule.per_edit <= np.maximum(span, window) + rule.per_edit)
+                k = int(np.argmax(np.where(ok, span, 0)))  # the path ends here with a word of the item
+                if ok[k] and span[k] > best[1]:
+                    best = (int(gd[k]), int(span[k]), e)
+                if e:
+                    for fi, fd in ((oi[e - 1][:-1], od[e - 1][:-1]), (new_i[e - 1][:-1], new_d[e - 1][:-1])):  # changed, dropped
+                        less = fi < gi[1:]
+                        gi[1:], gd[1:] = np.where(less, fi, gi[1:]), np.where(less, fd, gd[1:])
+                    less = oi[e - 1] < gi  # added
+                    gi, gd = np.where(less, oi[e - 1], gi), np.where(less, od[e - 1], gd)
+                new_i.append(gi)
+                new_d.append(gd)
+            oi, od = new_i, new_d
+        return best if best[1] else None
+
+    found = search(limit)
+    return found and search((n + rule.per_edit) // rule.per_edit)
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule | None = None, block: int = 5000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, item_id, first_word, covered_words, edits of every leak.
 

@@ -53,3 +53,40 @@ def test_short_item_must_be_whole():
     index = ItemIndex([1], ["alpha beta gamma delta epsilon zeta eta theta iota kappa"], LeakRule())
     assert [x[0] for x in index.leaks(words_of("x alpha beta gamma delta epsilon zeta eta theta iota kappa y"))] == [1]
     assert not index.leaks(words_of("x alpha beta gamma delta epsilon y"))
+
+
+def nearest(window, doc):
+    """Edits from the window to the nearest stretch of the document."""
+    row = [0] * (len(doc) + 1)
+    for i, w in enumerate(window):
+        new = [i + 1]
+        for j, x in enumerate(doc):
+            new.append(min(row[j] + (w != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_clean_run_behind_a_paraphrased_part():
+    r = random.Random(5)
+    item = W[:60]
+    index = ItemIndex([1], [" ".join(item)], LeakRule())
+    for run in range(20, 31):
+        for every in (2, 3, 4):
+            before = [f"zz{i}" if i % every == every - 1 else w for i, w in enumerate(item[:30])]
+            after = [f"f{i}" for i in range(20)]
+            assert index.leaks(before + item[30 : 30 + run] + after), (run, every)
+            assert index.leaks(after + item[:run] + [f"zz{i}" if i % every == 0 else w for i, w in enumerate(item[run:])]), (run, every)
+    items = [[r.choice(W) for _ in range(60)] for _ in range(10)]
+    index = ItemIndex(list(range(10)), [" ".join(x) for x in items], LeakRule())
+    held = 0
+    for trial in range(200):
+        k, a = r.randrange(10), r.randrange(10, 36)
+        doc = [f"f{i}" for i in range(r.randrange(6))]
+        for i, w in enumerate(items[k]):
+            u = r.random()
+            rate = 0.02 if a <= i < a + 22 else 0.35
+            doc += [w] if u >= rate else [] if u < rate / 4 else [w, f"y{i}"] if u < rate / 2 else [f"z{i}"]
+        if min(nearest(items[k][i : i + 20], doc) for i in range(41)) <= 2:
+            held += 1
+            assert k in {x[0] for x in index.leaks(doc)}, trial
+    assert held > 100
