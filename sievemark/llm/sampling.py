@@ -59,35 +59,89 @@ def largest_remainder(weights: list[float], total: int, floors: list[int], caps:
     return out
 
 
-def fit_cells(counts: np.ndarray, margins: list[np.ndarray], total: int, rounds: int = 60) -> np.ndarray:
-    """Integer quotas of joint cells whose margins come as close to the wanted ones as the counts allow."""
+def fit_cells(counts: np.ndarray, margins: list[np.ndarray], total: int, rounds: int = 60, floors: list[np.ndarray] | None = None) -> np.ndarray:
+    """Integer quotas of joint cells whose margins come as close to the wanted ones as the counts allow.
+
+    Floors of the categories come before the wanted margins. Where the margins' sums differ, those over
+    the total are fitted in proportion.
+    """
     x = counts.astype(float)
-    if not x.sum() or total <= 0:
+    total = int(min(total, counts.sum()))
+    if total <= 0:
         return np.zeros(counts.shape, np.int64)
     x *= total / x.sum()
     for _ in range(rounds):
         for axis, want in enumerate(margins):
             others = tuple(i for i in range(x.ndim) if i != axis)
             now = x.sum(axis=others)
-            ratio = np.divide(want, now, out=np.zeros_like(now), where=now > 0)
+            ratio = np.divide(want * min(1.0, total / max(1, want.sum())), now, out=np.zeros_like(now), where=now > 0)
             x *= ratio.reshape([-1 if i == axis else 1 for i in range(x.ndim)])
         x = np.minimum(x, counts)
     base = np.floor(x + 1e-9).astype(np.int64)
     room = [want - base.sum(axis=tuple(i for i in range(x.ndim) if i != a)) for a, want in enumerate(margins)]
-    left = int(min(total, counts.sum()) - base.sum())
-    # remainders go to the largest first, at first only where every margin still has room
-    order = np.argsort(-(x - base), axis=None, kind="stable")
-    for strict in (True, False):
-        for flat in order:
-            if left <= 0:
-                break
-            cell = np.unravel_index(flat, x.shape)
-            if base[cell] < counts[cell] and (x[cell] > 0 or not strict) and (not strict or all(room[a][cell[a]] > 0 for a in range(x.ndim))):
-                base[cell] += 1
-                left -= 1
-                for a in range(x.ndim):
-                    room[a][cell[a]] -= 1
-    return base
+    left = total - int(base.sum())
+    # remainders go to the largest first, only where every margin still has room
+    for flat in np.argsort(-(x - base), axis=None, kind="stable"):
+        if left <= 0:
+            break
+        cell = np.unravel_index(flat, x.shape)
+        if base[cell] < counts[cell] and x[cell] > 0 and all(room[a][cell[a]] > 0 for a in range(x.ndim)):
+            base[cell] += 1
+            left -= 1
+            for a in range(x.ndim):
+                room[a][cell[a]] -= 1
+    return repair_cells(base, counts, margins, floors or [np.zeros(len(m), np.int64) for m in margins], total)
+
+
+def repair_cells(base: np.ndarray, counts: np.ndarray, margins: list[np.ndarray], floors: list[np.ndarray], total: int) -> np.ndarray:
+    """Rounded quotas after adding, taking and moving single rows while that brings the margins closer.
+
+    The total comes first, then rows missing to a floor, then rows off a wanted margin. Every step lowers
+    that sum, so it ends.
+    """
+    base, d = base.copy(), base.ndim
+    heavy = 4.0 * d
+    fill = 4 * d * heavy
+
+    def off(a: int, rows: np.ndarray) -> np.ndarray:
+        return heavy * np.maximum(0, floors[a] - rows) + np.abs(margins[a] - rows)
+
+    def spread(parts: list[np.ndarray], axes: list[int], allowed: np.ndarray) -> np.ndarray:
+        out = np.where(allowed, 0.0, -np.inf)
+        for a in axes:
+            out = out + parts[a].reshape([-1 if i == a else 1 for i in range(d)])
+        return out
+
+    subsets = [[a for a in range(d) if s >> a & 1] for s in range((1 << d) - 1, 0, -1)]
+    while True:
+        rows = [base.sum(axis=tuple(i for i in range(d) if i != a)) for a in range(d)]
+        more = [off(a, rows[a]) - off(a, rows[a] + 1) for a in range(d)]
+        less = [off(a, rows[a]) - off(a, rows[a] - 1) for a in range(d)]
+        can_add, can_take = base < counts, base > 0
+        gap = total - int(base.sum())
+        best, step = 1e-9, None
+        if gap:
+            gain = spread(more if gap > 0 else less, subsets[0], can_add if gap > 0 else can_take) + fill
+            k = int(np.argmax(gain))
+            if gain.flat[k] > best:
+                best, step = gain.flat[k], ((k, 1),) if gap > 0 else ((k, -1),)
+        if step is None:
+            # from one cell to another that differs in the given axes and shares the rest
+            for axes in subsets:
+                up, down = spread(more, axes, can_add), spread(less, axes, can_take)
+                gain = up.max(axis=tuple(axes), keepdims=True) + down.max(axis=tuple(axes), keepdims=True)
+                k = int(np.argmax(gain))
+                if gain.flat[k] > best:
+                    at = np.unravel_index(k, gain.shape)
+                    here = np.ones(base.shape, bool)
+                    for a in range(d):
+                        if a not in axes:
+                            here &= (np.arange(base.shape[a]) == at[a]).reshape([-1 if i == a else 1 for i in range(d)])
+                    best, step = gain.flat[k], ((int(np.argmax(np.where(here, up, -np.inf))), 1), (int(np.argmax(np.where(here, down, -np.inf))), -1))
+        if step is None:
+            return base
+        for k, by in step:
+            base.flat[k] += by
 
 
 def category_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,11 +218,12 @@ def draw_samples(rows: DataFrame, targets: DataFrame, key: str = "doc_id", seed:
                 at = tuple(axis[f][r[f]] for f in own)
                 table[at] += r["n"]
                 parts[at].append(r)
-        margins = []
+        margins, floors = [], []
         for a, f in enumerate(own):
             caps = table.sum(axis=tuple(i for i in range(table.ndim) if i != a)).tolist()
             margins.append(np.array(largest_remainder([s for _, s, _ in p["fields"][f]], p["size"], [m for _, _, m in p["fields"][f]], caps)))
-        quota = fit_cells(table, margins, min(p["size"], *(int(m.sum()) for m in margins)))
+            floors.append(np.array([min(m, c) for (_, _, m), c in zip(p["fields"][f], caps)]))
+        quota = fit_cells(table, margins, min(p["size"], *(int(m.sum()) for m in margins)), floors=floors)
         for at, q in np.ndenumerate(quota):
             if q:
                 quotas.append((plan, *(p["fields"][f][at[own.index(f)]][0] if f in own else None for f in fields), int(q), int(table[at])))
@@ -184,10 +239,27 @@ def draw_samples(rows: DataFrame, targets: DataFrame, key: str = "doc_id", seed:
 
 
 def sample_report(sample: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each target with available, wanted, drawn and drawn_share, and whether the data could meet it."""
+    """Each target with available, wanted, drawn and drawn_share, whether the data could meet it and whether the sample does.
+
+    ``quota`` is what its field alone would get (largest remainder with floors and caps);
+    ``drawn_missing`` is how far the sample falls short of the quota or the minimum, whichever is more,
+    and ``drawn_met`` says that it does not.
+    """
     fields = [c for c in sample.columns if c not in ("plan_id", "doc_id")]
     per = sample.select("plan_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("category")) for f in fields])).alias("p")).groupBy("plan_id", "p.field_name", "p.category").agg(F.count(F.lit(1)).alias("drawn"))
     size = sample.groupBy("plan_id").agg(F.count(F.lit(1)).alias("drawn_rows"))
     short = target_shortfalls(targets, counts)
-    out = short.join(per, ["plan_id", "field_name", "category"], "left").join(size, "plan_id", "left")
-    return out.withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint"))).withColumn("drawn_share", F.try_divide("drawn", "drawn_rows")).drop("drawn_rows")
+    margins: dict[tuple, list] = defaultdict(list)
+    for r in short.where("plan_id is not null and category is not null").orderBy("plan_id", "field_name", "category").collect():
+        margins[r["plan_id"], r["field_name"], r["sample_size"] or 0].append(r)
+    quotas = []
+    for (plan, field, total), rows in margins.items():
+        quota = largest_remainder([r["target_share"] or 0.0 for r in rows], total, [r["min_rows"] or 0 for r in rows], [r["available"] for r in rows])
+        quotas += [(plan, field, r["category"], int(q)) for r, q in zip(rows, quota)]
+    quota = sample.sparkSession.createDataFrame(quotas, "plan_id int, field_name string, category string, quota bigint")
+    on = ["plan_id", "field_name", "category"]
+    out = short.join(per, on, "left").join(F.broadcast(quota), on, "left").join(size, "plan_id", "left")
+    zero = F.lit(0).cast("bigint")
+    out = out.withColumn("drawn", F.coalesce("drawn", zero)).withColumn("quota", F.coalesce("quota", zero)).withColumn("drawn_share", F.try_divide("drawn", "drawn_rows")).drop("drawn_rows")
+    missing = F.greatest(F.col("quota") - F.col("drawn"), F.coalesce("min_rows", F.lit(0)) - F.col("drawn"), zero)
+    return out.withColumn("drawn_missing", missing.cast("bigint")).withColumn("drawn_met", F.col("drawn_missing") == 0)

@@ -59,3 +59,29 @@ def test_edges(spark):
     s = draw_samples(rows, targets).collect()
     assert sorted((r["plan_id"], r["state"]) for r in s if r["plan_id"] == 1) == [(1, "CA")] * 4 + [(1, "TX")] * 6
     assert draw_samples(rows, targets.limit(0)).count() == 0 and draw_samples(rows.limit(0), targets).count() == 0
+
+
+def test_floors_survive_rounding():
+    r = np.random.default_rng(4)
+    counts = r.poisson(np.outer(np.outer(r.gamma(0.7, 1, 40), r.gamma(1, 1, 10)), r.gamma(1, 1, 11)).reshape(40, 10, 11) * 6)
+    margins, floors = [], []
+    for a in range(3):
+        caps = counts.sum(axis=tuple(i for i in range(3) if i != a))
+        least = np.minimum(caps, [20, 20, 20][a])
+        floors.append(least)
+        margins.append(np.array(largest_remainder(caps.tolist(), 1000, least.tolist(), caps.tolist())))
+    q = fit_cells(counts, margins, 1000, floors=floors)
+    assert q.sum() == 1000 and (q <= counts).all() and (q >= 0).all()
+    for a in range(3):
+        assert (q.sum(axis=tuple(i for i in range(3) if i != a)) >= floors[a]).all(), a
+    # sums of margins that differ: no more than the total, and the other field keeps its floors
+    q = fit_cells(np.full((3, 2), 50), [np.array([3, 7]).repeat([1, 2]), np.array([30, 30])], 10, floors=[np.array([3, 3, 3]), np.array([30, 30])])
+    assert q.sum() == 10 and (q.sum(1) >= 3).all()
+
+
+def test_report_names_what_the_sample_misses(spark):
+    targets = spark.createDataFrame([(1, 4, "state", "TX", 0.5, 2), (1, 4, "state", "CA", 0.5, 2), (1, 4, "year", "2020", 1.0, 4)], "plan_id int, sample_size int, field_name string, category string, target_share double, min_rows int")
+    rows = spark.createDataFrame([(f"t{i}", "TX", "2020") for i in range(9)] + [(f"c{i}", "CA", "2021") for i in range(9)], "doc_id string, state string, year string")
+    counts = category_counts(rows.selectExpr("doc_id", "stack(2, 'state', state, 'year', year) as (field_name, category)"))
+    rep = {r["category"]: (r["met"], r["quota"], r["drawn"], r["drawn_missing"], r["drawn_met"]) for r in sample_report(draw_samples(rows, targets), targets, counts).collect()}
+    assert rep["CA"] == (True, 2, 0, 2, False) and rep["TX"][3:] == (0, True)
