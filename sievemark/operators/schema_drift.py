@@ -10,6 +10,8 @@ kept as text and named in ``failed_casts``.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -64,6 +66,37 @@ def path_values(records: DataFrame) -> DataFrame:
     return opened.select("feed", "file_name", "released_at", "position", snake_name(F.col("key")).alias("field"), raw.alias("raw_type"), F.expr("try_variant_get(value, '$', 'string')").alias("value_text"))
 
 
+def _inner(field: str, text: str | None) -> list[tuple[str, str, str | None]]:
+    """Path, raw type and text of everything inside an object or array; elements of an array share the path ``field[]``."""
+    out: list[tuple[str, str, str | None]] = []
+    todo = [(field, json.loads(text))] if text else []
+    while todo:
+        path, value = todo.pop()
+        pairs = [(f"{path}.{re.sub(r'\s', '_', k.strip().lower())}", v) for k, v in value.items()] if isinstance(value, dict) else [(f"{path}[]", v) for v in value]
+        for name, v in pairs:
+            if isinstance(v, dict | list):
+                out.append((name, "object" if isinstance(v, dict) else "array", json.dumps(v, ensure_ascii=False)))
+                todo.append((name, v))
+            elif v is None:
+                out.append((name, "null", None))
+            else:
+                out.append((name, "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number", v if isinstance(v, str) else json.dumps(v)))
+    return out
+
+
+def path_statistics(records: DataFrame) -> DataFrame:
+    """Counts by feed, file, path and raw type, with the paths inside objects and arrays at any depth.
+
+    Changes of a schema are about the keys of a record (``field_statistics``); here a value that became
+    an object has its inner paths too (``scope_severity.severity``).
+    """
+    flat = F.udf(_inner, "array<struct<field: string, raw_type: string, value_text: string>>")
+    pairs = path_values(records)
+    nested = pairs.where(F.col("raw_type").isin("object", "array")).select("feed", "file_name", F.explode(flat("field", "value_text")).alias("p")).select("feed", "file_name", "p.field", "p.raw_type")
+    every = pairs.select("feed", "file_name", "field", "raw_type").unionByName(nested)
+    return every.groupBy("feed", "file_name", F.col("field").alias("path"), "raw_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def field_statistics(records: DataFrame) -> DataFrame:
     """Counts by feed, file, field, raw type and content shape; field null counts the file's records."""
     pairs = path_values(records)
@@ -164,9 +197,29 @@ FIELD_ALIASES = {
 }
 
 
+#: What a text field's values look like, blanks around them ignored; others are failed casts. Lost zeros and a lost F are no faults.
+FORMS = {"ccn": r"^[0-9A-Za-z]{1,6}$", "f_tag": r"^[FfKk]?\s*\d{1,4}$", "scope_severity": r"^[A-La-l]$", "state": r"^[A-Za-z]{2}$"}
+
+
+def _text_value(name: str, text: Column, nested: Column) -> Column:
+    """The value of a text field, null where it is an object, an array or not of the field's form. A grid cell given as an object becomes its letter."""
+    nested = F.coalesce(nested, F.lit(False))
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    fits = F.when(~nested & bare.rlike(FORMS[name]) if name in FORMS else ~nested, text)
+    if name != "scope_severity":
+        return fits
+    level, scope = (F.get_json_object(text, f"$.{k}") for k in ("severity", "scope"))
+    cell = F.when(nested & level.rlike("^[1-4]$") & scope.rlike("^[1-3]$"), F.char(F.lit(61) + 3 * level.cast("int") + scope.cast("int")))
+    return F.coalesce(fits, cell)
+
+
 def _first_value(entries: Column | str, key: Column) -> Column:
     """First non-null value of a key in an array of key/value structs."""
-    return F.get(F.filter(entries, lambda e: (e["key"] == key) & e["value"].isNotNull()), F.lit(0))["value"]
+    return _first_entry(entries, key)["value"]
+
+
+def _first_entry(entries: Column | str, key: Column) -> Column:
+    return F.get(F.filter(entries, lambda e: (e["key"] == key) & e["value"].isNotNull()), F.lit(0))
 
 
 def unified_records(records: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
@@ -185,9 +238,10 @@ def unified_records(records: DataFrame, aliases: dict[str, list[str]] | None = N
     v = F.try_parse_json("payload")
     # One map for a record: normalised key -> text. Keys that become equal: the first one counts.
     raw = F.expr("from_json(payload, 'map<string,string>')")
-    base = records.select("feed", "file_name", "released_at", "position", "payload", F.when(F.schema_of_variant(v).startswith("OBJECT"), raw).alias("raw"))
+    nested = F.expr("transform(map_values(from_json(payload, 'map<string,variant>')), x -> schema_of_variant(x) rlike '^(OBJECT|ARRAY)')")
+    base = records.select("feed", "file_name", "released_at", "position", "payload", F.when(F.schema_of_variant(v).startswith("OBJECT"), raw).alias("raw"), nested.alias("nested"))
     joined = base.join(by_file, ["feed", "file_name"], "left")
-    entries = F.transform(F.map_entries("raw"), lambda e: F.struct(F.coalesce(F.element_at("columns", snake_name(e["key"])), snake_name(e["key"])).alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.map_entries("raw"), lambda e, i: F.struct(F.coalesce(F.element_at("columns", snake_name(e["key"])), snake_name(e["key"])).alias("key"), e["value"].alias("value"), F.get("nested", i).alias("nested")))
     opened = joined.withColumn("entries", entries)
     typed, failed = [], []
     for name, kind in REFERENCE_FIELDS.items():
@@ -198,10 +252,9 @@ def unified_records(records: DataFrame, aliases: dict[str, list[str]] | None = N
         elif kind == "date":
             value = F.coalesce(F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(text, F.lit("M/d/yyyy"))))
         else:
-            value = text
+            value = _text_value(name, text, _first_entry("entries", F.lit(name))["nested"])
         typed.append(value.alias(name))
-        if kind != "string":
-            failed.append(F.when(text.isNotNull() & (t != "") & value.isNull(), F.struct(F.lit(name).alias("column"), text.alias("value"))))
+        failed.append(F.when(text.isNotNull() & (t != "") & value.isNull(), F.struct(F.lit(name).alias("column"), text.alias("value"))))
     failed.append(F.when(F.col("raw").isNull(), F.struct(F.lit("payload").alias("column"), F.col("payload").alias("value"))))
     rest = F.filter("entries", lambda e: ~e["key"].isin(*REFERENCE_FIELDS))
     names = F.array_distinct(F.transform(rest, lambda e: e["key"]))

@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from sievemark.operators.schema_drift import schema_changes, schema_history, unified_records
+from sievemark.operators.schema_drift import path_statistics, schema_changes, schema_history, unified_records
 
 SCHEMA = "feed string, file_name string, released_at timestamp_ntz, position int, payload string, loaded_at timestamp_ntz, field string, n int"
 
@@ -60,3 +60,19 @@ def test_unified_types(spark):
     bad = next(r for r in u if r["file_name"] == "file_2" and r["position"] == 0)
     assert {(x["column"], x["value"]) for x in bad["failed_casts"]} == {("is_complaint", "maybe"), ("survey_date", "7")}
     assert u[0]["extra"] == {"note": "x"}
+
+
+def test_text_columns_name_what_does_not_fit(spark):
+    ok = {"ccn": "01500A", "f_tag": "f 689", "scope_severity": " d ", "state": "tx", "narrative": "[1] fell"}
+    cell = {**ok, "scope_severity": {"severity": 2, "scope": 1}}
+    bad = {"ccn": "unknown", "f_tag": ["F689"], "scope_severity": {"severity": 9, "scope": 1}, "state": 7, "narrative": {"text": "x"}}
+    u = {r["position"]: r for r in unified_records(files(spark, [ok, cell, bad, {**ok, "scope_severity": 3}, {**ok, "scope_severity": ""}])).collect()}
+    assert not u[0]["failed_casts"] and u[0]["scope_severity"] == " d " and u[0]["narrative"] == "[1] fell"
+    assert u[1]["scope_severity"] == "D" and not u[1]["failed_casts"]
+    assert {x["column"] for x in u[2]["failed_casts"]} == set(bad) and all(u[2][k] is None for k in bad)
+    assert [tuple(x) for x in u[3]["failed_casts"]] == [("scope_severity", "3")] and not u[4]["failed_casts"]
+
+
+def test_inner_paths(spark):
+    got = {(r["path"], r["raw_type"]): r["n"] for r in path_statistics(files(spark, [{"ss": {"Severity": 2, "a": [{"b": None}, "x"]}}, {"ss": "D"}])).collect()}
+    assert got == {("ss", "object"): 1, ("ss", "string"): 1, ("ss.severity", "number"): 1, ("ss.a", "array"): 1, ("ss.a[]", "object"): 1, ("ss.a[]", "string"): 1, ("ss.a[].b", "null"): 1}
