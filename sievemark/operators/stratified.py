@@ -30,8 +30,8 @@ def stratified_sample(corpus: DataFrame, n: int, seed: int, floors: dict[float,
     """``n`` rows (all when there are fewer), with sampling_weight N_h / n_h of their severity level.
 
     Order inside a cell is a hash of id and seed, so the draw does not depend on partitioning; cells
-    are (severity level, year) and only their counts come to the driver. Trimming and topping up to n
-    are uniform. Unknown severity is a level of its own (-1).
+    are (severity level, year) and only their counts come to the driver. Trimming to n is
+    uniform over the takes; topping up is in proportion to what each cell has left. Unknown severity is a level of its own (-1).
     """
     level = F.coalesce("severity_level", F.lit(-1.0)) if "severity_level" in corpus.columns else F.lit(-1.0)
     c = corpus.withColumn("_level", level).withColumn("_year", F.coalesce(F.col("year"), F.lit(-1)).cast("int") if "year" in corpus.columns else F.lit(-1))
@@ -50,8 +50,11 @@ def stratified_sample(corpus: DataFrame, n: int, seed: int, floors: dict[float,
     # far more keys than a cell needs are dropped before ranking; the surplus also serves the top-up
     near = base.where(F.col("_key") <= (F.col("take") + 8 * F.sqrt("take") + 60 + 0.05 * n) / F.col("cell_n"))
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_level", "_year").orderBy("_key", "doc_id")))
-    # first the cells' own takes, then others, both in key order: the first n are the trimmed and topped-up sample
-    chosen = ranked.orderBy((F.col("_rank") > F.col("take")).cast("int"), "_key", "doc_id").limit(n)
+    # first the cells' own takes by a second, independent hash, so that a trim falls on all alike; then others,
+    # uniformly: given the takes, the rows left of a cell have keys spread over the rest of the unit interval
+    taken = F.col("_rank") <= F.col("take")
+    second = F.pmod(F.xxhash64(F.lit(seed), F.lit("trim"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    chosen = ranked.orderBy((~taken).cast("int"), F.when(taken, second).otherwise((F.col("_rank") - F.col("take") - 1 + second) / (F.col("cell_n") - F.col("take"))), "doc_id").limit(n)
     realised = Window.partitionBy("_level")
     sized = corpus.sparkSession.createDataFrame([(k, v) for k, v in sizes.items()], "_level double, level_n bigint")
     out = chosen.withColumn("_n", F.count(F.lit(1)).over(realised)).join(F.broadcast(sized), "_level")

@@ -143,6 +143,13 @@ def test_stratified(spark, data):
     assert stratified.stratified_sample(c.limit(0), 5, 1).count() == 0 and stratified.stratified_sample(c, 10**6, 1).count() == c.count()
 
 
+def test_stratified_trim_is_uniform(spark):
+    # 20 years a level: every cell takes one at least, so 40 takes are trimmed to 30
+    c = spark.range(2200).selectExpr("concat('d', id) as doc_id", "if(id < 40, 4.0D, 2.0D) as severity_level", "id % 20 as year")
+    kept = [sum(r["severity_level"] == 4 for r in stratified.stratified_sample(c, 30, seed, {4.0: 10}).collect()) for seed in range(8)]
+    assert 11 <= sum(kept) / len(kept) <= 19, kept  # half of 30; by key, the densely taken level lost nearly all
+
+
 def test_agreement(spark):
     rows = [(True, True)] * 4 + [(True, False)] * 2 + [(False, True)] + [(False, False)] * 3 + [(None, False)]
     d = spark.createDataFrame(rows, "g boolean, p boolean")
