@@ -80,7 +80,7 @@ def run_validate(r: Run) -> dict:
     rho = agreement.spearman(agreement.facility_rates(keyed, "v1", "model_present", "ccn", cfg.get("min_facility_docs", 5)), "rate_a", "rate_b").first()
     out["model_sensitivity"] = {"facility_rho": rho["rho"], "n_facilities": rho["n"]}
     audited = labelled.join(r.tables["corpus"].select("doc_id", "severity_level", "n_tokens", "certified_beds"), "doc_id")
-    audit, _ = optional_check(lambda: stats.error_audit(audited, F.col("gold_present") != F.col("model_present"), ["severity_level", "n_tokens", "certified_beds"], 60, r.seed).collect())
+    audit, _ = optional_check(lambda: stats.error_audit(audited, F.col("gold_present") != F.col("model_present"), ["severity_level", "n_tokens", "certified_beds"], n, r.seed).collect())
     out["differential_error"] = None if audit is None else {"flagged": [x["covariate"] for x in audit if x["flagged"]]}
     return out
 

@@ -520,7 +520,7 @@ def alpha_pairs(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def alpha_bootstrap_q(spark, d):  # noqa: ANN001, ANN201
-    b = reliability.alpha_bootstrap(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int")), "nominal", 2000, 0.8, 11)
+    b = reliability.alpha_bootstrap(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int")), "nominal", 10_000, 0.8, 11)
     return spark.createDataFrame([(b["point"], b["lo"], b["hi"], b["q"], b["n_pairs"])], "point double, lo double, hi double, q double, n_pairs bigint")
 
 
@@ -552,7 +552,7 @@ def matched_severity(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def equity_coefficients(spark, d):  # noqa: ANN001, ANN201
-    return stats.equity_model(frame(spark, d), ["severity_level", "n_tokens"], F.col("illegible"), n_boot=200, seed=5)
+    return stats.equity_model(frame(spark, d), ["severity_level", "n_tokens"], F.col("illegible"), n_boot=500, seed=5)
 
 
 @query()
@@ -579,7 +579,7 @@ def corrected_prevalence(spark, d):  # noqa: ANN001, ANN201
 @query()
 def error_audit(spark, d):  # noqa: ANN001, ANN201
     rows = gold(spark, d).join(model(spark, d), "doc_id").join(table(spark, d, "corpus").select("doc_id", "severity_level", "certified_beds"), "doc_id")
-    return stats.error_audit(rows, F.col("gold") != F.col("pred"), ["severity_level", "certified_beds"], 60, 3)
+    return stats.error_audit(rows, F.col("gold") != F.col("pred"), ["severity_level", "certified_beds"], 1000, 3)
 
 
 # --- diffusion ---------------------------------------------------------------------------------------
@@ -626,13 +626,13 @@ def diffusion_fits(spark, d):  # noqa: ANN001, ANN201
 @query()
 def scenario_projection(spark, d):  # noqa: ANN001, ANN201
     t, y = _series(spark, d)
-    return forecast.project(spark, forecast.fit_series("logistic", t, y), t, y, list(forecast.SCENARIOS.values()), 12, 40, seed=2)
+    return forecast.project(spark, forecast.fit_series("logistic", t, y), t, y, list(forecast.SCENARIOS.values()), 12, 200, seed=2)
 
 
 @query()
 def prediction_intervals(spark, d):  # noqa: ANN001, ANN201
     t, y = _series(spark, d)
-    return forecast.prediction_intervals(spark, forecast.fit_series("logistic", t, y), t, y, 8, 40, seed=2)
+    return forecast.prediction_intervals(spark, forecast.fit_series("logistic", t, y), t, y, 8, 200, seed=2)
 
 
 @query()
@@ -686,7 +686,7 @@ def free_text_scan(spark, d):  # noqa: ANN001, ANN201
 @query()
 def gate_checks(spark, d):  # noqa: ANN001, ANN201
     c = _cells(spark, d).first().asDict()
-    boot = reliability.alpha_bootstrap(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int")), "nominal", 1000, 0.8, 11)
+    boot = reliability.alpha_bootstrap(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int")), "nominal", 10_000, 0.8, 11)
     cells = {k: c[k] for k in ("tp", "fp", "fn", "tn")}
     spread = agreement.prompt_sensitivity(_variants(spark, d), ["v1", "v2", "v3"]).first()["prevalence_spread"]
     rho = agreement.spearman(agreement.facility_rates(_variants(spark, d), "v2", "v3"), "rate_a", "rate_b").first()["rho"]
