@@ -1,21 +1,23 @@
 """Evaluation passages that leaked into training text.
 
-Prefix-filtered set join of word shingles. All shingles of the items are ordered by rarity; a window
-of as many words as a leak needs, with as many edits as a leak may have, keeps at least ``kept`` of its
-shingles, so it shares one of its rarest ``window - kept + 1`` (its prefix). Documents are probed with
-prefix shingles only. A hit names an item and a diagonal (document place minus item place); the
-positional bound asks for ``kept`` shingles in one narrow band of diagonals over an item-sized stretch,
-the length bound drops documents too short to hold a leak. What is left is verified by local alignment
-of the item with that stretch.
-
-The item index goes to the tasks in blocks of a fixed number of items, so what is broadcast is bounded
-whatever the number of items; documents are never shuffled.
+Prefix-filtered set join of word shingles. A leak holds a window of ``min_words`` words of an item (a
+shorter item: all of it) with a bounded number of edits, so a known number of the window's shingles
+survives. With the shingles ordered by rarity, a window therefore shares at least one of its rarest ones
+(its prefix) with the document, however the edits fall.
+
+* Items become postings of shingles once, in parallel. Two bitmaps of a bounded size (all shingles, prefix
+  shingles) are all that is broadcast, whatever the number of items.
+* One pass over the documents, whatever the number of items. Length bound: shorter documents hold no
+  window. Count bound: enough known shingles within a window's reach. Prefix shingles at such places are
+  the document's keys; documents without any end here.
+* Keys and prefix postings meet in an equi-join. Where the postings are more than a checked number it is a
+  shuffle join with salted keys, so a stock phrase in a third of all documents is spread.
+* A hit names an item and a diagonal (positional bound): the stretch of the document and the part of the
+  item around it are cut out and aligned, many pairs side by side.
 """
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,269 +26,290 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DROP = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF], None)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
-_THOUSANDS = re.compile(r"(?<=\d),(?=\d{3})")
-_WORD = re.compile(r"[^\W_]+")
+from sievemark.llm.words import shingles, small_batches, word_codes
+from sievemark.session import checkpointed
 
-
-def words_of(text: str | None) -> list[str]:
-    """Words without case, punctuation, spacing and markup."""
-    if not text:
-        return []
-    t = text.translate(_DROP)
-    if "<" in t:
-        t = _TAG.sub(" ", t)
-    if "&" in t:
-        t = html.unescape(t)
-    return _WORD.findall(_THOUSANDS.sub("", t).lower().replace("'", "").replace("’", ""))
+BITS_PER_KEY, PROBES, MOST_BITS = 64, 4, 1 << 27
+BAND, BLOCK = 16, 128  #: width of a band of diagonals; item words that one alignment looks at, besides its margins
 
 
 @dataclass(frozen=True)
 class LeakRule:
-    """What counts as a leak: so many consecutive words with at most one edit in ``per_edit``."""
+    """What counts as a leak: so many consecutive words of an item, or all of a shorter one, with one edit in ``per_edit`` words (rounded to the nearest).
+
+    A match begins and ends with two words of the item as they stand. Words of the window beyond its ends
+    count as edits too, but only beside edits inside, at most two for each: an unedited quotation must
+    have all the words, while one that was edited may have been edited at its ends as well.
+    """
 
     min_words: int = 20
     per_edit: int = 8
-    shingle: int = 3
-    slack: int = 2  #: words that edits at the ends of a leak can hide
-    drift: int = 4  #: how far dropped and added words may move the diagonal
-
-    @property
-    def edits(self) -> int:
-        return -(-self.min_words // self.per_edit)
-
-    @property
-    def kept(self) -> int:
-        """Shingles that surely survive in a window."""
-        return max(1, self.min_words - self.shingle + 1 - self.edits * self.shingle - self.slack)
-
-    @property
-    def prefix(self) -> int:
-        return self.min_words - self.shingle + 1 - self.kept + 1
-
-
-class ItemIndex:
-    """Shingles of a block of items: all of them for counting, the prefixes for probing."""
-
-    def __init__(self, ids: list[int], passages: list[str], rule: LeakRule) -> None:
-        self.rule, self.ids = rule, ids
-        seqs = [words_of(p) for p in passages]
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for s in seqs for w in s}))}
-        self.base = len(self.vocab) + 1
-        self.seqs = [np.array([self.vocab[w] for w in s], np.int64) for s in seqs]
-        codes, item, place = [], [], []
-        for k, s in enumerate(self.seqs):
-            c = self.shingles(s)
-            codes.append(c)
-            item.append(np.full(len(c), k))
-            place.append(np.arange(len(c)))
-        c, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, item, place))
-        order = np.argsort(c, kind="stable")
-        self.codes, self.item, self.place = c[order], self.item[order], self.place[order]
-        distinct, n = np.unique(self.codes, return_counts=True)
-        rarity = dict(zip(distinct.tolist(), n.tolist()))
-        keep: set[int] = set()
-        width = rule.min_words - rule.shingle + 1
-        for row in codes:
-            ranked = sorted(((rarity[x], x) for x in row.tolist())) if len(row) <= width else None
-            if ranked is not None:  # an item shorter than a window must be held whole
-                keep.update(x for _, x in ranked[: rule.prefix])
-                continue
-            values = row.tolist()
-            for i in range(len(values) - width + 1):
-                keep.update(x for _, x in sorted((rarity[x], x) for x in values[i : i + width])[: rule.prefix])
-        self.probe = np.array(sorted(keep), np.int64)
-        self.starts = np.searchsorted(self.codes, distinct)
-        self.distinct, self.counts = distinct, n
-
-    def shingles(self, s: np.ndarray) -> np.ndarray:
-        k = self.rule.shingle
-        if len(s) < k:
-            return np.zeros(0, np.int64)
-        c = np.zeros(len(s) - k + 1, np.int64)
-        known = np.ones(len(c), bool)
-        for j in range(k):
-            part = s[j : len(c) + j]
-            c = c * self.base + part
-            known &= part > 0
-        return np.where(known, c, -1)
-
-    def leaks(self, words: list[str]) -> list[tuple[int, int, int, int]]:
-        """(item id, first word, matched words, edits) of the best stretch of each item that leaked."""
-        rule = self.rule
-        if len(words) < rule.shingle or not len(self.codes):
-            return []
-        get = self.vocab.get
-        s = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        c = self.shingles(s)
-        at = np.searchsorted(self.probe, c)
-        if not (self.probe[np.minimum(at, len(self.probe) - 1)] == c).any():
-            return []
-        j = np.minimum(np.searchsorted(self.distinct, c), len(self.distinct) - 1)
-        hit = (self.distinct[j] == c).nonzero()[0]
-        n = self.counts[j[hit]]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        post = np.repeat(self.starts[j[hit]] - upto[:-1], n) + np.arange(upto[-1])
-        doc_at, item, place = np.repeat(hit, n), self.item[post], self.place[post]
-        diagonal = doc_at - place
-        order = np.lexsort((doc_at, diagonal // rule.drift, item))
-        doc_at, item, diagonal = doc_at[order], item[order], diagonal[order]
-        found: dict[int, tuple[int, int, int]] = {}
-        edges = np.concatenate([[0], (np.diff(item) != 0).nonzero()[0] + 1, [len(item)]])
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a < rule.kept:
-                continue
-            q = self.seqs[int(item[a])]
-            band = diagonal[a:b] // rule.drift
-            low = int(band.min())
-            counts = np.bincount(band - low)
-            near = counts + np.concatenate([counts[1:], [0]]) + np.concatenate([[0], counts[:-1]])
-            done: set[int] = set()
-            for d in (near >= min(rule.kept, max(1, len(q) - rule.shingle + 1))).nonzero()[0]:
-                start = (low + int(d) - 2) * rule.drift
-                if start // (4 * rule.drift) in done:
-                    continue
-                done.add(start // (4 * rule.drift))
-                start = max(0, start)
-                stretch = s[start : (low + int(d) + 3) * rule.drift + len(q) + len(q) // rule.per_edit + rule.drift]
-                best = align(q, stretch, rule) or align_windows(q, stretch, rule)
-                if best and best[1] > found.get(int(item[a]), (0, 0, 0))[1]:
-                    found[int(item[a])] = (start + best[0], best[1], best[2])
-        return [(self.ids[k], *v) for k, v in sorted(found.items())]
-
-
-def align(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, int, int] | None:
-    """Best local alignment: (place in the stretch, item words covered, edits) when it is a leak, else None."""
-    n, m = len(item), len(stretch)
-    if not n or not m:
-        return None
-    gain, cost = 2, 3  # two matches outweigh an edit, so an edit near an end does not cut the end off
-    score = np.zeros(n + 1, np.int64)
-    # origin of a path: item place, document place and edits, carried along with the score
-    oi, od, ed = np.arange(n + 1), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    best = (0, 0, 0, 0)
-    penalty = np.arange(n + 1) * cost
-    for j in range(m):
-        match = item == stretch[j]
-        diag = score[:-1] + np.where(match, gain, -cost)
-        up = score[1:] - cost
-        s = np.zeros(n + 1, np.int64)
-        take = diag >= up
-        s[1:] = np.maximum(0, np.where(take, diag, up))
-        noi, nod, ned = np.arange(n + 1), np.full(n + 1, j + 1), np.zeros(n + 1, np.int64)
-        live = s[1:] > 0
-        noi[1:] = np.where(live, np.where(take, oi[:-1], oi[1:]), noi[1:])
-        nod[1:] = np.where(live, np.where(take, od[:-1], od[1:]), nod[1:])
-        ned[1:] = np.where(live, np.where(take, ed[:-1] + ~match, ed[1:] + 1), 0)
-        # item words dropped from the document: a running maximum of score + place * cost
-        run = np.maximum.accumulate(s + penalty)
-        source = np.maximum.accumulate(np.where(s + penalty == run, np.arange(n + 1), 0))
-        left = run - penalty
-        use = left > s
-        s = np.where(use, left, s)
-        noi, nod, ned = np.where(use, noi[source], noi), np.where(use, nod[source], nod), np.where(use, ned[source] + np.arange(n + 1) - source, ned)
-        score, oi, od, ed = s, noi, nod, ned
-        span = np.arange(n + 1) - oi
-        ended = np.concatenate([[False], match & take]) & ~use  # the stretch ends with a word of the item
-        ok = ended & (score > 0) & (ed * rule.per_edit <= span + rule.per_edit)
-        k = int(np.argmax(np.where(ok, span, 0)))
-        if ok[k] and span[k] > best[1]:
-            best = (int(od[k]), int(span[k]), int(ed[k]), k)
-    need = min(rule.min_words - rule.slack, n)
-    return best[:3] if best[1] >= need else None
-
-
-def align_windows(item: np.ndarray, stretch: np.ndarray, rule: LeakRule) -> tuple[int, int, int] | None:
-    """(place in the stretch, item words covered, edits) of the longest stretch that holds a window of the item within the edit limit, else None.
-
-    ``align`` keeps one path for each cell, so a clean run is lost where it follows a heavily edited part
-    of the same item. Here each cell keeps, for each number of edits, the path that starts first in the
-    item. Window words hidden behind an end of the path count as edits.
+
+    def edits(self, n: int) -> int:
+        return (2 * n + self.per_edit) // (2 * self.per_edit)
+
+    def shape(self, n: int) -> tuple[int, int, int, int]:
+        """(window, shingle, surely surviving shingles, edits) for an item of n words: the longest shingle of up to three words of which any survives."""
+        w = min(n, self.min_words)
+        e = self.edits(w)
+        k = next((k for k in (3, 2, 1) if w - k + 1 - k * e >= 1), 1)
+        return w, k, max(1, w - k + 1 - k * e), e
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def item_postings(items: DataFrame, rule: LeakRule) -> tuple[DataFrame, DataFrame]:
+    """(item_key, item_id, words of every item; item_key, window, place, shingle, prefix of every shingle)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 4 << 20):
+            codes, offsets = word_codes(pa.concat_arrays([b.column(2)]))
+            n = np.diff(offsets)
+            lists = []
+            window = np.minimum(n, rule.min_words)
+            for i in range(b.num_rows):
+                s, _ = shingles(codes[offsets[i] : offsets[i + 1]], np.array([0, n[i]]), rule.shape(int(n[i]))[1] if n[i] else 1)
+                lists.append(s.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(window, pa.int32()), _lists(codes.astype(np.int64), n, pa.int64()), _lists(np.concatenate([*lists, np.zeros(0, np.int64)]), np.array([len(x) for x in lists]), pa.int64())],
+                names=["item_key", "item_id", "window", "words", "shingles"],
+            )
+
+    rows = items.where("passage is not null and item_id is not null").select(F.col("item_id").cast("bigint"), "passage").distinct()
+    cutting = rows.select(F.xxhash64("item_id", "passage").alias("item_key"), "item_id", "passage").mapInArrow(cut, "item_key bigint, item_id bigint, window int, words array<bigint>, shingles array<bigint>")
+    held = checkpointed(cutting.where("window > 0"))
+    each = held.select("item_key", "window", F.posexplode("shingles").alias("place", "shingle"))
+    rarity = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(rarity, "shingle").groupBy("item_key", "window").agg(F.array_sort(F.collect_list(F.struct("place", "n", "shingle"))).alias("row"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.column(2)[i].values
+                n, code = row.field("n").to_numpy(), row.field("shingle").to_numpy()
+                window = b.column(1)[i].as_py()
+                w, k, kept, _ = rule.shape(window)
+                width = w - k + 1
+                rank = np.empty(len(n), np.int64)
+                rank[np.lexsort((np.arange(len(n)), code, n))] = np.arange(len(n))
+                view = np.lib.stride_tricks.sliding_window_view(rank, width)
+                first = np.argsort(view, axis=1)[:, : width - kept + 1] + np.arange(len(view))[:, None]
+                prefix = np.zeros(len(n), bool)
+                prefix[first.ravel()] = True
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(n), pa.int64()), pa.array([window] * len(n), pa.int32()), row.field("place"), row.field("shingle"), pa.array(prefix)], names=["item_key", "window", "place", "shingle", "prefix"])
+
+    return held.drop("shingles"), checkpointed(ranked.mapInArrow(choose, "item_key bigint, window int, place int, shingle bigint, prefix boolean"))
+
+
+def _probe(codes: np.ndarray, bits: int, j: int) -> np.ndarray:
+    """Place of the j-th bit of each code."""
+    return ((codes >> np.uint64(16 * j)) ^ (codes << np.uint64(7 * j + 1))) & np.uint64(bits - 1)
+
+
+def _holds(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Codes that a bitmap may hold (all that it holds, and very few others)."""
+    out = np.zeros(len(codes), bool)
+    at = np.arange(len(codes))
+    for j in range(PROBES):
+        p = _probe(codes[at], len(bitmap) * 8, j)
+        at = at[(bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    out[at] = True
+    return out
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the column ``shingle``, at most ``MOST_BITS`` long (then with more false hits, never a missed one).
+
+    Set bytes are put together by the executors; at most one number for each byte of the map comes here.
+    """
+    n = keys.agg(F.approx_count_distinct("shingle")).first()[0]
+    bits = min(MOST_BITS, 1 << max(16, int(n * BITS_PER_KEY - 1).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column(0).to_numpy().astype(np.uint64)
+            p = np.unique(np.concatenate([_probe(codes, bits, j) for j in range(PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array(p >> np.uint64(3), pa.int64()), pa.array(np.left_shift(1, (p & np.uint64(7)).astype(np.int64)), pa.int32())], names=["byte", "bit"])
+
+    found = keys.select("shingle").mapInArrow(mark, "byte bigint, bit int").groupBy("byte").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[found.column("byte").to_numpy()] = found.column("bit").to_numpy()
+    return out
+
+
+def near_enough(known: np.ndarray, reach: int, kept: int) -> np.ndarray:
+    """Places inside some stretch of ``reach`` places that holds ``kept`` known ones."""
+    n = len(known)
+    if not n:
+        return known
+    upto = np.concatenate([[0], np.cumsum(known)])
+    good = upto[np.minimum(np.arange(n) + reach, n)] - upto[:-1] >= kept
+    edge = np.zeros(n + 1, np.int64)
+    at = good.nonzero()[0]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, np.minimum(at + reach, n), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def align_pairs(item: np.ndarray, doc: np.ndarray, window: np.ndarray, rule: LeakRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first document word, covered item words, edits) of the longest leak in each pair; covered is 0 where there is none.
+
+    ``item`` is (b, n), ``doc`` (b, n + width), both padded with unequal numbers; width is that of the band
+    of diagonals, and only cells of the band are looked at. For each number of edits every cell keeps the
+    path that starts first in the item, so the longest stretch is found exactly.
     """
-    n, m = len(item), len(stretch)
-    window = min(rule.min_words, n)
-    need = min(rule.min_words - rule.slack, n)
-    limit = (window + rule.per_edit) // rule.per_edit
-    if n < 1 or m < need - limit:
-        return None
-    never = n + 1
-    places = np.arange(n + 1)
-
-    def search(layers: int) -> tuple[int, int, int] | None:
-        # item place and stretch place at which the path of so many edits began
-        oi = [np.full(n + 1, never) for _ in range(layers + 1)]
-        od = [np.zeros(n + 1, np.int64) for _ in range(layers + 1)]
-        best = (0, 0, 0)
-        for j in range(m):
-            match = item == stretch[j]
-            new_i, new_d = [], []
-            for e in range(layers + 1):
-                gi, gd = np.full(n + 1, never), np.zeros(n + 1, np.int64)
-                gi[1:] = np.where(match, oi[e][:-1], never)
-                gd[1:] = od[e][:-1]
-                if e == 0:  # a path begins with a word of the item
-                    begin = np.concatenate([[False], match]) & (gi == never)
-                    gi, gd = np.where(begin, places - 1, gi), np.where(begin, j, gd)
-                span = np.where(gi == never, 0, places - gi)
-                ok = (span >= need) & ((e + np.maximum(0, window - span)) * rule.per_edit <= np.maximum(span, window) + rule.per_edit)
-                k = int(np.argmax(np.where(ok, span, 0)))  # the path ends here with a word of the item
-                if ok[k] and span[k] > best[1]:
-                    best = (int(gd[k]), int(span[k]), e)
-                if e:
-                    for fi, fd in ((oi[e - 1][:-1], od[e - 1][:-1]), (new_i[e - 1][:-1], new_d[e - 1][:-1])):  # changed, dropped
-                        less = fi < gi[1:]
-                        gi[1:], gd[1:] = np.where(less, fi, gi[1:]), np.where(less, fd, gd[1:])
-                    less = oi[e - 1] < gi  # added
-                    gi, gd = np.where(less, oi[e - 1], gi), np.where(less, od[e - 1], gd)
-                new_i.append(gi)
-                new_d.append(gd)
-            oi, od = new_i, new_d
-        return best if best[1] else None
-
-    found = search(limit)
-    return found and search((n + rule.per_edit) // rule.per_edit)
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule | None = None, block: int = 5000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, first_word, covered_words, edits of every leak.
-
-    Null, empty and wordless texts and passages leak nothing; passages under ``rule.min_words`` words
-    must be held whole. Repeated documents give repeated rows, items with the same passage are all
-    reported. Items are taken in blocks of ``block`` (bounding what a task holds); a block is one pass
-    over the documents. No items: an empty result.
+    b, n = item.shape
+    width = doc.shape[1] - n
+    layers = max(rule.edits(int(w)) for w in np.unique(window))
+    never = np.int16(n + 1)
+    limit = np.array([rule.edits(int(w)) for w in range(rule.min_words + 1)])[window][:, None]
+    single = (window == 1)[:, None]
+    head = np.where(single, 0, 1).astype(np.int16)
+    none = np.full((b, width), never)
+    start = [none] * (layers + 1)  # item words before the path
+    at = [np.zeros((b, width), np.int16)] * (layers + 1)  # document words before it
+    run = [none] * (layers + 1)  # start of the paths whose last step is a match
+    before = np.zeros((b, width), bool)
+    first, covered, edits = np.zeros(b, np.int64), np.zeros(b, np.int64), np.zeros(b, np.int64)
+    diagonal = np.arange(width, dtype=np.int16)[None, :]
+
+    def shifted(a: np.ndarray, by: int, fill: int) -> np.ndarray:
+        out = np.full_like(a, fill)
+        if by > 0:
+            out[:, :-1] = a[:, 1:]
+        else:
+            out[:, 1:] = a[:, :-1]
+        return out
+
+    for i in range(n):
+        match = item[:, i : i + 1] == doc[:, i : i + width]
+        twice = match & before
+        new, new_at, new_run = [], [], []
+        less = np.full((b, width), never)
+        for e in range(layers + 1):
+            g, d = np.where(match, start[e], never), at[e]
+            if e == 0:
+                begin = (g == never) & np.where(single, match, twice)
+                g, d = np.where(begin, np.int16(i) - head, g), np.where(begin, np.int16(i) - head + diagonal, d)
+            new_run.append(g)
+            # the path ends here: its last two steps are matches, and no path with fewer edits starts as early
+            end = g if e == 0 else np.where(twice, run[e], never)
+            span = np.where(end < less, i + 1 - end.astype(np.int32), 0)
+            less = np.minimum(less, end)
+            if span.max() > 0:
+                hidden = np.maximum(0, window[:, None] - span)
+                span = np.where((e + hidden <= limit) & (hidden <= 2 * e), span, 0)
+                best = span.argmax(1)
+                length = span[np.arange(b), best]
+                up = length > covered
+                covered[up], edits[up], first[up] = length[up], e, d[np.arange(b), best][up]
+            if e:
+                # changed, dropped, added
+                for fs, fa in ((start[e - 1], at[e - 1]), (shifted(start[e - 1], 1, never), shifted(at[e - 1], 1, 0)), (shifted(new[e - 1], -1, never), shifted(new_at[e - 1], -1, 0))):
+                    use = fs < g
+                    g, d = np.where(use, fs, g), np.where(use, fa, d)
+            new.append(g)
+            new_at.append(d)
+        start, at, run, before = new, new_at, new_run, match
+    return first, covered, edits
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule | None = None, text: str = "text", key: str = "doc_id", broadcast_rows: int = 500_000, salts: int = 32) -> DataFrame:
+    """doc_id, item_id, first_word, covered_words, edits: one row for each document and item that leaked into it.
+
+    ``covered_words`` and ``edits`` are of the longest stretch with as many edits as a window may have
+    (seen through parts of ``BLOCK`` item words), first_word is its place in the document. Null, empty and
+    wordless texts and passages leak nothing; passages under ``rule.min_words`` words, of one or two words
+    too, must be held whole. Equal documents with the same key give one row, items with the same passage
+    are all reported, repeated items once. No items or no documents: an empty result. Items and postings
+    are broadcast up to ``broadcast_rows`` rows, else joined by shuffle.
     """
     rule = rule or LeakRule()
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, item_id bigint, first_word int, covered_words int, edits int"
-    source = documents.select(F.col(key), F.col(text)).where(F.length(text) > 0)
-    out = None
-    rows: list[tuple[int, str]] = []
-
-    def one(part: list[tuple[int, str]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex([i for i, _ in held.value], [p for _, p in held.value], rule)
-            for b in batches:
-                at, found = [], []
-                for i in range(b.num_rows):
-                    for leak in index.leaks(words_of(b.column(1)[i].as_py())):
-                        at.append(i)
-                        found.append(leak)
-                if at:
-                    cols = list(zip(*found))
-                    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array(c, t) for c, t in zip(cols, types)]], names=[key, "item_id", "first_word", "covered_words", "edits"])
-
-        return source.mapInArrow(run, schema)
-
-    for r in items.where("passage is not null").select("item_id", "passage").toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == block:
-            out = one(rows) if out is None else out.unionByName(one(rows))
-            rows = []
-    if rows:
-        out = one(rows) if out is None else out.unionByName(one(rows))
-    return out if out is not None else spark.createDataFrame([], schema)
+    held, postings = item_postings(items, rule)
+    windows = sorted(r[0] for r in held.select("window").distinct().collect())  # at most rule.min_words of them
+    if not windows:
+        return spark.createDataFrame([], f"{key} {kind}, item_id bigint, first_word int, covered_words int, edits int")
+    shapes = [rule.shape(w) for w in windows]
+    maps = spark.sparkContext.broadcast([tuple(bitmap_of(postings.where(c)) for c in (f"window = {w}", f"window = {w} and prefix")) for w in windows])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 2 << 20):
+            codes, offsets = word_codes(pa.concat_arrays([b.column(2)]))
+            places, keys = [], []
+            for (w, k, kept, e), (every, prefix) in zip(shapes, maps.value):
+                s, whole = shingles(codes, offsets, k)
+                known = whole & _holds(every, s)
+                if not known.any():
+                    continue
+                at = (known & near_enough(known, w - k + 1 + e, kept)).nonzero()[0]
+                at = at[_holds(prefix, s[at])]
+                places.append(at)
+                keys.append(s[at])
+            if not places or not sum(map(len, places)):
+                continue
+            place, code = np.concatenate(places), np.concatenate(keys)
+            text_no = np.searchsorted(offsets, place, side="right") - 1
+            order = np.argsort(text_no, kind="stable")
+            place, code, text_no = place[order], code[order], text_no[order]
+            have, n = np.unique(text_no, return_counts=True)
+            words = np.concatenate([codes[offsets[i] : offsets[i + 1]] for i in have]).astype(np.int64)
+            hit = pa.StructArray.from_arrays([pa.array(code.astype(np.int64)), pa.array(place - offsets[text_no], pa.int32())], names=["shingle", "at"])
+            hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), hit)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(have)), b.column(1).take(pa.array(have)), _lists(words, np.diff(offsets)[have], pa.int64()), hits], names=[key, "doc_key", "words", "hits"])
+
+    least = min(w - e for w, _, _, e in shapes)
+    source = documents.where(F.length(text) >= 2 * least - 1).select(F.col(key), F.xxhash64(key, text).alias("doc_key"), F.col(text))
+    probed = checkpointed(source.mapInArrow(probe, f"{key} {kind}, doc_key bigint, words array<bigint>, hits array<struct<shingle: bigint, at: int>>").dropDuplicates(["doc_key"]))
+
+    hits = probed.select("doc_key", F.explode("hits").alias("h")).select("doc_key", "h.shingle", "h.at")
+    prefixes = postings.where("prefix").select("shingle", "item_key", "window", "place")
+    if prefixes.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        met = hits.join(F.broadcast(prefixes), "shingle")
+    else:
+        met = hits.withColumn("salt", F.pmod("doc_key", F.lit(salts)).cast("int")).join(prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["shingle", "salt"])
+    pairs = met.select("doc_key", "item_key", "window", F.expr(f"cast(floor((at - place) / {BAND}) as int)").alias("band"), F.expr(f"place div {BLOCK}").cast("int").alias("block")).distinct()
+    # the part of the item around the hit, and the band of the document in which a window through it lies
+    margin, drift = 2 * rule.min_words, rule.edits(rule.min_words)
+    lo = F.greatest(F.lit(0), F.col("block") * BLOCK - margin)
+    reach, width = BLOCK + 2 * margin, BAND + 2 * drift
+    near = pairs.join(probed, "doc_key").withColumn("lo", lo).withColumn("from_word", (F.col("lo") + F.col("band") * BAND - drift).cast("int"))
+    near = near.select(key, "doc_key", "item_key", "window", "lo", "from_word", F.slice("words", F.greatest(F.lit(0), F.col("from_word")) + 1, F.lit(reach + width)).alias("stretch"))
+    parts = held.select("item_key", "item_id", F.col("words").alias("item_words"))
+    parts = F.broadcast(parts) if parts.limit(broadcast_rows // 50 + 1).count() <= broadcast_rows // 50 else parts
+    near = near.join(parts, "item_key").select(key, "doc_key", "item_id", "window", "from_word", F.slice("item_words", F.col("lo") + 1, F.lit(reach)).alias("part"), "stretch")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 1 << 20):
+            from_word = b.column("from_word").to_numpy().astype(np.int64)
+            item = _padded(b.column("part"), 0)
+            doc = _padded(b.column("stretch"), 1, np.maximum(0, -from_word), item.shape[1] + width)
+            first, covered, edits = align_pairs(item, doc, b.column("window").to_numpy().astype(np.int64), rule)
+            leaked = covered.nonzero()[0]
+            if len(leaked):
+                t = pa.array(leaked)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(key).take(t), b.column("doc_key").take(t), b.column("item_id").take(t), pa.array(from_word[leaked] + first[leaked], pa.int32()), pa.array(covered[leaked], pa.int32()), pa.array(edits[leaked], pa.int32())],
+                    names=[key, "doc_key", "item_id", "first_word", "covered_words", "edits"],
+                )
+
+    found = near.mapInArrow(verify, f"{key} {kind}, doc_key bigint, item_id bigint, first_word int, covered_words int, edits int")
+    best = F.min(F.struct((-F.col("covered_words")).alias("c"), "edits", "first_word")).alias("b")
+    return found.groupBy(key, "doc_key", "item_id").agg(best).select(key, "item_id", F.col("b.first_word").alias("first_word"), (-F.col("b.c")).alias("covered_words"), F.col("b.edits").alias("edits"))
+
+
+def _padded(lists: pa.ListArray, pad: int, skip: np.ndarray | None = None, size: int = 0) -> np.ndarray:
+    """Rows of equal length (``size``, else the longest), each behind ``skip`` pads, filled up with ``pad``."""
+    lists = pa.concat_arrays([lists])
+    offsets = lists.offsets.to_numpy()
+    n = np.diff(offsets)
+    skip = np.zeros(len(n), np.int64) if skip is None else skip
+    out = np.full((len(n), size or max(1, int(n.max()) if len(n) else 1)), pad, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], n) + skip[row]
+    inside = place < out.shape[1]
+    out[row[inside], place[inside]] = lists.values.to_numpy()[offsets[0] : offsets[-1]][inside]
+    return out
