@@ -13,7 +13,7 @@ survives. With the shingles ordered by rarity, a window therefore shares at leas
 * Keys and prefix postings meet in an equi-join. Where the postings are more than a checked number it is a
   shuffle join with salted keys, so a stock phrase in a third of all documents is spread.
 * A hit names an item and a diagonal (positional bound): the stretch of the document and the part of the
-  item around it are cut out and aligned, many pairs side by side.
+  item around it are cut out, counted again on the band of the hit, and aligned, many pairs side by side.
 """
 
 from __future__ import annotations
@@ -216,6 +216,22 @@ def align_pairs(item: np.ndarray, doc: np.ndarray, window: np.ndarray, rule: Lea
     return first, covered, edits
 
 
+def hold_enough(item: np.ndarray, doc: np.ndarray, rule: LeakRule) -> np.ndarray:
+    """Pairs in whose band some window of the item has as many shingles as surely survive, each on any diagonal. For items of a whole window."""
+    _, k, kept, _ = rule.shape(rule.min_words)
+    n = item.shape[1]
+    width = doc.shape[1] - n
+    if n < rule.min_words:
+        return np.ones(len(item), bool)
+    same = np.lib.stride_tricks.sliding_window_view(doc, width, axis=1)[:, :n] == item[:, :, None]
+    run = same[:, : n - k + 1]
+    for j in range(1, k):
+        run = run & same[:, j : n - k + 1 + j]
+    upto = np.concatenate([np.zeros((len(item), 1), np.int64), np.cumsum(run.any(2), axis=1)], axis=1)
+    size = min(rule.min_words - k + 1, n - k + 1)
+    return (upto[:, size:] - upto[:, :-size]).max(1) >= kept
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule | None = None, text: str = "text", key: str = "doc_id", broadcast_rows: int = 500_000, salts: int = 32) -> DataFrame:
     """doc_id, item_id, first_word, covered_words, edits: one row for each document and item that leaked into it.
 
@@ -287,12 +303,17 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule | None = N
             from_word = b.column("from_word").to_numpy().astype(np.int64)
             item = _padded(b.column("part"), 0)
             doc = _padded(b.column("stretch"), 1, np.maximum(0, -from_word), item.shape[1] + width)
-            first, covered, edits = align_pairs(item, doc, b.column("window").to_numpy().astype(np.int64), rule)
-            leaked = covered.nonzero()[0]
+            window = b.column("window").to_numpy().astype(np.int64)
+            pick = ((window < rule.min_words) | hold_enough(item, doc, rule)).nonzero()[0]
+            if not len(pick):
+                continue
+            first, covered, edits = align_pairs(item[pick], doc[pick], window[pick], rule)
+            some = covered > 0
+            leaked, first, covered, edits = pick[some], first[some], covered[some], edits[some]
             if len(leaked):
                 t = pa.array(leaked)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(key).take(t), b.column("doc_key").take(t), b.column("item_id").take(t), pa.array(from_word[leaked] + first[leaked], pa.int32()), pa.array(covered[leaked], pa.int32()), pa.array(edits[leaked], pa.int32())],
+                    [b.column(key).take(t), b.column("doc_key").take(t), b.column("item_id").take(t), pa.array(from_word[leaked] + first, pa.int32()), pa.array(covered, pa.int32()), pa.array(edits, pa.int32())],
                     names=[key, "doc_key", "item_id", "first_word", "covered_words", "edits"],
                 )
 
