@@ -1,186 +1,352 @@
 """Per-document text statistics, and natural prose told from lists, tables and junk.
 
-All statistics are built-in column functions. For each language the mean and covariance of prose are
-estimated robustly: a start from medians and interquartile ranges, then concentration steps that keep
-the documents nearest to the current centre. Each step is one aggregation of sums and cross products by
-language, so what reaches the driver is a matrix for each configured language. The squared Mahalanobis
-distance splits into one contribution for each statistic (they add up to it), which is reported; an
-outlier's form follows from where its content lies.
+The statistics of a batch of texts are array operations over all of its characters, words and lines at
+once. For each language the mean and covariance of prose are estimated robustly: a start from medians and
+interquartile ranges, then concentration steps that keep the documents within a chi-squared quantile of
+the current centre, until the centre rests. A statistic measured on few words, letters or lines scatters
+more, so a document's own sampling variance is added to the covariance. Every step is one pass over the
+statistics; tasks hand in sums, so what reaches the driver is a few numbers for each language.
+
+The squared Mahalanobis distance splits into one contribution for each statistic (they add up to it).
+The form of a document is read off these contributions: it is a table or a list where the share of such
+lines is by itself an outlier among the prose of its language, and junk where the statistics of its
+characters and words are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.llm.consensus import chi2_quantile
+from sievemark.llm.words import hashed, replace, runs, small_batches, text_bytes
 from sievemark.session import checkpointed
 
-#: Common words of each language. Fixed values.
+#: The commonest function words of each language. Fixed values.
 COMMON_WORDS = {
-    "en": "the of and to a in was for that on with is at by it he she had not be or as from were been this which when but are an her his they we i you who no our my has have would could did do than so if their them there after before about into out up down over under since".split(),
-    "es": "el la los las un una de del que y en a no se por con su para al lo como más pero sus le ya o fue había era una porque cuando muy sin sobre también me hasta hay donde quien desde nos durante nadie mi ni esto".split(),
-    "fr": "le la les un une des de du que et en à ne pas se par avec son sa pour au aux ce cette il elle on dans est était avait qui ou mais nous vous plus sur sans était été a personne n'a d'une qu'il ma aucune pendant".split(),
-    "de": "der die das den dem des ein eine einer eines und in zu mit von für auf nicht ist war hatte wurde es sie er wir dass als auch an bei nach aus um sich im am zum zur oder aber wie ihre sein meine laut keine niemand kam".split(),
+    "en": "the of and to in a is that it for on with as was be by at or an are from this not have but had his they her she which you one we all were when there can more if no who do so would will been what up out about into than them then only other some could these two may first also after any its over such our their my your he i did does has".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien e ese otro".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec mais ou son si aux cette on nous sa ses être comme fait été elle tout ont même deux leur lui y ces bien sans où peut après d'un d'une qu'il était avait vous je leurs entre dont aussi encore".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat daß dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn kann ich wir sei ihre seine hatte".split(),
 }
 
 STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_words", "vowel_ratio", "repetition", "list_share", "table_share", "end_punctuation")
+LEXICAL = STATISTICS[:7]
+RECENT = 50  #: a word that was used among so many words before counts as repeated
+_SIZES = ("n_words", "n_chars", "n_letters", "n_tokens", "n_lines", "length_variance")  # what a statistic was measured on
 
-#: Least standard deviation taken for each statistic, so that one that hardly varies in prose does not decide alone.
-LEAST_SD = (1.0, 0.45, 0.03, 0.045, 0.075, 0.035, 0.07, 0.18, 0.18, 0.30)
+_LETTER, _DIGIT, _BLANK, _VOWEL = 1, 2, 4, 8
+_VOWELS = set("aeiouyáéíóúàèìòùâêîôûäëïöüœæ")
+_BREAK = "\r\n|[\r\n\x85  ]"
+_HIDDEN = "[​‌‍⁠﻿­]+"
 
 _MARKED = r"^\s*(?:[-*+•·–—◦‣▪●○■□☐☑✓✔→➤]|\[[ xX]?\]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\(?[ivx]{1,4}[.)])\s+\S"
-_BARE = r"^\s*[\p{Lu}\p{N}](?:(?![.!?:;,…]\s*$)[^\n]){1,44}$"  # a short line that begins like an item and ends like none
+_SHORT, _ENDS_LIKE_A_SENTENCE = r"^\s*[\p{Lu}\p{N}].{1,44}$", r"[.!?:;,…]\s*$"  # a short line that begins like an item and ends like none
 _TABLE = (
-    r"^\s*(?:"
-    r"\|.*\|\s*|[-+=|: ]*[-+=|][-+=|: ]{2,}|"  # ruled rows
-    r"[^,\s]{0,24}(?:,[^,\s]{0,24}){2,}|"  # comma cells without blanks
-    r"[^;\n]{0,30}(?: ?; ?[^;\n]{0,30}){2,}|"  # semicolon cells
-    r"[^\t\n]{0,40}(?:\t[^\t\n]{0,40})+|"  # tab cells
-    r"\S{1,24}(?:\s{2,}\S{1,24})+\s*|"  # aligned cells
-    r"[\p{L}_]{1,24}\s?[:=]\s?\S{1,24}"  # key: value
-    r")\s*$"
+    r"^\s*(?:\|.*\|\s*|[-+=|: ]*[-+=|][-+=|: ]{2,})\s*$",  # ruled rows
+    r"^\s*[^,\s]*(?:,[^,\s]*){2,}\s*$",  # comma cells without blanks
+    r"^\s*[^;]*(?: ?; ?[^;]*){2,}\s*$",  # semicolon cells
+    r"^\s*[^\t]*(?:\t[^\t]*)+\s*$",  # tab cells
+    r"^\s*\S+(?:\s{2,}\S+)+\s*$",  # aligned cells
+    r"^\s*[\p{L}_]{1,24}\s?[:=]\s?\S{1,24}\s*$",  # key: value
 )
+_CELLS = (None, r"[^,\s]{25}", r"[^;]{31}", r"[^\t]{41}", r"\S{25}", None)  # too long for a cell
+_INLINE = r"[,;|•]\s| / "
+_ENDED = r"[.!?:;…][\"'”’»)\]]*\s*$"
+
+
+@lru_cache(maxsize=1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """(kinds, lower case) of the characters of the basic plane; those beyond it are taken as signs."""
+    kinds, lower = np.zeros(1 << 16, np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    for c in range(1 << 16):
+        t = chr(c)
+        category = unicodedata.category(t)
+        small = t.lower()
+        if len(small) == 1:
+            lower[c] = ord(small)
+        kinds[c] = _LETTER * (category[0] == "L") | _DIGIT * (category == "Nd") | _BLANK * t.isspace() | _VOWEL * (small in _VOWELS)
+    return kinds, lower
+
 
+@lru_cache(maxsize=1)
+def _common() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the common words, and for each the languages it belongs to (a bit each)."""
+    bits: dict[int, int] = {}
+    for k, words in enumerate(COMMON_WORDS.values()):
+        for w in set(words):
+            points = np.array([ord(c) for c in w], np.uint32)
+            code = int(hashed(points, np.array([0]), np.array([len(points)]))[0])
+            bits[code] = bits.get(code, 0) | 1 << k
+    codes = np.array(sorted(bits), np.uint64)
+    return codes, np.array([bits[int(c)] for c in codes], np.int64)
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, r"\r\n?|[  \u0085]", "\n"), "\n"), lambda x: F.length(F.trim(x)) > 0)
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the values between neighbouring offsets."""
+    upto = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return np.diff(upto[offsets])
+
+
+def _repeated(codes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Words that also stand among the ``RECENT`` words before them in the same text."""
+    out = np.zeros(len(codes), bool)
+    order = np.argsort(codes, kind="stable")
+    same = (codes[order][1:] == codes[order][:-1]) & (text[order][1:] == text[order][:-1]) & (np.diff(order) <= RECENT)
+    out[order[1:][same]] = True
+    return out
 
 
-def _inline(line: Column) -> Column:
-    """A line that runs through short items: five or more separators, one for every six words at least."""
-    marks = F.regexp_count(line, F.lit(r"[,;|•]\s| / "))
-    return (marks >= 5) & (marks * 6 >= F.regexp_count(line, F.lit(r"\S+")))
+def _line_shares(texts: pa.Array, n: int) -> dict[str, np.ndarray]:
+    split = pc.split_pattern_regex(texts, _BREAK)
+    line, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+    written = pc.match_substring_regex(line, r"\S")
+    line, owner = line.filter(written), owner.filter(written).to_numpy()
+    has = lambda pattern, of=line: pc.match_substring_regex(of, pattern).to_numpy(zero_copy_only=False)
+    size = pc.utf8_length(line).to_numpy().astype(np.int64)
+    marked = has(_MARKED)
+    tabled = np.zeros(len(size), bool)
+    for pattern, long in zip(_TABLE, _CELLS):
+        hit = has(pattern)
+        if long is not None and hit.any():
+            at = hit.nonzero()[0]
+            hit[at[has(long, line.take(pa.array(at)))]] = False
+        tabled |= hit
+    bare = has(_SHORT) & ~has(_ENDS_LIKE_A_SENTENCE)
+    marks = pc.count_substring_regex(line, _INLINE).to_numpy().astype(np.int64)
+    inline = marks >= 5
+    if inline.any():
+        at = inline.nonzero()[0]
+        inline[at] = marks[at] * 6 >= pc.count_substring_regex(line.take(pa.array(at)), r"\S+").to_numpy()
+    listed = marked | ((bare | inline) & ~tabled)
+    add = lambda w: np.bincount(owner, w, minlength=n)
+    chars, lines = np.maximum(1, add(size)), add(np.ones(len(size)))
+    return {"list_share": add(size * listed) / chars, "table_share": add(size * (tabled & ~marked)) / chars, "end_punctuation": add(has(_ENDED).astype(float)) / np.maximum(1, lines), "n_lines": lines}
 
 
-def _share(words: Column, listed: list[str]) -> Column:
-    """Share of an array of words that are in a list."""
-    held = F.array(*[F.lit(w) for w in listed])
-    return F.size(F.filter(words, lambda w: F.array_contains(held, w))) / F.greatest(F.size(words), F.lit(1))
+def measure(texts: pa.Array, declared: pa.Array) -> dict[str, np.ndarray | list[str]]:
+    """The statistics of texts without nulls, and the sizes they were measured on."""
+    texts = replace(texts.cast(pa.large_string()), _HIDDEN, "")
+    data, offsets = text_bytes(texts)
+    kinds, lower = _alphabet()
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # offsets in characters
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    low = np.where(points < 1 << 16, points, 0)
+    kind = np.where(points < 1 << 16, kinds[low], 0)
+    n = len(offsets) - 1
+    one = lambda x: np.maximum(1, x)
+    chars, blanks = np.diff(at), _sums((kind & _BLANK) > 0, at)
+    letters, digits = _sums((kind & _LETTER) > 0, at), _sums((kind & _DIGIT) > 0, at)
+    solid = one(chars - blanks)
+    begin, _ = runs((kind & _BLANK) == 0, at)
+    tokens = one(np.diff(np.searchsorted(begin, at)))
+    first, last = runs(((kind & (_LETTER | _DIGIT)) > 0) | (points == 39), at)
+    codes = hashed(lower[low], first, last)
+    place = np.searchsorted(first, at)
+    words = one(np.diff(place))
+    size = (last - first).astype(float)
+    mean = _sums(size, place) / words
+    listed, belongs = _common()
+    j = np.minimum(np.searchsorted(listed, codes), len(listed) - 1)
+    bits = np.where(listed[j] == codes, belongs[j], 0)
+    shares = np.array([_sums((bits >> k) & 1, place) / words for k in range(len(COMMON_WORDS))])
+    best, names = shares.max(axis=0), list(COMMON_WORDS)
+    said = [x.strip().lower()[:2] if x else "" for x in declared.to_pylist()]
+    language = [names[k] if b > 0.05 else s if s in COMMON_WORDS else names[0] for k, b, s in zip(shares.argmax(axis=0), best, said)]
+    return {
+        "language": language, "log_words": np.log(words + 1.0), "mean_word_length": np.minimum(40.0, solid / tokens),
+        "symbol_ratio": np.maximum(0, chars - letters - digits - blanks) / one(chars), "digit_ratio": digits / solid, "common_words": best,
+        "vowel_ratio": _sums((kind & _VOWEL) > 0, at) / one(letters), "repetition": _sums(_repeated(codes, np.repeat(np.arange(n), np.diff(place))), place) / words, **_line_shares(texts, n),
+        "n_words": words, "n_chars": chars, "n_letters": letters, "n_tokens": tokens, "length_variance": np.maximum(0, _sums(size * size, place) / words - mean * mean),
+    }
 
 
 def text_statistics(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Statistics of every document that has any non-blank character; null, empty and blank texts give no row.
 
-    Besides the ten statistics of the distance: n_words, n_chars and end_punctuation_share as asked for,
-    language (by common words, else the declared one, else en). Repeated rows give repeated rows.
+    Besides the ten statistics of the distance: the sizes they were measured on (n_tokens counts runs of
+    other than white space) and language (by common words, else the declared one, else en). Repeated rows
+    give repeated rows. Shares are of words, characters or lines; mean_word_length is at most 40;
+    repetition is the share of words used already among the ``RECENT`` words before.
     """
-    t = F.col("_t")
-    d = documents.select(F.col(key), F.col(lang).alias("_lang") if lang in documents.columns else F.lit(None).cast("string").alias("_lang"), F.regexp_replace(F.col(text), "[​‌‍⁠﻿­]", "").alias("_t")).where(t.rlike(r"(?U)\S"))
-    n = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    d = d.withColumn("_words", F.filter(F.split(F.lower(t), r"(?U)[^\p{L}\p{N}']+"), lambda w: w != "")).withColumn("_line", _lines(t))
-    shares = {k: _share(F.col("_words"), v) for k, v in COMMON_WORDS.items()}
-    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    d = d.select(
-        key, "_lang",
-        F.size("_words").alias("_nw"), F.size(F.array_distinct("_words")).alias("_nd"), F.length(t).alias("n_chars"),
-        n(r"\p{L}").alias("_letters"), n(r"\p{Nd}").alias("_digits"), n(r"(?U)\s").alias("_blanks"), n(r"(?U)\S+").alias("n_words"),
-        n(r"(?i)[aeiouyáéíóúàèìòùâêîôûäëïöüœæ]").alias("_vowels"),
-        F.size("_line").alias("_nl"),
-        F.size(F.filter("_line", lambda x: x.rlike(r"[.!?:;…][\"'”’»)\]]*\s*$"))).alias("_ends"),
-        size(F.col("_line")).alias("_chars"), size(F.filter("_line", lambda x: x.rlike(_MARKED) | ((x.rlike(_BARE) | _inline(x)) & ~x.rlike(_TABLE)))).alias("_listed"),
-        size(F.filter("_line", lambda x: x.rlike(_TABLE) & ~x.rlike(_MARKED))).alias("_tabled"),
-        *[v.alias(f"_{k}") for k, v in shares.items()],
-    )
-    best = F.greatest(*[F.col(f"_{k}") for k in COMMON_WORDS])
-    declared = F.substring(F.lower(F.trim("_lang")), 1, 2)
-    found = reduce(lambda c, k: c.when((best > 0.05) & (F.col(f"_{k}") == best), k), list(COMMON_WORDS)[1:], F.when((best > 0.05) & (F.col("_en") == best), "en"))
-    language = found.when(declared.isin(*COMMON_WORDS), declared).otherwise("en")
-    words = F.greatest(F.col("_nw"), F.lit(1))
-    solid = F.greatest(F.col("n_chars") - F.col("_blanks"), F.lit(1))
-    return d.select(
-        key, language.alias("language"), "n_words", "n_chars",
-        F.log(words + 1.0).alias("log_words"),
-        F.least(F.lit(40.0), solid / F.greatest(F.col("n_words"), F.lit(1))).alias("mean_word_length"),
-        F.greatest(F.lit(0.0), (F.col("n_chars") - F.col("_letters") - F.col("_digits") - F.col("_blanks")) / F.col("n_chars")).alias("symbol_ratio"),
-        (F.col("_digits") / solid).alias("digit_ratio"),
-        best.alias("common_words"),
-        (F.col("_vowels") / F.greatest(F.col("_letters"), F.lit(1))).alias("vowel_ratio"),
-        F.when(words > 2, F.try_divide(F.log(F.greatest(F.col("_nd"), F.lit(1)) + 0.0), F.log(words + 0.0))).otherwise(1.0).alias("repetition"),
-        (F.col("_listed") / F.greatest(F.col("_chars"), F.lit(1))).alias("list_share"),
-        (F.col("_tabled") / F.greatest(F.col("_chars"), F.lit(1))).alias("table_share"),
-        (F.col("_ends") / F.greatest(F.col("_nl"), F.lit(1))).alias("end_punctuation"),
-    )
-
-
-def _distance(centres: dict[str, tuple[np.ndarray, np.ndarray]], names: tuple[str, ...]) -> dict[str, Column]:
-    """Contribution of each statistic to the squared distance, x_i * (P x)_i, with the language's own centre and precision."""
-
-    def pick(value) -> Column:  # noqa: ANN001
-        expr = None
-        for k, v in value.items():
-            expr = F.when(F.col("language") == k, F.lit(float(v))) if expr is None else expr.when(F.col("language") == k, F.lit(float(v)))
-        return expr.otherwise(F.lit(float(value[next(iter(value))])))
-
-    # Shares of a few words scatter: a short document's deviations weigh less.
-    weight = F.col("n_words") / (F.col("n_words") + 8.0)
-    diff = [F.col(x) - pick({k: c[i] for k, (c, _) in centres.items()}) for i, x in enumerate(names)]
-    out = {}
-    for i, x in enumerate(names):
-        row = sum((pick({k: p[i, j] for k, (_, p) in centres.items()}) * diff[j] for j in range(len(names))), F.lit(0.0))
-        out[x] = diff[i] * row * weight
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 2 << 20):
+            m = measure(pa.concat_arrays([b.column(1)]), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m["language"], pa.string()), *[pa.array(np.asarray(m[x], float), pa.float64()) for x in (*STATISTICS, *_SIZES)]], names=[key, "language", *STATISTICS, *_SIZES])
+
+    declared = F.col(lang).cast("string") if lang in documents.columns else F.lit(None).cast("string")
+    source = documents.select(F.col(key), F.col(text).alias("_text"), declared.alias("_lang")).where(F.regexp_replace("_text", _HIDDEN, "").rlike(r"(?U)\S"))
+    return source.mapInArrow(run, f"{key} {kind}, language string, " + ", ".join(f"{x} double" for x in (*STATISTICS, *_SIZES)))
+
+
+class ProseModel:
+    """Centre, covariance and word-length variance of prose for each language, and the distances from it."""
+
+    def __init__(self, centre: np.ndarray, covariance: np.ndarray, word_variance: np.ndarray) -> None:
+        self.centre, self.covariance, self.word_variance = centre, covariance, word_variance
+
+    def contributions(self, language: np.ndarray, x: np.ndarray, sizes: np.ndarray, names: tuple[str, ...] = STATISTICS) -> np.ndarray:
+        """(n, names) parts of the squared distances."""
+        at = [STATISTICS.index(k) for k in names]
+        words, chars, letters, tokens, lines = (np.maximum(1.0, sizes[:, i]) for i in range(5))
+        c = self.centre[language]
+        share = np.clip(c, 0, 1) * (1 - np.clip(c, 0, 1))
+        own = np.zeros_like(x)
+        for k, base in (("symbol_ratio", chars), ("digit_ratio", chars), ("common_words", words), ("vowel_ratio", letters), ("repetition", words), ("list_share", lines), ("table_share", lines), ("end_punctuation", lines)):
+            i = STATISTICS.index(k)
+            own[:, i] = share[:, i] / base
+        own[:, 1] = self.word_variance[language] / tokens
+        cov = self.covariance[language][:, at][:, :, at] + np.eye(len(at))[None] * own[:, at][:, None, :]
+        d = (x - c)[:, at]
+        return d * np.linalg.solve(cov, d[:, :, None])[:, :, 0]
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language number, statistics, sizes)."""
+    names = pa.array(list(COMMON_WORDS))
+    column = lambda x: b.column(x).to_numpy(zero_copy_only=False)
+    return pc.index_in(b.column("language"), names).to_numpy(zero_copy_only=False).astype(np.int64), np.stack([column(x) for x in STATISTICS], 1), np.stack([column(x) for x in _SIZES], 1)
+
+
+_GRID = np.stack([np.linspace(0, {"log_words": 30.0, "mean_word_length": 40.0}.get(x, 1.0), 2001) for x in STATISTICS])
+
+
+def _quartiles(stats: DataFrame) -> np.ndarray:
+    """(languages, statistics, 3) quartiles on a grid of 2,000 steps; at most that many counts for each come here. No rows: nan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            language, x, _ = _arrays(b)
+            parts = [((language * len(STATISTICS) + i) * _GRID.shape[1] + np.minimum(np.searchsorted(_GRID[i], x[:, i]), _GRID.shape[1] - 1)) for i in range(len(STATISTICS))]
+            bins, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["bin", "n"])
+
+    found = stats.mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(COMMON_WORDS) * len(STATISTICS) * _GRID.shape[1])
+    counts[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    counts = counts.reshape(len(COMMON_WORDS), len(STATISTICS), -1)
+    out = np.full((*counts.shape[:2], 3), np.nan)
+    for k in range(counts.shape[0]):
+        for i in range(counts.shape[1]):
+            upto = np.cumsum(counts[k, i])
+            if upto[-1]:
+                out[k, i] = _GRID[i][[np.searchsorted(upto, q * upto[-1]) for q in (0.25, 0.5, 0.75)]]
     return out
 
 
-def prose_model(stats: DataFrame, names: tuple[str, ...] = STATISTICS, steps: int = 2, cutoff: float = 20.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Centre and precision of prose for each language.
+def _moments(stats: DataFrame, model: ProseModel, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count, mean, covariance, word variance) of the documents within the cutoff, by language."""
+    size = 2 + len(STATISTICS) + len(STATISTICS) ** 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(COMMON_WORDS), size))
+        for b in batches:
+            language, x, sizes = _arrays(b)
+            near = model.contributions(language, x, sizes).sum(1) <= cutoff
+            for k in range(len(COMMON_WORDS)):
+                m = near & (language == k)
+                total[k] += np.concatenate([[m.sum(), sizes[m, 5].sum()], x[m].sum(0), (x[m].T @ x[m]).ravel()])
+        for k in range(len(COMMON_WORDS)):
+            yield pa.RecordBatch.from_arrays([pa.array([k] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array(total[k])], names=["k", "i", "v"])
+
+    sums = np.zeros((len(COMMON_WORDS), size))
+    for r in stats.mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v")).collect():
+        sums[r[0], r[1]] = r[2]
+    n, p = np.maximum(1.0, sums[:, 0]), len(STATISTICS)
+    mean = sums[:, 2 : 2 + p] / n[:, None]
+    return sums[:, 0], mean, (sums[:, 2 + p :] / n[:, None]).reshape(-1, p, p) - mean[:, :, None] * mean[:, None, :], sums[:, 1] / n
 
-    Start: medians and interquartile ranges (few languages, one row each). Step: of the documents within
-    ``cutoff``, mean and covariance from sums. A language with under 50 such documents takes those of
-    English; without any document at all a fixed start is used, so the model always exists.
+
+def prose_model(stats: DataFrame, inner: float = 0.975, outer: float = 1 - 1e-6, most_steps: int = 10, least_rows: int = 50) -> ProseModel:
+    """The prose of each language.
+
+    Documents within the ``inner`` chi-squared quantile count in a step (and the covariance is scaled up
+    for what was cut off); steps end when no centre moves by a hundredth of its deviation. A language's
+    deviations are at least those within and between all languages, and those of list and table shares at
+    least so wide that a share of one half just reaches the ``outer`` quantile: a text must be for the
+    most part such lines. A language with under ``least_rows`` documents takes the centre of all. Without any
+    documents there is nothing to measure and the model is empty.
     """
-    floor = np.array(LEAST_SD)
-    start = {r["language"]: r for r in stats.groupBy("language").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in names]).collect()}
-    usual = np.array([5.0, 5.0, 0.03, 0.03, 0.4, 0.38, 0.9, 0.0, 0.0, 0.9])
-    centres = {}
-    for k in COMMON_WORDS:
-        if k in start:
-            q = np.array([start[k][x] for x in names])
-            sd = np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor)
-            centres[k] = (q[:, 1], np.diag(1 / sd**2))
-        else:
-            centres[k] = (usual, np.diag(1 / floor**2))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    for _ in range(steps):
-        near = stats.where(sum(_distance(centres, names).values(), F.lit(0.0)) <= cutoff)
-        rows = near.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs]).collect()
-        for r in rows:
-            if r["n"] < 50 or r["language"] not in centres:
-                continue
-            mean = np.array([r[f"s{i}"] for i in range(len(names))]) / r["n"]
-            cov = np.zeros((len(names), len(names)))
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] / r["n"] - mean[i] * mean[j]
-            cov *= 0.8  # shrink the correlations towards none, and keep each deviation over its floor
-            np.fill_diagonal(cov, np.maximum(np.diag(cov) / 0.8, floor**2))
-            centres[r["language"]] = (mean, np.linalg.inv(cov))
-    return centres
-
-
-def classify_forms(documents: DataFrame, cutoff: float = 20.0, majority: float = 0.5, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    p = len(STATISTICS)
+    cutoff = chi2_quantile(inner, p)
+    grow = inner / _chi2_share(cutoff, p + 2)
+    half = 0.5 / np.sqrt(chi2_quantile(outer, p))
+    layout = [STATISTICS.index(x) for x in ("list_share", "table_share")]
+    quart = _quartiles(stats)
+    if np.isnan(quart).all():
+        return ProseModel(np.zeros((len(COMMON_WORDS), p)), np.stack([np.eye(p)] * len(COMMON_WORDS)), np.zeros(len(COMMON_WORDS)))
+    spread = (quart[:, :, 2] - quart[:, :, 0]) / 1.349
+    centre = np.where(np.isnan(quart[:, :, 1]), np.nanmean(quart[:, :, 1], axis=0), quart[:, :, 1])
+    least = np.maximum(np.nanmax(spread, axis=0), np.ptp(_GRID, axis=1) / 200)
+    least[layout] = half
+    model = ProseModel(centre, np.stack([np.diag(least**2)] * len(centre)), np.full(len(centre), 4.0))
+    for _ in range(most_steps):
+        n, mean, cov, words = _moments(stats, model, cutoff)
+        enough = n >= least_rows
+        pool = n * enough if enough.any() else n
+        if not pool.sum():
+            break
+        weight = pool / pool.sum()
+        middle = weight @ mean
+        between = np.einsum("k,ki,kj->ij", weight, mean - middle, mean - middle)
+        every = (np.einsum("k,kij->ij", weight, cov) + between) * grow
+        floor = np.diag(every).copy()
+        floor[layout] = np.maximum(floor[layout], half**2)
+        floor = np.maximum(floor, (np.ptp(_GRID, axis=1) / 2000) ** 2)
+        own = np.where(enough[:, None, None], cov * grow, every)
+        own = own + np.stack([np.diag(np.maximum(0, floor - np.diag(c))) for c in own])
+        new = ProseModel(np.where(enough[:, None], mean, middle), own, np.where(enough, words, weight @ words))
+        moved = np.abs(new.centre - model.centre)[pool > 0] / np.sqrt(floor)
+        model = new
+        if moved.max() < 0.01:
+            break
+    return model
+
+
+def _chi2_share(x: float, k: int) -> float:
+    """Share of a chi-squared distribution (k even) below x."""
+    term = total = 1.0
+    for i in range(1, k // 2):
+        term *= x / 2 / i
+        total += term
+    return 1 - np.exp(-x / 2) * total
+
+
+def classify_forms(documents: DataFrame, outer: float = 1 - 1e-6, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Statistics, distance, contributions and form (prose, list, table, junk) of every non-blank document.
 
     ``distance`` is the squared robust Mahalanobis distance from the prose of the document's language,
-    ``contributions`` a map whose values add up to it. Not prose are outliers (over ``cutoff``) whose
-    content lies by ``majority`` in table or list lines, and outliers whose distance stays over the
-    cutoff on the statistics of words and characters alone: junk. Everything else is prose.
+    ``contributions`` a map whose values add up to it. A table or list is a document whose share of such
+    lines contributes more than the ``outer`` chi-squared quantile (the larger contribution counts; equal
+    ones: table); junk one whose distance on the statistics of characters and words alone is over that
+    quantile. Everything else is prose, also where only its sentence ends or its length are unusual.
     """
+    kind = documents.schema[key].dataType.simpleString()
     stats = checkpointed(text_statistics(documents, text, key, lang))  # read once for each step below
-    layout = ("list_share", "table_share", "end_punctuation")
-    lexical = tuple(x for x in STATISTICS if x not in layout)
-    model = prose_model(stats, cutoff=cutoff)
-    at = [STATISTICS.index(x) for x in lexical]
-    inner = {k: (c[at], np.linalg.inv(np.linalg.inv(p)[np.ix_(at, at)])) for k, (c, p) in model.items()}
-    parts = _distance(model, STATISTICS)
-    scored = stats.select("*", F.create_map(*[y for x, c in parts.items() for y in (F.lit(x), c)]).alias("contributions"), sum(_distance(inner, lexical).values(), F.lit(0.0)).alias("lexical_distance"))
-    scored = scored.withColumn("distance", F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda s, x: s + x))
-    form = (
-        F.when(F.col("distance") <= cutoff, "prose")
-        .when((F.col("table_share") >= majority) & (F.col("table_share") >= F.col("list_share")), "table")
-        .when(F.col("list_share") >= majority, "list")
-        .when(F.col("lexical_distance") > cutoff, "junk")
-        .otherwise("prose")
-    )
-    return scored.withColumn("form", form)
+    model = prose_model(stats, outer=outer)
+    whole, part = chi2_quantile(outer, len(STATISTICS)), chi2_quantile(outer, len(LEXICAL))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            language, x, sizes = _arrays(b)
+            c = model.contributions(language, x, sizes)
+            lexical = model.contributions(language, x, sizes, LEXICAL).sum(1)
+            listed, tabled = (np.where(x[:, i] > model.centre[language, i], c[:, i], 0) for i in (STATISTICS.index("list_share"), STATISTICS.index("table_share")))
+            form = np.where(np.maximum(listed, tabled) > whole, np.where(tabled >= listed, "table", "list"), np.where(lexical > part, "junk", "prose"))
+            offsets = pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32())
+            names = pa.array(list(STATISTICS) * len(x), pa.string())
+            more = [pa.MapArray.from_arrays(offsets, names, pa.array(c.ravel())), pa.array(c.sum(1)), pa.array(lexical), pa.array(form.tolist(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "contributions", "distance", "lexical_distance", "form"])
+
+    own = ", ".join(f"{x} double" for x in (*STATISTICS, *_SIZES))
+    out = stats.mapInArrow(run, f"{key} {kind}, language string, {own}, contributions map<string, double>, distance double, lexical_distance double, form string")
+    return out.select(*[F.col(c).cast("bigint").alias(c) if c.startswith("n_") else c for c in out.columns])
