@@ -108,11 +108,12 @@ def run_rq4(r: Run) -> dict:
 
     s = r.results["stages"]["rq1"]["result"]["series"]
     t, y = np.array(s["t"], float), np.array(s["y"], float)
+    periods = r.spark.createDataFrame(list(zip(t.tolist(), y.tolist())), "t double, y double")
     c = forecast.compare(t, y)
     best = next(f for f in c["fits"] if f.model == c["best"])
-    test, reason = optional_check(lambda: forecast.backtest(t, y, r.config.forecast.get("backtest_cutoff_index", 40), best.model, r.config.forecast.get("backtest_mape_max", 0.3)))
+    test, reason = optional_check(lambda: forecast.backtest(periods, r.config.forecast.get("backtest_cutoff_index", 40), best.model, r.config.forecast.get("backtest_mape_max", 0.3)))
     out = {"best": c["best"], "fits": [{"model": f.model, **f.params, "rmse": f.rmse, "aic": f.aic} for f in c["fits"]], "backtest": test, "backtest_reason": reason}
-    ident = forecast.identifiability(r.spark.createDataFrame(list(zip(t.tolist(), y.tolist())), "t double, y double")).first().asDict()
+    ident = forecast.identifiability(periods).first().asDict()
     out["identifiability"] = ident
     if r.config.forecast.get("require_identifiable_m", True) and not ident["identifiable"]:
         out["projection"] = {"status": "not_identifiable"}  # the fit and the backtest stand (D11)

@@ -130,24 +130,42 @@ def test_taxonomy(spark):
 @given(st.dictionaries(st.sampled_from([-1.0, 1.0, 2.0, 3.0, 4.0]), st.integers(1, 500), min_size=1), st.integers(1, 300))
 def test_quotas(sizes, n):
     q = stratified.level_quotas(sizes, n, {4.0: 10})
-    assert all(1 <= q[k] <= sizes[k] or q[k] == 0 for k in q)
+    assert sum(q.values()) == min(n, sum(sizes.values())) and all(0 <= q[k] <= sizes[k] for k in q)
+    assert q.get(4.0, 10) >= min(10, n, sizes.get(4.0, 10))
 
 
 def test_stratified(spark, data):
     c = table(spark, data, "corpus")
     s = stratified.stratified_sample(c, 60, 3, {3.0: 10})
     rows = s.collect()
-    assert len(rows) == 60 == len({r["doc_id"] for r in rows})
-    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stratified.stratified_sample(c.repartition(7), 60, 3, {3.0: 10}).collect()}
-    assert sum(r["sampling_weight"] for r in rows) == pytest.approx(sum(c.groupBy("severity_level").count().toPandas().set_index("severity_level")["count"].get(k, 0) for k in {r["severity_level"] for r in rows if r["severity_level"]}) + c.where("severity_level is null").count() * any(r["severity_level"] is None for r in rows))
+    ids = [r["doc_id"] for r in rows]
+    assert len(ids) == 60 == len(set(ids)) and ids == sorted(ids)
+    assert sum(r["severity_level"] == 3 for r in rows) >= 10
+    assert ids == [r["doc_id"] for r in stratified.stratified_sample(c.unionByName(c).repartition(7), 60, 3, {3.0: 10}).collect()]
+    assert sum(r["sampling_weight"] for r in rows) == pytest.approx(c.count())
     assert stratified.stratified_sample(c.limit(0), 5, 1).count() == 0 and stratified.stratified_sample(c, 10**6, 1).count() == c.count()
 
 
-def test_stratified_trim_is_uniform(spark):
-    # 20 years a level: every cell takes one at least, so 40 takes are trimmed to 30
+def test_stratified_takes_exact_quotas(spark):
+    # 20 years a level: single rows go to the years by remainder, and no level loses its floor
     c = spark.range(2200).selectExpr("concat('d', id) as doc_id", "if(id < 40, 4.0D, 2.0D) as severity_level", "id % 20 as year")
-    kept = [sum(r["severity_level"] == 4 for r in stratified.stratified_sample(c, 30, seed, {4.0: 10}).collect()) for seed in range(8)]
-    assert 11 <= sum(kept) / len(kept) <= 19, kept  # half of 30; by key, the densely taken level lost nearly all
+    for seed in range(3):
+        rows = stratified.stratified_sample(c, 30, seed, {4.0: 10}).collect()
+        assert [sum(r["severity_level"] == k for r in rows) for k in (4, 2)] == [10, 20]
+        assert {r["year"] for r in rows if r["severity_level"] == 2} == set(range(20))
+
+
+def test_smallest_keys(spark):
+    rows = spark.range(5000).selectExpr("concat('k', id) as k", "if(id < 4000, 'hot', 'cold') as c")
+    quotas = spark.createDataFrame([(1, "hot", 700, 4000), (1, "cold", 20, 1000), (2, "cold", 2000, 1000)], "p int, c string, quota int, cell_rows bigint")
+    keys = {}
+    for slack in (8.0, 0.01):  # with hardly any slack the thresholds fail and cells are ranked in full
+        got = stratified.smallest_keys(rows, quotas, ["c"], "k", 5, ("p",), slack).collect()
+        keys[slack] = {(r["p"], r["k"]) for r in got}
+        assert len(got) == 1720 and {(p, c): n for p, c, n in spark.createDataFrame(got).groupBy("p", "c").count().collect()} == {(1, "hot"): 700, (1, "cold"): 20, (2, "cold"): 1000}
+    assert keys[8.0] == keys[0.01]
+    want = rows.where("c = 'hot'").select("k", stratified.random_key(5, F.lit(1), F.col("k")).alias("u")).orderBy("u").limit(700).collect()
+    assert {r["k"] for r in want} == {k for p, k in keys[8.0] if p == 1} & {r["k"] for r in rows.where("c = 'hot'").collect()}
 
 
 def test_agreement(spark):
@@ -209,7 +227,11 @@ def test_fit_recovers_and_guards(spark):
     assert f.converged and f.params["m"] == pytest.approx(1000, rel=1e-3) and f.params["t0"] == pytest.approx(10, rel=1e-3)
     yb = diffusion.period_counts("bass", t, np.array([0.02, 0.4, 1000.0]))
     assert forecast.fit_series("bass", t, yb).params["q"] == pytest.approx(0.4, rel=1e-2)
-    assert forecast.backtest(t, y, 16)["passed"]
+    series = spark.createDataFrame(list(zip(t.tolist(), y.tolist())), "t double, y double")
+    passed = forecast.backtest(series, 16)
+    assert passed["passed"] and passed["converged"] and passed["n_test"] == 8
+    assert {r["method"] for r in forecast.error_measures(forecast.held_out(series, 16)).collect()} == {"logistic", "carried_on"}
+    assert [x["cutoff"] for x in forecast.rolling_backtest(series, 21)] == [21, 22, 23]
     for bad in ((t[:4], y[:4]), (t, -y), (t[::-1], y)):
         with pytest.raises(ForecastError):
             forecast.fit_series("logistic", *bad)
