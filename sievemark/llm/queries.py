@@ -14,7 +14,7 @@ from sievemark.llm.pii import find_personal_information, redact
 from sievemark.llm.quality import STATISTICS, classify_forms
 from sievemark.llm.sampling import category_counts, corpus_categories, corpus_rows, draw_samples, sample_report, target_shortfalls
 from sievemark.llm.tokenize import encode_corpus
-from sievemark.session import table
+from sievemark.session import checkpointed, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,13 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return sample_report(p2_sample(spark, d), table(spark, d, "sample_targets"), _counts(spark, d))
+    rows = corpus_rows(table(spark, d, "corpus"), table(spark, d, "extracted"))
+    return sample_report(checkpointed(p2_sample(spark, d)), table(spark, d, "sample_targets"), _counts(spark, d), rows)
+
+
+def p2_availability(spark: SparkSession, d: str) -> DataFrame:
+    """Every target with what is available and by how much that falls short."""
+    return target_shortfalls(table(spark, d, "sample_targets"), _counts(spark, d)).drop("target_share", "wanted")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,17 +86,26 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "language", "n_words", "n_chars", *STATISTICS, "distance", *[F.col("contributions")[x].alias(f"due_to_{x}") for x in STATISTICS], "form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sample, p2_report, p6_found, p6_consensus, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
-SQL: dict[str, str] = {
-    "p2_found": """
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sample, p2_report, p2_availability, p6_found, p6_consensus, p6_reliability, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_statistics)}
+_AVAILABLE = """
 WITH rows AS (
   SELECT DISTINCT doc_id, 'state' AS field_name, upper(trim(state)) AS category FROM corpus WHERE trim(state) <> ''
   UNION ALL SELECT DISTINCT doc_id, 'year', CAST(year AS VARCHAR) FROM corpus WHERE year IS NOT NULL
   UNION ALL SELECT DISTINCT doc_id, 'technology_type', technology_type FROM extracted WHERE parse_ok AND technology_type IS NOT NULL AND doc_id IN (SELECT doc_id FROM corpus)),
-counts AS (SELECT field_name, category, count(*) AS available FROM rows GROUP BY ALL)
+counts AS (SELECT field_name, category, count(*) AS available FROM rows GROUP BY ALL)"""
+SQL: dict[str, str] = {
+    "p2_found": _AVAILABLE
+    + """
 SELECT DISTINCT t.plan_id, t.field_name, t.category
 FROM sample_targets t LEFT JOIN counts c ON c.field_name = t.field_name AND c.category = t.category
 WHERE coalesce(c.available, 0) < CAST(t.target_share AS DECIMAL(20, 10)) * t.sample_size OR coalesce(c.available, 0) < t.min_rows""",
+    "p2_availability": _AVAILABLE
+    + """,
+targets AS (SELECT DISTINCT plan_id, sample_size, field_name, category, min_rows, CAST(target_share AS DECIMAL(20, 10)) * sample_size AS wanted FROM sample_targets)
+SELECT t.plan_id, t.field_name, t.category, t.sample_size, t.min_rows, coalesce(c.available, 0) AS available,
+  greatest(ceil(coalesce(wanted, 0))::BIGINT - coalesce(c.available, 0), coalesce(min_rows, 0) - coalesce(c.available, 0), 0)::BIGINT AS missing,
+  coalesce(c.available, 0) >= coalesce(wanted, 0) AND coalesce(c.available, 0) >= coalesce(min_rows, 0) AS met
+FROM targets t LEFT JOIN counts c ON c.field_name = t.field_name AND c.category = t.category""",
     "p7_found": r"""
 WITH long AS (SELECT doc_id, narrative FROM corpus WHERE len(regexp_extract_all(narrative, '\S+')) > 400),
 parts AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(narrative, '([.?!]["\x27”’»)\]}]?)\s+', '\1' || chr(10), 'g'), '[\n\r\v\f]+')) AS part FROM long)

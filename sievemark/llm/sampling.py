@@ -5,58 +5,25 @@ every category. Categories are counted once; integer quotas come from the larges
 minimum floors and caps at what is available. Where a plan has several fields, their quotas are margins
 of one sample: the table of joint cells is fitted to the margins in proportion to what is available
 (iterative proportional fitting) and rounded by largest remainder under the cells' caps. From each cell
-the rows with the smallest random keys are taken; a threshold on the key, generous by many standard
-deviations, drops nearly all other rows before anything is ranked, so a cell with a third of all rows
-is never sorted as a whole.
+the rows with the smallest random keys are taken (``smallest_keys``: only the rows around the cell's
+threshold are ranked, so a cell with a third of all rows is never sorted as a whole).
 
 Counts of categories and of joint cells come to the driver: there are as many as the targets have
-categories (joint cells: their product at most), whatever the data.
+categories (joint cells: their product, refused over ``MOST_CELLS``), whatever the data.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-OTHER = "\u0000other"  #: rows whose category has no target
 
+from sievemark.operators.stratified import BROADCAST_CELLS, largest_remainder, smallest_keys
 
-def largest_remainder(weights: list[float], total: int, floors: list[int], caps: list[int]) -> list[int]:
-    """Integer quotas that add up to ``total`` where floors and caps allow, in proportion to the weights.
-
-    Floors are met first, as far as caps allow; what is left is shared out by weight, categories at
-    their cap drop out and the others share again. Equal remainders go to the earlier category.
-    """
-    n = len(weights)
-    quota = [min(f, c) for f, c in zip(floors, caps)]
-    want = sum(weights) or 1.0
-    open_ = [i for i in range(n) if weights[i] > 0 and quota[i] < caps[i]]
-    # floors count towards a category's share: raise the others until the total is reached
-    share = [w / want * total for w in weights]
-    goal = {i: max(float(quota[i]), min(share[i], caps[i])) for i in range(n)}
-    for _ in range(n + 1):
-        gap = total - sum(goal.values())
-        free = [i for i in open_ if (goal[i] < caps[i] if gap > 0 else goal[i] > quota[i])]
-        if abs(gap) < 1e-9 or not free:
-            break
-        weight = sum(weights[i] for i in free)
-        for i in free:
-            goal[i] = min(float(caps[i]), max(float(quota[i]), goal[i] + gap * weights[i] / weight))
-    out = [math.floor(goal[i] + 1e-9) for i in range(n)]
-    rest = sorted(range(n), key=lambda i: (-(goal[i] - out[i]), i))
-    left = min(total, round(sum(goal.values()))) - sum(out)
-    for i in rest:
-        if left <= 0:
-            break
-        if out[i] < caps[i] and goal[i] > out[i] + 1e-9:
-            out[i] += 1
-            left -= 1
-    return out
+MOST_CELLS = 20_000_000  #: joint cells of one plan that the driver fits
+OTHER = "\u0000other"  #: rows whose category has no target
 
 
 def fit_cells(counts: np.ndarray, margins: list[np.ndarray], total: int, rounds: int = 60, floors: list[np.ndarray] | None = None) -> np.ndarray:
@@ -182,84 +149,101 @@ def corpus_rows(corpus: DataFrame, extracted: DataFrame) -> DataFrame:
     return base.join(best, "doc_id", "left")
 
 
-def random_key(seed: int, *columns: Column) -> Column:
-    """A uniform number in [0, 1) that depends on the row alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / float(1 << 52)
+def _plans(targets: DataFrame) -> dict[int, dict]:
+    """Size and, by field, (category, share, minimum) of every plan."""
+    plans: dict[int, dict] = {}
+    for t in targets.where("plan_id is not null and field_name is not null and category is not null").select("plan_id", "sample_size", "field_name", "category", "target_share", "min_rows").distinct().orderBy("plan_id", "field_name", "category").collect():
+        p = plans.setdefault(t["plan_id"], {"size": t["sample_size"] or 0, "fields": defaultdict(list)})
+        p["fields"][t["field_name"]].append((t["category"], t["target_share"] or 0.0, t["min_rows"] or 0))
+    return plans
 
 
 def draw_samples(rows: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
     """plan_id, key and the fields of every drawn row.
 
     ``rows``: one row for each key with a column for each field of the targets. Rows without a targeted
-    category in some field of a plan are not drawn for it. Where targets cannot be met the sample is
-    smaller, never padded with other categories. The draw depends on seed and keys only, not on how the
-    table is partitioned. Empty tables give an empty sample.
+    category in some field of a plan are not drawn for it. Minimum rows come before shares; minimums of a
+    field that add up to more than the sample are cut in proportion (and reported). Where targets cannot be
+    met the sample is smaller, never padded with other categories. The draw depends on seed and keys only,
+    not on how the table is partitioned. Empty tables give an empty sample.
     """
     spark = rows.sparkSession
-    plans: dict[int, dict] = {}
-    for t in targets.where("plan_id is not null and category is not null").distinct().orderBy("plan_id", "field_name", "category").collect():
-        p = plans.setdefault(t["plan_id"], {"size": t["sample_size"] or 0, "fields": defaultdict(list)})
-        p["fields"][t["field_name"]].append((t["category"], t["target_share"] or 0.0, t["min_rows"] or 0))
+    plans = _plans(targets)
     fields = sorted({f for p in plans.values() for f in p["fields"]})
     named = {f: {c for p in plans.values() for c, _, _ in p["fields"].get(f, [])} for f in fields}
     if not plans:
         return rows.select(F.lit(None).cast("int").alias("plan_id"), key).where(F.lit(False))
-    cell = [F.when(F.col(f).isin(*sorted(named[f])), F.col(f)).otherwise(OTHER).alias(f) for f in fields]
-    coded = rows.select(key, *cell)
+    coded = rows.select(key, *[F.when(F.col(f).isin(*sorted(named[f])), F.col(f)).otherwise(OTHER).alias(f) for f in fields])
     counts = coded.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")).collect()
-    quotas = []
+    by_fields: dict[tuple, list] = defaultdict(list)  # plans with the same fields share one equi-join
     for plan, p in plans.items():
         own = sorted(p["fields"])
         axis = {f: {c: i for i, (c, _, _) in enumerate(p["fields"][f])} for f in own}
-        table = np.zeros([len(axis[f]) for f in own], np.int64)
-        parts: dict[tuple, list] = defaultdict(list)
+        shape = [len(axis[f]) for f in own]
+        if np.prod(shape, dtype=float) > MOST_CELLS:
+            raise ValueError(f"plan {plan} has more than {MOST_CELLS} joint cells")
+        cells = np.zeros(shape, np.int64)
         for r in counts:
             if all(r[f] in axis[f] for f in own):
-                at = tuple(axis[f][r[f]] for f in own)
-                table[at] += r["n"]
-                parts[at].append(r)
+                cells[tuple(axis[f][r[f]] for f in own)] += r["n"]
         margins, floors = [], []
         for a, f in enumerate(own):
-            caps = table.sum(axis=tuple(i for i in range(table.ndim) if i != a)).tolist()
-            margins.append(np.array(largest_remainder([s for _, s, _ in p["fields"][f]], p["size"], [m for _, _, m in p["fields"][f]], caps)))
-            floors.append(np.array([min(m, c) for (_, _, m), c in zip(p["fields"][f], caps)]))
-        quota = fit_cells(table, margins, min(p["size"], *(int(m.sum()) for m in margins)), floors=floors)
-        for at, q in np.ndenumerate(quota):
-            if q:
-                quotas.append((plan, *(p["fields"][f][at[own.index(f)]][0] if f in own else None for f in fields), int(q), int(table[at])))
-    schema = ", ".join(["plan_id int", *[f"`{f}` string" for f in fields], "quota int", "cell_rows bigint"])
-    q = spark.createDataFrame(quotas, schema).withColumn("reach", F.least(F.lit(1.0), (F.col("quota") + 8 * F.sqrt("quota") + 40) / F.col("cell_rows")))
-    on = [(coded[f] == q[f]) | q[f].isNull() for f in fields] if any(len(p["fields"]) < len(fields) for p in plans.values()) else fields
-    joined = coded.withColumn("_free", F.lit(0)).join(F.broadcast(q) if len(quotas) <= 1_000_000 else q, on if isinstance(on, list) and isinstance(on[0], str) else on)
-    if not isinstance(on[0], str):
-        joined = joined.select(key, "plan_id", *[coded[f] for f in fields], "quota", "reach")
-    drawn = joined.withColumn("u", random_key(seed, F.col("plan_id"), F.col(key))).where(F.col("u") <= F.col("reach"))
-    group = Window.partitionBy("plan_id", *fields).orderBy("u", key)
-    return drawn.withColumn("rank", F.row_number().over(group)).where("rank <= quota").select("plan_id", key, *fields)
-
-
-def sample_report(sample: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each target with available, wanted, drawn and drawn_share, whether the data could meet it and whether the sample does.
-
-    ``quota`` is what its field alone would get (largest remainder with floors and caps);
-    ``drawn_missing`` is how far the sample falls short of the quota or the minimum, whichever is more,
-    and ``drawn_met`` says that it does not.
+            caps = cells.sum(axis=tuple(i for i in range(cells.ndim) if i != a)).tolist()
+            least = [min(m, c) for (_, _, m), c in zip(p["fields"][f], caps)]
+            if sum(least) > p["size"]:
+                least = largest_remainder(least, p["size"], [0] * len(least), least)
+            margins.append(np.array(largest_remainder([s for _, s, _ in p["fields"][f]], p["size"], least, caps)))
+            floors.append(np.array(least))
+        quota = fit_cells(cells, margins, min(p["size"], *(int(m.sum()) for m in margins)), floors=floors)
+        by_fields[tuple(own)] += [(plan, *(p["fields"][f][i][0] for f, i in zip(own, at)), int(q), int(cells[at])) for at, q in np.ndenumerate(quota) if q]
+    parts = []
+    for own, cells in by_fields.items():
+        quotas = spark.createDataFrame(cells, ", ".join(["plan_id int", *[f"`{f}` string" for f in own], "quota int", "cell_rows bigint"]))
+        drawn = smallest_keys(coded, quotas, list(own), key, seed, ("plan_id",))
+        parts.append(drawn.select("plan_id", key, *[F.col(f) if f in own else F.nullif(F.col(f), F.lit(OTHER)).alias(f) for f in fields]))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def sample_report(sample: DataFrame, targets: DataFrame, counts: DataFrame, rows: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Every target held against the sample that was drawn for it.
+
+    wanted is target_share * sample_size, available what the tables hold and drawable (with ``rows``, the
+    table the sample was drawn from) what could be drawn, where a row has one category of a field.
+    quota is what the field alone would get (largest remainder with floors and caps). A target is ``met``
+    when as many rows as wanted and as min_rows were drawn. Otherwise ``reason`` says why, the first that
+    applies: available (too few rows), floors (the minimums of its field add up to more than the sample),
+    rounding (less than one row short of wanted, minimum kept), floors_of_others (its field's quota is
+    under wanted because of minimums of other categories) or joint (the plan's other fields do not leave
+    enough rows). short_of_share and short_of_minimum say by how much.
     """
-    fields = [c for c in sample.columns if c not in ("plan_id", "doc_id")]
-    per = sample.select("plan_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("category")) for f in fields])).alias("p")).groupBy("plan_id", "p.field_name", "p.category").agg(F.count(F.lit(1)).alias("drawn"))
-    size = sample.groupBy("plan_id").agg(F.count(F.lit(1)).alias("drawn_rows"))
-    short = target_shortfalls(targets, counts)
-    margins: dict[tuple, list] = defaultdict(list)
-    for r in short.where("plan_id is not null and category is not null").orderBy("plan_id", "field_name", "category").collect():
-        margins[r["plan_id"], r["field_name"], r["sample_size"] or 0].append(r)
-    quotas = []
-    for (plan, field, total), rows in margins.items():
-        quota = largest_remainder([r["target_share"] or 0.0 for r in rows], total, [r["min_rows"] or 0 for r in rows], [r["available"] for r in rows])
-        quotas += [(plan, field, r["category"], int(q)) for r, q in zip(rows, quota)]
-    quota = sample.sparkSession.createDataFrame(quotas, "plan_id int, field_name string, category string, quota bigint")
+    spark = sample.sparkSession
+    fields = [c for c in sample.columns if c not in ("plan_id", key)]
+    split = lambda df, *more: df.select(*more, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("category")) for f in fields])).alias("p")).groupBy(*more, "p.field_name", "p.category").agg(F.count(F.lit(1)).alias("n"))
     on = ["plan_id", "field_name", "category"]
-    out = short.join(per, on, "left").join(F.broadcast(quota), on, "left").join(size, "plan_id", "left")
-    zero = F.lit(0).cast("bigint")
-    out = out.withColumn("drawn", F.coalesce("drawn", zero)).withColumn("quota", F.coalesce("quota", zero)).withColumn("drawn_share", F.try_divide("drawn", "drawn_rows")).drop("drawn_rows")
-    missing = F.greatest(F.col("quota") - F.col("drawn"), F.coalesce("min_rows", F.lit(0)) - F.col("drawn"), zero)
-    return out.withColumn("drawn_missing", missing.cast("bigint")).withColumn("drawn_met", F.col("drawn_missing") == 0)
+    short = target_shortfalls(targets, counts).drop("missing", "met")
+    have = {(r["field_name"], r["category"]): r["available"] for r in short.select("field_name", "category", "available").distinct().collect()}
+    quotas = []
+    for plan, p in _plans(targets).items():
+        for f, cats in p["fields"].items():
+            caps = [have[f, c] for c, _, _ in cats]
+            least = [min(m, c) for (_, _, m), c in zip(cats, caps)]
+            over = sum(m for _, _, m in cats) > p["size"]
+            if sum(least) > p["size"]:
+                least = largest_remainder(least, p["size"], [0] * len(least), least)
+            quotas += [(plan, f, c, int(q), over) for (c, _, _), q in zip(cats, largest_remainder([s for _, s, _ in cats], p["size"], least, caps))]
+    quota = spark.createDataFrame(quotas, "plan_id int, field_name string, category string, quota bigint, floors_over_size boolean")
+    quota = F.broadcast(quota) if len(quotas) <= BROADCAST_CELLS else quota
+    out = short.join(quota, on, "left").join(split(sample, "plan_id").withColumnRenamed("n", "drawn"), on, "left").join(sample.groupBy("plan_id").agg(F.count(F.lit(1)).alias("drawn_rows")), "plan_id", "left")
+    out = out.join(split(rows, F.lit(0).alias("_")).drop("_").withColumnRenamed("n", "drawable"), on[1:], "left") if rows is not None else out.withColumn("drawable", F.col("available"))
+    out = out.na.fill(0, ["drawn", "quota", "drawable"]).withColumn("drawn_share", F.try_divide("drawn", "drawn_rows")).drop("drawn_rows")
+    least = F.coalesce("min_rows", F.lit(0))
+    out = out.withColumn("short_of_share", F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0.0))).withColumn("short_of_minimum", F.greatest(least - F.col("drawn"), F.lit(0)).cast("bigint"))
+    met = (F.col("short_of_share") <= 1e-9) & (F.col("short_of_minimum") == 0)
+    reason = (
+        F.when(met, None).when((F.col("drawable") < F.col("wanted") - 1e-9) | (F.col("drawable") < least), "available").when((F.col("short_of_minimum") > 0) & F.col("floors_over_size"), "floors")
+        .when((F.col("short_of_share") < 1) & (F.col("short_of_minimum") == 0), "rounding").when((F.col("quota") < F.floor("wanted")) & (F.col("drawn") >= F.col("quota")), "floors_of_others").otherwise("joint")
+    )
+    return out.withColumn("met", met).withColumn("reason", reason)

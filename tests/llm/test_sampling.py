@@ -2,7 +2,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sievemark.llm.sampling import category_counts, corpus_categories, corpus_rows, draw_samples, fit_cells, largest_remainder, sample_report, target_shortfalls
+from sievemark.llm.sampling import category_counts, corpus_categories, corpus_rows, draw_samples, fit_cells, sample_report, target_shortfalls
+from sievemark.operators.stratified import largest_remainder
 from sievemark.session import table
 
 
@@ -42,8 +43,14 @@ def test_whole(spark, data):
     sizes = {r["plan_id"]: r["sample_size"] for r in targets.collect()}
     for p, n in sizes.items():
         assert sum(r[0] == p for r in got) <= n
-    rep = sample_report(s, targets, category_counts(corpus_categories(corpus, extracted))).collect()
-    assert len(rep) == targets.count() and all(r["drawn"] <= r["available"] for r in rep)
+    rep = sample_report(s, targets, category_counts(corpus_categories(corpus, extracted)), rows).collect()
+    assert len(rep) == targets.count()
+    for r in rep:
+        assert r["drawn"] <= r["drawable"] <= r["available"]
+        assert r["met"] == (r["drawn"] >= r["wanted"] - 1e-9 and r["drawn"] >= (r["min_rows"] or 0)) == (r["reason"] is None)
+        assert r["drawn"] == sum(x[0] == r["plan_id"] and x[s.columns.index(r["field_name"])] == r["category"] for x in got)
+        if r["short_of_minimum"] and r["drawable"] >= r["min_rows"]:  # a minimum is given up only where all of them cannot be kept, or by a field whose own cannot
+            assert r["reason"] in ("floors", "joint")
 
 
 def test_edges(spark):
@@ -79,9 +86,19 @@ def test_floors_survive_rounding():
     assert q.sum() == 10 and (q.sum(1) >= 3).all()
 
 
-def test_report_names_what_the_sample_misses(spark):
-    targets = spark.createDataFrame([(1, 4, "state", "TX", 0.5, 2), (1, 4, "state", "CA", 0.5, 2), (1, 4, "year", "2020", 1.0, 4)], "plan_id int, sample_size int, field_name string, category string, target_share double, min_rows int")
+def test_report_says_what_was_missed_and_why(spark):
+    target = "plan_id int, sample_size int, field_name string, category string, target_share double, min_rows int"
     rows = spark.createDataFrame([(f"t{i}", "TX", "2020") for i in range(9)] + [(f"c{i}", "CA", "2021") for i in range(9)], "doc_id string, state string, year string")
     counts = category_counts(rows.selectExpr("doc_id", "stack(2, 'state', state, 'year', year) as (field_name, category)"))
-    rep = {r["category"]: (r["met"], r["quota"], r["drawn"], r["drawn_missing"], r["drawn_met"]) for r in sample_report(draw_samples(rows, targets), targets, counts).collect()}
-    assert rep["CA"] == (True, 2, 0, 2, False) and rep["TX"][3:] == (0, True)
+
+    def report(*targets):
+        t = spark.createDataFrame([(1, *x) for x in targets], target)
+        s = draw_samples(rows, t)
+        return {r["category"]: (r["drawn"], r["met"], r["reason"], r["short_of_minimum"]) for r in sample_report(s, t, counts, rows).collect()}
+
+    assert report((4, "state", "TX", 0.5, 2), (4, "state", "CA", 0.5, 2)) == {"TX": (2, True, None, 0), "CA": (2, True, None, 0)}
+    assert report((4, "state", "TX", 0.5, 2), (4, "state", "CA", 0.5, 2), (4, "year", "2020", 1.0, 4)) == {"TX": (4, True, None, 0), "CA": (0, False, "joint", 2), "2020": (4, True, None, 0)}
+    assert report((4, "state", "TX", 0.5, 4), (4, "state", "CA", 0.5, 4)) == {"TX": (2, False, "floors", 2), "CA": (2, False, "floors", 2)}
+    assert report((5, "state", "TX", 0.9, 0), (5, "state", "CA", 0.1, 3)) == {"TX": (2, False, "floors_of_others", 0), "CA": (3, True, None, 0)}
+    assert report((5, "state", "TX", 0.5, 0), (5, "state", "CA", 0.5, 0)) == {"CA": (3, True, None, 0), "TX": (2, False, "rounding", 0)}
+    assert report((30, "state", "TX", 0.5, 0), (30, "state", "CA", 0.5, 9)) == {"TX": (9, False, "available", 0), "CA": (9, False, "available", 0)}
