@@ -1,24 +1,28 @@
 """Schemas that drift between files.
 
 Every record is opened once into path/value pairs with the raw type of each value (a variant, so a
-number stays a number). Pairs are reduced to counts by feed, file, field, type and content shape before
-anything moves; all further work is on these counts, whose number follows files and fields, not rows.
-Comparing neighbouring files of a feed gives added, removed, renamed and retyped fields, and from the
-renames each file's fields get their place in one typed table. A value that does not fit its column is
-kept as text and named in ``failed_casts``.
+number stays a number), objects and arrays at any depth. Pairs are reduced to counts by feed, file, path,
+type and content shape before anything moves; shapes are of a bounded number, so further work follows files
+and paths, not rows. Each file is compared with the one before it, which gives added, removed, renamed and
+retyped fields; renames, and the content of keys with unknown names, put the fields into one typed table. A
+value that does not fit its column is kept as text and named in ``failed_casts``.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievemark.functions.keys import snake_name
+from sievemark.session import checkpointed
 
 #: The reference's seven record fields and the types they get in the one table.
 REFERENCE_FIELDS = {"ccn": "string", "survey_date": "date", "f_tag": "string", "narrative": "string", "scope_severity": "string", "is_complaint": "boolean", "state": "string"}
@@ -33,23 +37,34 @@ def _raw_type(schema: Column) -> Column:
     )
 
 
+VALUE_BUCKETS = 64  #: short values are told apart by a hash into so many
+
+
 def _shape(text: Column, raw: Column, released: Column) -> Column:
-    """A class of content that survives another name or type: yes/no words, days by distance from the release, codes by pattern, running text."""
+    """A class of content that survives another name or type, one of a bounded number.
+
+    Yes/no words, days by distance from the release, letters and digits by length, numbers, running text;
+    a single letter, a pair of letters and other short text also by a bucket of the value.
+    """
     t = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
     years = F.floor(F.datediff(released.cast("date"), F.expr("try_cast(substring(trim(value_text), 1, 10) as date)")) / 365.25)
+    bucket = F.pmod(F.xxhash64(t), F.lit(VALUE_BUCKETS)).cast("string")
+    words = F.least(F.lit(4), F.regexp_count(t, F.lit(r"\S+"))).cast("string")
     return (
         F.when(raw.isin("object", "array"), raw)
         .when(t.isin("true", "y", "yes", "t", "1"), "yes")
         .when(t.isin("false", "n", "no", "f", "0"), "no")
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.concat(F.lit("day"), F.when(years < 0, "-").otherwise("+")))
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{4}$"), F.concat(F.lit("day"), F.when(years < 0, "-").otherwise("+")))
         .when(t.rlike(r"^[a-z]?\d{3,4}$"), "code3")
-        .when(t.rlike(r"^-?\d+$"), F.concat(F.lit("int"), F.length(t)))
+        .when(t.rlike(r"^-?\d+$"), F.concat(F.lit("int"), F.least(F.lit(12), F.length(t)).cast("string")))
         .when(t.rlike(r"^-?\d+[.,]\d+$"), "decimal")
-        .when(t.rlike(r"^[a-z]$"), "letter")
-        .when(t.rlike(r"^[a-z]{2}$"), "pair")
+        .when(t.rlike(r"^(?=.*\d)[a-z0-9]+$"), F.concat(F.lit("mixed"), F.least(F.lit(12), F.length(t)).cast("string")))
+        .when(t.rlike(r"^[a-l]$"), F.concat(F.lit("letter:"), bucket))
+        .when(t.rlike(r"^[m-z]$"), F.concat(F.lit("initial:"), bucket))
+        .when(t.rlike(r"^[a-z]{2}$"), F.concat(F.lit("pair:"), bucket))
         .when(F.length(t) >= 25, "prose")
         .when(t == "", "blank")
-        .otherwise(F.concat(F.lit("word:"), t))
+        .otherwise(F.concat(F.lit("word"), words, F.lit(":"), bucket))
     )
 
 
@@ -84,32 +99,60 @@ def _inner(field: str, text: str | None) -> list[tuple[str, str, str | None]]:
     return out
 
 
-def path_statistics(records: DataFrame) -> DataFrame:
-    """Counts by feed, file, path and raw type, with the paths inside objects and arrays at any depth.
-
-    Changes of a schema are about the keys of a record (``field_statistics``); here a value that became
-    an object has its inner paths too (``scope_severity.severity``).
-    """
-    flat = F.udf(_inner, "array<struct<field: string, raw_type: string, value_text: string>>")
+def every_path(records: DataFrame) -> DataFrame:
+    """``path_values`` and the paths inside objects and arrays at any depth: the same columns and depth (0 for a key of the record)."""
+    flat = F.udf(_inner, "array<struct<field: string, raw_type: string, value_text: string>>", useArrow=True)
     pairs = path_values(records)
-    nested = pairs.where(F.col("raw_type").isin("object", "array")).select("feed", "file_name", F.explode(flat("field", "value_text")).alias("p")).select("feed", "file_name", "p.field", "p.raw_type")
-    every = pairs.select("feed", "file_name", "field", "raw_type").unionByName(nested)
-    return every.groupBy("feed", "file_name", F.col("field").alias("path"), "raw_type").agg(F.count(F.lit(1)).alias("n"))
+    head = ["feed", "file_name", "released_at", "position"]
+    nested = pairs.where(F.col("raw_type").isin("object", "array")).select(*head, "field", F.explode(flat("field", "value_text")).alias("p"))
+    depth = F.length(F.col("path")) - F.length(F.translate(F.col("path"), ".[", ""))
+    inner = nested.select(*head, "field", F.col("p.field").alias("path"), F.col("p.raw_type").alias("raw_type"), F.col("p.value_text").alias("value_text"))
+    inner = inner.withColumn("depth", (depth - (F.length("field") - F.length(F.translate("field", ".[", "")))).cast("int"))
+    return pairs.withColumn("depth", F.lit(0)).unionByName(inner.drop("field").withColumnRenamed("path", "field"))
+
+
+def path_statistics(records: DataFrame) -> DataFrame:
+    """Counts by feed, file, path and raw type, with the paths inside objects and arrays at any depth."""
+    return every_path(records).groupBy("feed", "file_name", F.col("field").alias("path"), "raw_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def field_statistics(records: DataFrame) -> DataFrame:
-    """Counts by feed, file, field, raw type and content shape; field null counts the file's records."""
-    pairs = path_values(records)
-    by_shape = pairs.withColumn("shape", F.when(F.col("raw_type") != "null", _shape(F.col("value_text"), F.col("raw_type"), F.col("released_at"))))
-    stats = by_shape.groupBy("feed", "file_name", "field", "raw_type", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("released_at").alias("released_at"))
+    """Counts by feed, file, path, depth, raw type and content shape: a bounded number for each path of a file."""
+    shape = F.when(F.col("raw_type") != "null", _shape(F.col("value_text"), F.col("raw_type"), F.col("released_at")))
+    return every_path(records).withColumn("shape", shape).groupBy("feed", "file_name", "field", "depth", "raw_type", "shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_sketches(records: DataFrame, min_share: float) -> DataFrame:
+    """One row for each file with its place in the feed, the file before it and the fields that at least ``min_share`` of its records carry."""
+    cells = F.collect_list(F.struct("raw_type", "shape", "n"))
+    fields = field_statistics(records).groupBy("feed", "file_name", "field", "depth").agg(F.sum("n").alias("carry"), cells.alias("cells"))
+    order = Window.partitionBy("feed").orderBy(F.col("released_at").asc_nulls_first(), "file_name")
     files = records.groupBy("feed", "file_name").agg(F.count(F.lit(1)).alias("n"), F.min("released_at").alias("released_at"))
-    empty = F.lit(None).cast("string")
-    return stats.unionByName(files.select("feed", "file_name", empty.alias("field"), empty.alias("raw_type"), empty.alias("shape"), "n", "released_at"))
+    files = files.withColumn("seq", F.row_number().over(order)).withColumn("before", F.lag("file_name").over(order))
+    kept = fields.join(files.select("feed", "file_name", "n"), ["feed", "file_name"]).where(F.col("carry") >= min_share * F.col("n"))
+    held = kept.groupBy("feed", "file_name").agg(F.collect_list(F.struct("field", "depth", "cells")).alias("fields"))
+    return files.select("feed", "file_name", "seq", "before").join(held, ["feed", "file_name"], "left")
 
 
 def _likeness(a: Counter, b: Counter) -> float:
-    na, nb = sum(a.values()), sum(b.values())
-    return sum(min(a[k] / na, b[k] / nb) for k in a.keys() & b.keys()) if na and nb else 0.0
+    """Common share of two fields' shapes. Values of short text count where they repeat in both, else its form alone."""
+    by_value = all(_repeats(x) for x in (a, b))
+    form = lambda k: k if by_value and k.startswith("word") else k.split(":")[0]
+    x, y = Counter(), Counter()
+    for c, out in ((a, x), (b, y)):
+        for k, n in c.items():
+            out[form(k)] += n
+    return _overlap(x, y)
+
+
+def _overlap(x: Counter, y: Counter) -> float:
+    nx, ny = sum(x.values()), sum(y.values())
+    return sum(min(x[k] / nx, y[k] / ny) for k in x.keys() & y.keys()) if nx and ny else 0.0
+
+
+def _repeats(c: Counter) -> bool:
+    words = {k: n for k, n in c.items() if k.startswith("word")}
+    return 3 * len(words) <= sum(words.values())
 
 
 def _name_likeness(a: str, b: str) -> float:
@@ -118,83 +161,143 @@ def _name_likeness(a: str, b: str) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
-def _feed_history(stats: pd.DataFrame, min_share: float, min_likeness: float) -> list[dict]:
-    """The changes of one feed and, for each of its files, the column each field belongs to."""
-    files: dict[str, dict] = {}
-    for r in stats.itertuples(index=False):
-        f = files.setdefault(r.file_name, {"at": r.released_at, "n": 0, "types": defaultdict(Counter), "shapes": defaultdict(Counter), "carry": Counter()})
-        f["at"] = min(f["at"], r.released_at) if pd.notna(f["at"]) and pd.notna(r.released_at) else (f["at"] if pd.notna(f["at"]) else r.released_at)
-        if r.field is None:
-            f["n"] += r.n
-            continue
-        f["carry"][r.field] += r.n
-        if r.raw_type != "null":
-            f["types"][r.field][r.raw_type] += r.n
-            f["shapes"][r.field][r.shape] += r.n
-    rows, last, column = [], None, {}
-    for name in sorted(files, key=lambda k: (pd.notna(files[k]["at"]), files[k]["at"] if pd.notna(files[k]["at"]) else 0, k)):
-        f = files[name]
-        has = {k for k, c in f["carry"].items() if c * 1.0 >= min_share * f["n"]}
-        typ = {k: max(TYPES, key=lambda t, k=k: (f["types"][k][t], -TYPES.index(t))) for k in has if f["types"][k]}
-        if last is not None:
-            gone, new = sorted(last["has"] - has), sorted(has - last["has"])
-            pairs = []
-            for g in gone:
-                for n in new:
-                    like = _likeness(last["shapes"][g], f["shapes"][n])
-                    if like >= min_likeness:
-                        pairs.append((-round(like + _name_likeness(g, n), 6), g, n))
-            renamed: dict[str, str] = {}
-            for _, g, n in sorted(pairs):
-                if g not in renamed.values() and n not in renamed:
-                    renamed[n] = g
-            said = [(n, "renamed") for n in renamed] + [(n, "added") for n in new if n not in renamed] + [(g, "removed") for g in gone if g not in renamed.values()]
-            for k in has:
-                old = renamed.get(k, k)
-                if old in last["typ"] and k in typ and last["typ"][old] != typ[k]:
-                    said.append((k, "retyped"))
-            rows += [{"file_name": name, "field_name": k, "change_kind": c, "old_name": renamed.get(k), "old_type": last["typ"].get(renamed.get(k, k)), "new_type": typ.get(k), "column_name": None} for k, c in said]
-            column = {**column, **{n: column.get(g, g) for n, g in renamed.items()}}
-        rows += [{"file_name": name, "field_name": k, "change_kind": "present" if k in has else "stray", "old_name": None, "old_type": None, "new_type": typ.get(k), "column_name": column.get(k, k)} for k in f["carry"]]
-        last = {"has": has, "typ": typ, "shapes": f["shapes"]}
-    return rows
-
-
-def schema_history(records: DataFrame, min_share: float = 0.1, min_likeness: float = 0.6) -> DataFrame:
-    """Changes against the preceding file of a feed, and each field's column.
-
-    Returns feed, file_name, field_name, change_kind (added, removed, renamed, retyped; present or stray
-    for the fields a file carries), old_name, old_type, new_type and column_name. Files follow by
-    released_at, files without it first, ties by name. A field counts when at least ``min_share`` of the
-    file's records carry it; it is renamed when the content shapes agree by ``min_likeness``. Repeated
-    rows count as delivered. Empty input: no rows.
-    """
+def _read(fields: list[dict] | None) -> dict[str, dict]:
+    """Depth, type and shapes of each field of a file."""
+    out = {}
+    for f in fields or []:
+        types, shapes = Counter(), Counter()
+        for c in f["cells"]:
+            if c["raw_type"] != "null":
+                types[c["raw_type"]] += c["n"]
+                shapes[c["shape"]] += c["n"]
+        out[f["field"]] = {"depth": f["depth"], "type": max(TYPES, key=lambda t: (types[t], -TYPES.index(t))) if types else None, "shapes": shapes}
+    return out
 
-    def run(key: tuple, stats: pd.DataFrame) -> pd.DataFrame:
-        stats = stats.astype({"field": object, "raw_type": object, "shape": object}).where(stats.notna(), None)
-        out = pd.DataFrame(_feed_history(stats, min_share, min_likeness), columns=["file_name", "field_name", "change_kind", "old_name", "old_type", "new_type", "column_name"])
-        out.insert(0, "feed", key[0])
-        return out
 
-    schema = "feed string, file_name string, field_name string, change_kind string, old_name string, old_type string, new_type string, column_name string"
-    return field_statistics(records).groupBy("feed").applyInPandas(run, schema)
+def _best_pairs(scores: list[tuple[float, str, str]]) -> dict[str, str]:
+    """Second name to first name, the best scores first, each name once."""
+    out: dict[str, str] = {}
+    for _, old, new in sorted((-s, o, n) for s, o, n in scores):
+        if old not in out.values() and new not in out:
+            out[new] = old
+    return out
+
+
+def _compare(last: dict[str, dict], now: dict[str, dict], min_likeness: float) -> list[tuple]:
+    """(field, change, old name, old type, new type, depth) between neighbouring files."""
+    parent = lambda k, d: k.rpartition("." if k.rfind(".") > k.rfind("[]") else "[]")[0] if d else ""
+    gone, new = sorted(last.keys() - now.keys()), sorted(now.keys() - last.keys())
+    scores = []
+    for g in gone:
+        for n in new:
+            if last[g]["depth"] == now[n]["depth"] and parent(g, last[g]["depth"]) == parent(n, now[n]["depth"]):
+                like = _likeness(last[g]["shapes"], now[n]["shapes"])
+                if like >= min_likeness:
+                    scores.append((round(like + _name_likeness(g, n), 6), g, n))
+    renamed = _best_pairs(scores)
+    out = [(n, "renamed", g, last[g]["type"], now[n]["type"], now[n]["depth"]) for n, g in renamed.items()]
+    out += [(n, "added", None, None, now[n]["type"], now[n]["depth"]) for n in new if n not in renamed]
+    out += [(g, "removed", None, last[g]["type"], None, last[g]["depth"]) for g in gone if g not in renamed.values()]
+    for k, f in now.items():
+        old = renamed.get(k, k)
+        if old in last and last[old]["type"] and f["type"] and last[old]["type"] != f["type"]:
+            out.append((k, "retyped", renamed.get(k), last[old]["type"], f["type"], f["depth"]))
+    return out
+
+
+_EVENT = "feed string, file_name string, seq int, field_name string, change_kind string, old_name string, old_type string, new_type string, depth int, by_content string"
+
+
+def schema_events(records: DataFrame, min_share: float = 0.1, min_likeness: float = 0.6) -> DataFrame:
+    """All changes of every file against the one before, and its keys whose content is that of a missing reference field (change_kind stands_for)."""
+    sketches = checkpointed(file_sketches(records, min_share))
+    cells = sketches.select(F.explode("fields").alias("f")).where(F.col("f.field").isin(*REFERENCE_FIELDS) & (F.col("f.depth") == 0)).select("f.field", F.explode("f.cells").alias("c"))
+    profile: dict[str, Counter] = {k: Counter() for k in REFERENCE_FIELDS}  # shapes of the reference fields where they have their own name
+    for r in cells.where("c.shape is not null").groupBy("field", "c.shape").agg(F.sum("c.n").alias("n")).collect():
+        profile[r["field"]][r["shape"]] += r["n"]
+    before = sketches.select("feed", F.col("file_name").alias("before"), F.col("fields").alias("last"))
+    pairs = sketches.join(before, ["feed", "before"], "left").select("feed", "file_name", "seq", F.col("before").isNotNull().alias("follows"), "last", "fields")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                now = _read(r["fields"])
+                said = _compare(_read(r["last"]), now, min_likeness) if r["follows"] else []
+                out += [(r["feed"], r["file_name"], r["seq"], *x, None) for x in said]
+                out += [(r["feed"], r["file_name"], r["seq"], k, "stands_for", None, None, now[k]["type"], 0, ref) for k, ref in _by_content(now, profile).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 10, [pa.string()] * 2 + [pa.int32()] + [pa.string()] * 5 + [pa.int32(), pa.string()])], names=[x.split()[0] for x in _EVENT.split(", ")])
+
+    events = checkpointed(pairs.mapInArrow(run, _EVENT))
+    # a key that stands beside the field in some file is another field
+    stands = events.where("change_kind = 'stands_for'").select("field_name", "by_content").distinct()
+    names = sketches.select(F.transform(F.filter("fields", lambda f: f["depth"] == 0), lambda f: f["field"]).alias("names"))
+    beside = names.select(F.explode("names").alias("field_name"), "names").join(stands, "field_name").where(F.array_contains("names", F.col("by_content"))).select("field_name", "by_content").distinct()
+    return events.join(beside, ["field_name", "by_content"], "left_anti")
 
 
 def schema_changes(records: DataFrame, **options: float) -> DataFrame:
-    """Only the changes: feed, file_name, field_name, change_kind, old_name, old_type, new_type."""
-    return schema_history(records, **options).where(F.col("change_kind").isin("added", "removed", "renamed", "retyped")).drop("column_name")
+    """feed, file_name, field_name, change_kind (added, removed, renamed, retyped), old_name, old_type, new_type, depth.
+
+    Files follow by released_at, files without it first, ties by name. A field counts when at least
+    ``min_share`` of the file's records carry it; it is renamed when the content shapes agree by
+    ``min_likeness``. Paths inside objects and arrays (``a.b``, ``a[]``) are compared like keys, at depth 1
+    and more, and renamed only inside the same parent. Repeated rows count as delivered. Empty input: no rows.
+    Only counts of shapes move, a bounded number for each path of a file; a file is compared in one task
+    with the one before it alone, so a feed with many files is no single task.
+    """
+    return schema_events(records, **options).where("change_kind != 'stands_for'").drop("seq", "by_content")
+
+
+#: The shapes that values of the reference fields have (any bucket). Where a key is unknown, these tell what it may stand for (the letter f alone looks like a no).
+CONTENT = {"ccn": ("int5", "int6", "mixed6"), "survey_date": ("day+",), "f_tag": ("code3",), "narrative": ("prose",), "scope_severity": ("letter", "no"), "is_complaint": ("yes", "no"), "state": ("pair",)}
+
+
+def _by_content(now: dict[str, dict], profile: dict[str, Counter], min_fit: float = 0.8, min_overlap: float = 0.3) -> dict[str, str]:
+    """Keys of a file that stand for a reference field it lacks.
+
+    Most values must have a shape of the field, and where other files carry the field under its own name, the
+    key's values must overlap with theirs (``schema_events`` also drops keys that stand beside the field in some file). The better fit wins, then the likelier name.
+    """
+    scores = []
+    for ref in REFERENCE_FIELDS:
+        if ref in now:
+            continue
+        for k, f in now.items():
+            total = sum(f["shapes"].values())
+            if f["depth"] or k in REFERENCE_FIELDS or not total:
+                continue
+            fit = sum(n for s, n in f["shapes"].items() if s.split(":")[0] in CONTENT[ref]) / total
+            overlap = _overlap(f["shapes"], profile[ref]) if profile[ref] else 1.0
+            if ref == "scope_severity" and 2 * sum(n for s, n in f["shapes"].items() if s.startswith("letter")) < total:
+                continue
+            if fit >= min_fit and overlap >= min_overlap:
+                scores.append((round(fit + overlap + _name_likeness(k, ref), 6), ref, k))
+    return _best_pairs(scores)
+
+
+def field_columns(events: DataFrame) -> DataFrame:
+    """feed, name, from_seq, to_seq, column_name: the column of every name that a rename or its content gave one, while that holds.
+
+    A renamed field keeps the column of its first name. Only a feed's renames are brought together.
+    """
 
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        column: dict[str, tuple[str, int]] = {}
+        out = []
+        for seq, part in p.sort_values(["seq", "field_name"]).groupby("seq"):
+            new = {r.field_name: column.get(r.old_name, (r.old_name, 0))[0] for r in part.itertuples()}
+            for name, target in new.items():
+                if name in column:
+                    out.append((key[0], name, column[name][1], int(seq) - 1, column[name][0]))
+                column[name] = (target, int(seq))
+        out += [(key[0], name, since, 2**31 - 1, target) for name, (target, since) in column.items()]
+        return pd.DataFrame(out, columns=["feed", "name", "from_seq", "to_seq", "column_name"])
 
-#: Other names of the reference fields, for feeds whose first file uses one already. Fixed values.
-FIELD_ALIASES = {
-    "ccn": ["facility_id", "provider_number", "federal_provider_number"],
-    "survey_date": ["exit_date", "inspection_date"],
-    "f_tag": ["ftag_cd", "deficiency_tag", "tag_number", "tag"],
-    "narrative": ["finding", "findings_text"],
-    "scope_severity": ["ss_letter", "scope_sev", "deficiency_level", "severity_code"],
-    "is_complaint": ["complaint_ind", "complaint", "complaint_flag", "from_complaint"],
-    "state": ["st_cd", "provider_state"],
-}
+    top = events.where("depth = 0")
+    kept = top.where("change_kind = 'renamed'").select("feed", "seq", "field_name", "old_name").groupBy("feed").applyInPandas(run, "feed string, name string, from_seq int, to_seq int, column_name string")
+    said = top.where("change_kind = 'stands_for'").select("feed", F.col("field_name").alias("name"), F.col("seq").alias("from_seq"), F.col("seq").alias("to_seq"), F.col("by_content").alias("column_name"))
+    return kept.withColumn("rank", F.when(F.col("column_name").isin(*REFERENCE_FIELDS), 0).otherwise(2)).unionByName(said.withColumn("rank", F.lit(1)))
 
 
 #: What a text field's values look like, blanks around them ignored; others are failed casts. Lost zeros and a lost F are no faults.
@@ -222,19 +325,22 @@ def _first_entry(entries: Column | str, key: Column) -> Column:
     return F.get(F.filter(entries, lambda e: (e["key"] == key) & e["value"].isNotNull()), F.lit(0))
 
 
-def unified_records(records: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def unified_records(records: DataFrame) -> DataFrame:
     """All records as one table.
 
     Columns: feed, file_name, released_at, position, the seven reference fields with their types,
     ``extra`` (a map from column to text with every other field, strays included) and ``failed_casts``
-    (an array of column and value that could not take the column's type; the column is null then). A
-    field that was renamed keeps the column of its first name. A record whose payload does not parse
-    keeps its row, with nulls and the payload under ``failed_casts``. Repeated rows stay repeated.
+    (an array of column and value that could not take the column's type; the column is null then). A key
+    with a reference field's name is that field; a renamed one keeps the column of its first name; a key
+    whose content is that of a reference field the file lacks becomes it, whatever its name. A record whose
+    payload does not parse keeps its row, with nulls and the payload under ``failed_casts``. Repeated rows
+    stay repeated.
     """
-    known = {a: k for k, names in (aliases or FIELD_ALIASES).items() for a in names}
-    alias = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    column = schema_history(records).where(F.col("change_kind").isin("present", "stray")).select("feed", "file_name", "field_name", F.coalesce(alias[F.col("column_name")], "column_name").alias("column_name"))
-    by_file = column.groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "column_name"))).alias("columns"))
+    order = Window.partitionBy("feed").orderBy(F.col("released_at").asc_nulls_first(), "file_name")
+    files = records.groupBy("feed", "file_name").agg(F.min("released_at").alias("released_at")).select("feed", "file_name", F.row_number().over(order).alias("seq"))
+    named = files.join(field_columns(schema_events(records)), "feed").where(F.col("seq").between(F.col("from_seq"), F.col("to_seq")) & ~F.col("name").isin(*REFERENCE_FIELDS))
+    one = named.groupBy("feed", "file_name", "name").agg(F.min(F.struct("rank", "column_name"))["column_name"].alias("column_name"))
+    by_file = one.groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("name", "column_name"))).alias("columns"))
     v = F.try_parse_json("payload")
     # One map for a record: normalised key -> text. Keys that become equal: the first one counts.
     raw = F.expr("from_json(payload, 'map<string,string>')")

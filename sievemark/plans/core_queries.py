@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemark.operators.orphans import corpus_orphans, orphan_report
 from sievemark.operators.reject_rows import rejected_rows, valid_rows
-from sievemark.operators.schema_drift import schema_changes, unified_records
+from sievemark.operators.schema_drift import path_statistics, schema_changes, unified_records
 from sievemark.plans import oracle_core
 from sievemark.session import table
 
@@ -29,7 +29,17 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_changes(table(spark, d, "archive_records")).select("file_name", "field_name", "change_kind").distinct()
+    return schema_changes(table(spark, d, "archive_records")).where("depth = 0").select("file_name", "field_name", "change_kind").distinct()
+
+
+def p4_changes(spark: SparkSession, d: str) -> DataFrame:
+    """All changes, those inside objects and arrays too, with old names and types."""
+    return schema_changes(table(spark, d, "archive_records"))
+
+
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """How often each path occurs in a file, by raw type; only keys of the record (depth 0) and one level inside."""
+    return path_statistics(table(spark, d, "archive_records"))
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
@@ -45,5 +55,5 @@ def p5_valid(spark: SparkSession, d: str) -> DataFrame:
     return valid_rows(table(spark, d, "raw_lines"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_table, p5_found, p5_valid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_changes, p4_paths, p4_table, p5_found, p5_valid)}
 SQL: dict[str, str] = {"p3_found": oracle_core.P3_FOUND, "p3_report": oracle_core.P3_REPORT}
