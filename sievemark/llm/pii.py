@@ -10,9 +10,11 @@ stretches left are decoded side by side in numpy.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.llm.pii_labels import KINDS, labelled_sentences
+from sievemark.llm.words import small_batches
 
 LABELS = ("none", *KINDS)
 K = len(LABELS)
@@ -46,6 +49,21 @@ def cut_tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[real], end[real]
 
 
+def plain_blanks(data: np.ndarray) -> np.ndarray:
+    """The same bytes with unusual blanks (no-break, thin, ideographic and the like) as plain ones, byte for byte."""
+    out = data
+    for lead, second, third in ((0xC2, (0xA0,), None), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,))):
+        at = (data[:-2] == lead).nonzero()[0] if len(data) > 2 else np.zeros(0, np.int64)
+        at = at[np.isin(data[at + 1], second)]
+        if third is not None:
+            at = at[np.isin(data[at + 2], third)]
+        if len(at):
+            out = out.copy() if out is data else out
+            for j in range(2 if third is None else 3):
+                out[at + j] = 32
+    return out
+
+
 def distinct_tokens(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Number of each token among the distinct ones, and these."""
     if not len(start):
@@ -106,7 +124,7 @@ def _emissions(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return sum(table[o][wide[:, REACH - (o - REACH) : REACH - (o - REACH) + t]] for o in range(2 * REACH + 1))
 
 
-def train_field(examples: list[tuple[str, list[tuple[str, int, int]]]], min_count: int = 3, epochs: int = 12, batch: int = 200, rate: float = 0.08, decay: float = 2e-5, seed: int = 7) -> TokenField:
+def train_field(examples: list[tuple[str, list[tuple[str, int, int]]]], min_count: int = 3, epochs: int = 12, batch: int = 200, rate: float = 0.08, decay: float = 5e-6, seed: int = 7) -> TokenField:
     """Fit by gradient steps (Adam) on the conditional log-likelihood. Deterministic for a seed."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -294,19 +312,43 @@ def _viterbi(e: np.ndarray, step: np.ndarray) -> np.ndarray:
     return y
 
 
+N_EXAMPLES, SEED = 14_000, 20240601
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+
+
+def fingerprint(n_examples: int = N_EXAMPLES, seed: int = SEED) -> str:
+    """Digest of the labelled table that a field is trained from."""
+    return hashlib.sha256(repr(labelled_sentences(n_examples, seed)).encode()).hexdigest()
+
+
 @lru_cache(maxsize=4)
-def default_field(n_examples: int = 7000, seed: int = 20240601) -> TokenField:
-    """The field trained from the labelled table that comes with the package; a few seconds, once a process."""
+def default_field(n_examples: int = N_EXAMPLES, seed: int = SEED) -> TokenField:
+    """The field of the labelled table that comes with the package.
+
+    The usual one is read from the weights beside this module (``python -m sievemark.llm.pii`` trains and
+    writes them; a test holds their fingerprint against the table); any other is trained, half a minute.
+    """
+    if (n_examples, seed) == (N_EXAMPLES, SEED) and WEIGHTS.exists():
+        with np.load(WEIGHTS) as f:
+            names = [{w: i + 1 for i, w in enumerate(str(f[k]).split("\t"))} for k in ("words", "shapes", "forms")]
+            return TokenField(*names, [f[f"weight{i}"].astype(np.float64) for i in range(3)], f["step"].astype(np.float64))
     return train_field(labelled_sentences(n_examples, seed))
 
 
+def write_weights(path: Path = WEIGHTS) -> None:
+    f = train_field(labelled_sentences(N_EXAMPLES, SEED))
+    named = {k: np.array("\t".join(getattr(f, k))) for k in ("words", "shapes", "forms")}
+    np.savez_compressed(path, fingerprint=np.array(fingerprint()), step=f.step.astype(np.float32), **named, **{f"weight{i}": w.astype(np.float16) for i, w in enumerate(f.weight)})
+
+
 def find_spans(field: TokenField, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, kind, first byte, last byte) of every span, bytes counted in the joined text; its bytes and the texts' offsets."""
     texts = pa.concat_arrays([texts.cast(pa.large_string())])
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    start, end = cut_tokens(data)
-    ids, names = distinct_tokens(data, start, end)
+    plain = plain_blanks(data)
+    start, end = cut_tokens(plain)
+    ids, names = distinct_tokens(plain, start, end)
     walls = np.unique(np.searchsorted(start, offsets[1:]) - 1) if len(start) else np.zeros(0, np.int64)
     at, kind = decode(field, ids, names, walls)
     if not len(at):
@@ -320,23 +362,16 @@ def find_spans(field: TokenField, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     return row, kind[first], start[at[first]], end[at[last]], data, offsets
 
 
-def _prepared(texts: DataFrame, text: str, key: str) -> DataFrame:
-    """Key and text, with other blanks as plain ones (character for character) and an end the chain stops at."""
-    plain = F.translate(F.col(text), "      　", "       ")
-    return texts.select(F.col(key), F.concat(plain, F.lit(_END)).alias("_text")).where(F.length(F.col(text)) > 0)
-
-
-def _mapped(texts: DataFrame, text: str, key: str, schema: str, make, field: TokenField | None, batch_bytes: int) -> DataFrame:  # noqa: ANN001
+def _mapped(texts: DataFrame, text: str, key: str, schema: str, make, field: TokenField | None, batch_bytes: int, every: bool) -> DataFrame:  # noqa: ANN001
+    """A map over key, text with an end the chain stops at, and whether the text is null; ``every``: also null and empty texts."""
     held = texts.sparkSession.sparkContext.broadcast(field or default_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            step = max(1, int(b.num_rows * batch_bytes / max(1, b.nbytes)))
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                yield make(part.column(0), *find_spans(held.value, part.column(1)))
+        for part in small_batches(batches, batch_bytes):
+            yield make(part.column(0), part.column(2), *find_spans(held.value, part.column(1)))
 
-    return _prepared(texts, text, key).mapInArrow(run, schema)
+    whole = texts.select(F.col(key), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(_END)).alias("_text"), F.col(text).isNull().alias("_null"))
+    return (whole if every else whole.where(F.length("_text") > len(_END))).mapInArrow(run, schema)
 
 
 def find_personal_information(texts: DataFrame, text: str = "narrative", key: str = "doc_id", field: TokenField | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -346,31 +381,35 @@ def find_personal_information(texts: DataFrame, text: str = "narrative", key: st
     their length; other columns are ignored. A map with no shuffle.
     """
 
-    def make(keys, row, kind, _a, _z, _data, _offsets):  # noqa: ANN001, ANN202
+    def make(keys, _null, row, kind, _a, _z, _data, _offsets):  # noqa: ANN001, ANN202
         pair, n = np.unique(row * K + kind, return_counts=True)
         return pa.RecordBatch.from_arrays([keys.take(pa.array(pair // K)), pa.array([LABELS[k] for k in pair % K], pa.string()), pa.array(n, pa.int64())], names=[key, "kind", "n_spans"])
 
-    return _mapped(texts, text, key, f"{key} {texts.schema[key].dataType.simpleString()}, kind string, n_spans bigint", make, field, batch_bytes)
+    return _mapped(texts, text, key, f"{key} {texts.schema[key].dataType.simpleString()}, kind string, n_spans bigint", make, field, batch_bytes, False)
 
 
 def redact(texts: DataFrame, text: str = "narrative", key: str = "doc_id", field: TokenField | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
     """key, the text with every span replaced by the placeholder of its kind, and n_spans.
 
-    Everything outside spans stays as written, but for unusual blanks, which become plain ones. Null
-    and empty texts keep their row, unchanged, with n_spans 0.
+    Everything outside spans stays as written, byte for byte. Null and empty texts keep their row,
+    unchanged, with n_spans 0. One scan, no shuffle.
     """
 
-    def make(keys, row, kind, a, z, data, offsets):  # noqa: ANN001, ANN202
+    def make(keys, null, row, kind, a, z, data, offsets):  # noqa: ANN001, ANN202
         raw = data.tobytes()
         out = [raw[offsets[i] : offsets[i + 1] - len(_END)] for i in range(len(keys))]
+        edge = np.searchsorted(row, np.arange(len(keys) + 1))
         for i in np.unique(row):
             parts, at = [], int(offsets[i])
-            for j in (row == i).nonzero()[0] if len(row) < 64 else range(*np.searchsorted(row, [i, i + 1])):
+            for j in range(edge[i], edge[i + 1]):
                 parts += [raw[at : a[j]], PLACEHOLDERS[LABELS[kind[j]]].encode()]
                 at = int(z[j])
             out[i] = b"".join([*parts, raw[at : offsets[i + 1] - len(_END)]])
-        return pa.RecordBatch.from_arrays([keys, pa.array([x.decode("utf-8", "replace") for x in out], pa.string()), pa.array(np.bincount(row, minlength=len(keys)), pa.int64())], names=[key, text, "n_spans"])
+        texts_out = pa.array([None if no else x.decode() for x, no in zip(out, null.to_pylist())], pa.string())
+        return pa.RecordBatch.from_arrays([keys, texts_out, pa.array(np.bincount(row, minlength=len(keys)), pa.int64())], names=[key, text, "n_spans"])
+
+    return _mapped(texts, text, key, f"{key} {texts.schema[key].dataType.simpleString()}, {text} string, n_spans bigint", make, field, batch_bytes, True)
+
 
-    done = _mapped(texts, text, key, f"{key} {texts.schema[key].dataType.simpleString()}, {text} string, n_spans bigint", make, field, batch_bytes)
-    bare = texts.where(F.coalesce(F.length(F.col(text)), F.lit(0)) == 0).select(key, text, F.lit(0).cast("bigint").alias("n_spans"))
-    return done.unionByName(bare)
+if __name__ == "__main__":
+    write_weights()
