@@ -2,7 +2,7 @@
 
 Lexical-cohesion segmentation: at every natural boundary the words of a block before and a block after
 it are compared; where the likeness falls into a valley the topic changes. From each piece's start the
-deepest valley in the far part of the size window is taken as the cut, and the next piece begins an
+deepest valley in the size window is taken as the cut, and the next piece begins an
 overlap before it. Where the stretch after a cut would not fit behind such an overlap, the overlap is
 put after the cut instead, so a stretch that fits a piece by itself need not be broken.
 """
@@ -14,10 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.llm.words import small_batches
+
 _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"[.?!][\"'”’»)\]}]?$")
 _STRIP = re.compile(r"^\W+|\W+$")
@@ -36,44 +38,52 @@ def boundaries(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def valley_depths(tokens: list[str], at: np.ndarray, block: int = 60) -> np.ndarray:
-    """Depth of the similarity valley at each boundary."""
+    """Depth of the similarity valley at each boundary: how far the likeness climbs to the nearest peak on either side, added up."""
     if not len(at):
         return np.zeros(0)
     ids: dict[str, int] = {}
     seq = np.array([ids.setdefault(w, len(ids)) if len(w) > 3 else -1 for w in (_STRIP.sub("", t).lower() for t in tokens)], np.int64)
     like = np.zeros(len(at))
     for k, b in enumerate(at):
-        left, right = seq[max(0, b - block) : b], seq[b : b + block]
-        x, y = np.bincount(left[left >= 0], minlength=len(ids) or 1), np.bincount(right[right >= 0], minlength=len(ids) or 1)
-        norm = np.sqrt((x @ x) * (y @ y))
-        like[k] = (x @ y) / norm if norm else 0.0
-    before, after = np.maximum.accumulate(like), np.maximum.accumulate(like[::-1])[::-1]
-    return before + after - 2 * like
+        first = max(0, b - block)
+        _, local = np.unique(seq[first : b + block], return_inverse=True)  # numbers of these few words alone
+        known = seq[first : b + block] >= 0
+        left, right = (np.bincount(local[part][known[part]], minlength=len(local)) for part in (slice(0, b - first), slice(b - first, None)))
+        norm = np.sqrt(float(left @ left) * float(right @ right))
+        like[k] = (left @ right) / norm if norm else 0.0
+    return _climb(like) + _climb(like[::-1])[::-1]
+
+
+def _climb(like: np.ndarray) -> np.ndarray:
+    """How far the values rise, going left from each place as long as they do not fall."""
+    peak = like.copy()
+    for i in range(1, len(like)):
+        if like[i - 1] >= like[i]:
+            peak[i] = peak[i - 1]
+    return peak - like
 
 
 def cut_pieces(n: int, at: np.ndarray, depth: np.ndarray, limit: int = 400, overlap: int = 40) -> list[Piece]:
-    """Pieces of at most ``limit`` tokens; neighbours share ``overlap``."""
+    """Pieces of at most ``limit`` tokens; neighbours share ``overlap``.
+
+    Each cut is the deepest valley of the window that a piece may fill (of equal ones the last) behind which
+    the next stretch fits; where it would fit only behind the cut itself, the overlap is put after the cut.
+    """
     pieces, start = [], 0
     following = np.append(at, n)
     while n - start > limit:
-        lowest = start + overlap + 1
-        inside = (at >= lowest) & (at <= start + limit)
-        choice = inside.nonzero()[0]
+        low, high = np.searchsorted(at, start + overlap + 1), np.searchsorted(at, start + limit, side="right")
         best, shifted = -1, False
-        for part in (choice[at[choice] >= start + limit // 2], choice[at[choice] < start + limit // 2][::-1]):
-            ranked = part[np.argsort(-depth[part], kind="stable")] if part is not choice else part
-            for i in ranked:
-                b, stretch_end = int(at[i]), int(following[np.searchsorted(following, at[i], side="right")])
-                if stretch_end <= b - overlap + limit or stretch_end - b > limit:
-                    best, shifted = b, False  # the next stretch fits behind the overlap, or never fits
-                    break
-                if b + overlap <= start + limit and b + overlap < n:
-                    best, shifted = b, True
-                    break
-            if best >= 0:
+        for i in high - 1 - np.argsort(-depth[low:high][::-1], kind="stable"):
+            b, stretch_end = int(at[i]), int(following[i + 1])
+            if stretch_end <= b - overlap + limit or stretch_end - b > limit:
+                best = b  # the next stretch fits behind the overlap, or never fits
+                break
+            if b + overlap <= start + limit and b + overlap < n:
+                best, shifted = b, True
                 break
-        if best < 0 and len(choice):
-            best = int(at[choice[-1]])
+        if best < 0 and high > low:
+            best = int(at[high - 1])
         if best < 0:
             end = start + limit
             pieces.append(Piece(start, end, "forced"))
@@ -112,12 +122,12 @@ def split_oversized(texts: DataFrame, text: str = "narrative", key: str = "doc_i
     kind = texts.schema[key].dataType.simpleString()
     long = texts.select(F.col(key), F.col(text)).where(F.length(text) > 2 * limit).where(F.regexp_count(F.col(text), F.lit(r"(?U)[^\s\u001c-\u001f]+")) > limit)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                whole, pieces = split_text(t, limit, overlap)
-                rows += [(k, whole, i, a, z, e, p) for i, (a, z, e, p) in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=[key, "cut", "piece_no", "first_token", "last_token", "piece_end", "piece"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 4 << 20):
+            found = [split_text(t, limit, overlap) for t in b.column(1).to_pylist()]
+            rows = [(i, whole, k, a, z, e, p) for i, (whole, pieces) in enumerate(found) for k, (a, z, e, p) in enumerate(pieces)]
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *[pa.array(c, t) for c, t in zip(columns[1:], types)]], names=[key, "cut", "piece_no", "first_token", "last_token", "piece_end", "piece"])
 
-    return long.mapInPandas(run, f"{key} {kind}, cut string, piece_no int, first_token int, last_token int, piece_end string, piece string")
+    return long.mapInArrow(run, f"{key} {kind}, cut string, piece_no int, first_token int, last_token int, piece_end string, piece string")
