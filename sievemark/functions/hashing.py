@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,23 @@ from pyspark.sql import functions as F
 from sievemark.functions.text import key_part
 
 
+def mix64(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits (a bijection)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(12)]))
+
+
+def poisson_weights(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(keys, n) Poisson(1) weights that depend on key, replicate and seed alone: a bootstrap that no partitioning changes."""
+    replicate = mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % (1 << 63)))
+    u = mix64(mix64(keys.astype(np.int64).view(np.uint64))[:, None] ^ replicate[None, :]) >> np.uint64(11)
+    return np.searchsorted(_POISSON, u / float(1 << 53)).astype(float)
+
+
 def blake2b(c: Column, length: int = 16, salt: str = "") -> Column:
     """Hex BLAKE2b of ``length`` digits (even, 8 to 64), with an optional salt before the text; null stays null."""
     if length % 2 or not 8 <= length <= 64:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievemark.contracts import ExtractionError
+from sievemark.session import checkpointed
 
 
 def binary_cells(df: DataFrame, gold: Column, pred: Column) -> DataFrame:
@@ -114,13 +115,18 @@ def facility_rates(df: DataFrame, a: str, b: str, facility: str = "ccn", minimum
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """n and rho with midranks; null for under two rows or a constant column.
 
-    Ranks come from cumulative counts of the distinct values, so rows are reduced to values before anything is ordered.
+    Ranks come from cumulative counts of the distinct values. These are partitioned by range, so every part
+    is ordered by itself; only the parts' totals are brought together.
     """
 
     def ranked(c: str) -> DataFrame:
         v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-        before = F.coalesce(F.sum("_k").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return v.select("_v", (before + (F.col("_k") + 1) / 2).alias(f"_r_{c}"))
+        parts = checkpointed(v.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+        total = parts.groupBy("_p").agg(F.sum("_k").alias("_t"))
+        before = F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each part
+        inside = F.coalesce(F.sum("_k").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = parts.withColumn("_i", inside).join(F.broadcast(total.select("_p", before.alias("_b"))), "_p")
+        return placed.select("_v", (F.col("_b") + F.col("_i") + (F.col("_k") + 1) / 2).alias(f"_r_{c}"))
 
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x), F.col(y))
     rx, ry = ranked(x), ranked(y)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sievemark.contracts import CORPUS_SCHEMA, CorpusError
 from sievemark.functions.hashing import stable_doc_id
-from sievemark.functions.keys import day_key, facility_key, tag_key
+from sievemark.functions.keys import blank_to_null, day_key, facility_key, tag_key
 from sievemark.functions.severity import decompose
 from sievemark.functions.text import count_tokens, strip_boilerplate
 
@@ -88,6 +88,13 @@ def enforce_schema(df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
+def cast_failures(df: DataFrame) -> DataFrame:
+    """column and n_failed: values of each corpus column that are there but cannot take its type (D14). One aggregation."""
+    fields = [f for f in CORPUS_SCHEMA.fields if f.name in df.columns]
+    counts = df.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in fields])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("n_failed")) for f in fields])).alias("x")).select("x.*")
+
+
 def build_corpus(records: DataFrame, citations: DataFrame | None = None, providers: DataFrame | None = None, min_tokens: int = 40, drop_boilerplate: bool = True) -> DataFrame:
     """Records to corpus as one lazy plan with two left joins; check ids with ``assert_unique``."""
     c = prepare_narratives(records, min_tokens, drop_boilerplate)
@@ -139,6 +146,12 @@ def analysis_frame(corpus: DataFrame, extracted: DataFrame, on_parse_failure: st
     return f.withColumn("technology_present", F.coalesce("technology_present", F.lit(False)))
 
 
+def canonical_keys(df: DataFrame) -> DataFrame:
+    """Facility, tag and state in their one form (``facility_key``, ``tag_key``, state trimmed and upper-cased), where the columns are there."""
+    forms = {"ccn": facility_key(F.col("ccn")), "f_tag": tag_key(F.col("f_tag")), "state": F.upper(blank_to_null(F.col("state")))}
+    return df.withColumns({k: v for k, v in forms.items() if k in df.columns})
+
+
 def rank_in_file(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """0-based ordinal by an explicit order, for sources without one."""
     return df.withColumn("offset", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -93,8 +95,34 @@ def keyword_responses(df: DataFrame, narrative: str = "narrative") -> DataFrame:
     return df.withColumn("response", F.to_json(F.struct(*[c.alias(k) for k, c in j.items()])))
 
 
+def prompt_body(prompt: str) -> str:
+    """What stands between the last ``NARRATIVE:`` and the first ``INSTRUCTIONS:`` after it; without these marks, all of the prompt."""
+    return prompt.rpartition("NARRATIVE:")[2].partition("INSTRUCTIONS:")[0]
+
+
+def _keyword_backend() -> Callable[[list[str]], list[str]]:
+    """The keyword judgement of a prompt's narrative, for tests of everything around a model."""
+
+    def first(body: str, table: tuple[tuple[str, str], ...], default: tuple[str, str]) -> tuple[str, str]:
+        return next(((k, v) for k, v in table if k in body), default)
+
+    def answer(prompt: str) -> str:
+        body = prompt_body(prompt).lower()
+        span, technology = first(body, TECHNOLOGY_KEYWORDS, ("", "none"))
+        role = "none" if technology == "none" else first(body, ROLE_KEYWORDS, ("", "incidental"))[1]
+        h = zlib.crc32(body.encode()) % 120
+        return json.dumps({"technology_present": technology != "none", "technology_type": technology, "failure_role": role, "harm_linked": technology != "none" and h % 3 == 0, "evidence_span": span, "confidence": round(0.6 + h % 40 / 100, 2)})
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+def pilot(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows by key, for a trial run."""
+    return df.orderBy(key).limit(n)
+
+
 #: backend name -> function from prompts to responses, made once in each worker
-BACKENDS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {}
+BACKENDS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {"keyword": _keyword_backend}
 
 
 def check_publishable(backend: str, allow_stub: bool = False) -> None:

@@ -88,8 +88,21 @@ def disclosure_review(annotations: DataFrame, aggregates: DataFrame, policy: Rel
     return {"cleared": not any(checks.values()), "checks": checks, "k_anonymity": k_anonymity(annotations, quasi, policy.min_cell).first().asDict() if quasi else None}
 
 
+DESCRIPTIONS = {
+    "doc_id": "identifier of the narrative", "ccn": "facility number", "year": "year of the survey", "quarter": "quarter of the survey", "state": "state of the facility", "f_tag": "cited requirement", "scope_severity": "letter of the grid",
+    "technology_present": "whether a technology is named", "technology_type": "kind of technology", "failure_role": "part it had in the failure", "harm_linked": "whether harm is linked to it", "evidence_span_start": "first character of the evidence", "evidence_span_end": "character after the evidence",
+    "confidence": "confidence of the judgement", "model_id": "model that judged", "model_revision": "revision of the model", "prompt_hash": "digest of the prompt",
+}
+ROLES = {
+    "absent": "needed but not there", "incidental": "named without a part in the failure", "juxtaposition_error": "the wrong person or entry, next to the right one", "malfunction": "did not work", "misconfiguration": "set wrongly", "not_responded_to": "worked, but no one reacted",
+    "over_reliance": "took the place of care", "overcompleteness": "recorded more than was done", "workaround": "switched off or gone around", "none": "no technology",
+}
+
+
 def codebook(policy: ReleasePolicy | None = None) -> dict:
-    return {"fields": [{"name": k, "type": v, "permitted": list(PERMITTED.get(k, ()))} for k, v in RELEASE_FIELDS.items()], "licence": (policy or ReleasePolicy()).licence}
+    """Name, type, description and permitted values of every field, what each role means, and the licence."""
+    fields = [{"name": k, "type": v, "description": DESCRIPTIONS[k], "permitted": list(PERMITTED.get(k, ()))} for k, v in RELEASE_FIELDS.items()]
+    return {"fields": fields, "roles": ROLES, "licence": (policy or ReleasePolicy()).licence}
 
 
 def write_release(annotations: DataFrame, aggregates: DataFrame, folder: str, policy: ReleasePolicy | None = None, title: str = "Release") -> dict:

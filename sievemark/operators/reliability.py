@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from sievemark.contracts import AnalysisError
 
+MOST_VALUES = 1000  #: different values of a code, whose pairs are looked at
 METRICS = ("nominal", "ordinal", "interval", "ratio")
 
 
@@ -19,6 +20,14 @@ def first_codes(codes: DataFrame, order: str | None = None) -> DataFrame:
     return c.groupBy("unit", "coder").agg(pick.alias("value"))
 
 
+def coder_matrix(codes: DataFrame, most_coders: int = 1000) -> DataFrame:
+    """unit and one column for each coder (its name as text) with their code, null where they gave none. Units are rows, as they are many."""
+    coders = sorted(r[0] for r in codes.select(F.col("coder").cast("string")).distinct().limit(most_coders + 1).collect())
+    if len(coders) > most_coders:
+        raise AnalysisError(f"more than {most_coders} coders; keep the long form")
+    return codes.withColumn("coder", F.col("coder").cast("string")).groupBy("unit").pivot("coder", coders).agg(F.max("value"))
+
+
 def value_counts(codes: DataFrame) -> DataFrame:
     """unit, value, n and m (codes of the unit), units with a single code left out."""
     n = codes.groupBy("unit", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -48,7 +57,9 @@ def with_distance(o: DataFrame, metric: str = "nominal") -> DataFrame:
     a = m.select("value_a", F.col("marginal").alias("n_a"), F.col("upto").alias("u_a"), "total")
     b = m.select(F.col("value_a").alias("value_b"), F.col("marginal").alias("n_b"), F.col("upto").alias("u_b"))
     # pairs that never coincide still count in the expected disagreement: complete the value pairs
-    pairs = a.crossJoin(F.broadcast(b))  # values of a closed vocabulary, a handful by construction
+    if m.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+        raise AnalysisError(f"more than {MOST_VALUES} different values; use categories")
+    pairs = a.crossJoin(F.broadcast(b))  # at most MOST_VALUES rows on each side
     p = pairs.join(o, ["value_a", "value_b"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
     equal = F.col("value_a") == F.col("value_b")
     if metric == "nominal":
@@ -102,8 +113,8 @@ def pair_decomposition(codes: DataFrame, metric: str = "nominal") -> DataFrame:
     return pairs.withColumn("n", n).where("n > 0").join(F.broadcast(d), ["value_a", "value_b"]).groupBy((1 / (F.col("m") - 1)).alias("weight"), "d").agg(F.sum("n").alias("n_pairs"))
 
 
-def alpha_bootstrap(codes: DataFrame, metric: str = "nominal", n_boot: int = 10_000, alpha_min: float = 0.8, seed: int = 0) -> dict:
-    """Point alpha, percentile interval and q (share of draws under ``alpha_min``).
+def alpha_bootstrap(codes: DataFrame, metric: str = "nominal", n_boot: int = 10_000, alpha_min: float = 0.8, seed: int = 0, ladder: tuple[float, ...] = ()) -> dict:
+    """Point alpha, percentile interval, q (share of draws under ``alpha_min``) and q_ladder (the same for each step of ``ladder``).
 
     Pairs are resampled with the expected disagreement fixed. Draws are multinomial over the distinct
     (weight, difference) combinations, which hold all that matters; few come to the driver.
@@ -120,4 +131,4 @@ def alpha_bootstrap(codes: DataFrame, metric: str = "nominal", n_boot: int = 10_
     draws = np.random.default_rng(seed).multinomial(total, n / n.sum(), size=n_boot) @ wd
     alphas = 1 - 2 * draws / t["expected"]
     lo, hi = np.percentile(alphas, [2.5, 97.5])
-    return {"point": t["alpha"], "lo": float(lo), "hi": float(hi), "q": float((alphas < alpha_min).mean()), "degenerate": False, "n_pairs": total}
+    return {"point": t["alpha"], "lo": float(lo), "hi": float(hi), "q": float((alphas < alpha_min).mean()), "q_ladder": {f"{x:g}": float((alphas < x).mean()) for x in ladder}, "degenerate": False, "n_pairs": total}

@@ -40,14 +40,14 @@ def _raw_type(schema: Column) -> Column:
 VALUE_BUCKETS = 64  #: short values are told apart by a hash into so many
 
 
-def _shape(text: Column, raw: Column, released: Column) -> Column:
+def _shape(t: Column, raw: Column, released: Column) -> Column:
     """A class of content that survives another name or type, one of a bounded number.
 
     Yes/no words, days by distance from the release, letters and digits by length, numbers, running text;
-    a single letter, a pair of letters and other short text also by a bucket of the value.
+    a single letter, a pair of letters and other short text also by a bucket of the value. ``t`` is trimmed
+    and in lower case.
     """
-    t = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    years = F.floor(F.datediff(released.cast("date"), F.expr("try_cast(substring(trim(value_text), 1, 10) as date)")) / 365.25)
+    years = F.floor(F.datediff(released.cast("date"), F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")).cast("date")) / 365.25)
     bucket = F.pmod(F.xxhash64(t), F.lit(VALUE_BUCKETS)).cast("string")
     words = F.least(F.lit(4), F.regexp_count(t, F.lit(r"\S+"))).cast("string")
     return (
@@ -104,7 +104,10 @@ def every_path(records: DataFrame) -> DataFrame:
     flat = F.udf(_inner, "array<struct<field: string, raw_type: string, value_text: string>>", useArrow=True)
     pairs = path_values(records)
     head = ["feed", "file_name", "released_at", "position"]
-    nested = pairs.where(F.col("raw_type").isin("object", "array")).select(*head, "field", F.explode(flat("field", "value_text")).alias("p"))
+    # only records with a second bracket can hold an object or array; the others are not read again
+    brackets = F.length("payload") - F.length(F.translate("payload", "{[", ""))
+    deep = path_values(records.where(brackets > 1))
+    nested = deep.where(F.col("raw_type").isin("object", "array")).select(*head, "field", F.explode(flat("field", "value_text")).alias("p"))
     depth = F.length(F.col("path")) - F.length(F.translate(F.col("path"), ".[", ""))
     inner = nested.select(*head, "field", F.col("p.field").alias("path"), F.col("p.raw_type").alias("raw_type"), F.col("p.value_text").alias("value_text"))
     inner = inner.withColumn("depth", (depth - (F.length("field") - F.length(F.translate("field", ".[", "")))).cast("int"))
@@ -118,8 +121,10 @@ def path_statistics(records: DataFrame) -> DataFrame:
 
 def field_statistics(records: DataFrame) -> DataFrame:
     """Counts by feed, file, path, depth, raw type and content shape: a bounded number for each path of a file."""
-    shape = F.when(F.col("raw_type") != "null", _shape(F.col("value_text"), F.col("raw_type"), F.col("released_at")))
-    return every_path(records).withColumn("shape", shape).groupBy("feed", "file_name", "field", "depth", "raw_type", "shape").agg(F.count(F.lit(1)).alias("n"))
+    # the text is made ready once, in a projection of its own, and long text is settled before any pattern
+    ready = every_path(records).withColumn("t", F.lower(F.regexp_replace("value_text", r"(?U)^\s+|\s+$", "")))
+    shape = F.when(F.col("raw_type") == "null", None).when((F.length("t") >= 27) & ~F.col("raw_type").isin("object", "array"), "prose").otherwise(_shape(F.col("t"), F.col("raw_type"), F.col("released_at")))
+    return ready.withColumn("shape", shape).groupBy("feed", "file_name", "field", "depth", "raw_type", "shape").agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_sketches(records: DataFrame, min_share: float) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.contracts import AnalysisError
+from sievemark.functions.hashing import poisson_weights
+from sievemark.session import checkpointed
 
 
 def numeric(c: str) -> Column:
@@ -85,18 +87,18 @@ def equity_model(frame: DataFrame, covariates: list[str], outcome: Column, facil
         raise AnalysisError("no technology rows")
     beta = solve_within(row.asDict(), p)
     # per facility: the within sums, which add up under integer weights
-    parts = moments.select(*[(F.col(f"xx{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)], *[(F.col(f"xy{i}") - F.col(f"s{i}") * F.col("sy") / F.col("n")).alias(f"b{i}") for i in range(p)])
+    parts = moments.select(F.xxhash64(facility).alias("h"), *[(F.col(f"xx{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)], *[(F.col(f"xy{i}") - F.col(f"s{i}") * F.col("sy") / F.col("n")).alias(f"b{i}") for i in range(p)])
     width = p * (p + 1) // 2 + p
     n_fac = row["n_groups"]
     # a Poisson(1) weight for each facility and replicate is the cluster bootstrap's limit and needs no collection
     schema = ", ".join(["replicate int", *[f"v{i} double" for i in range(width)]])
 
     def weigh(batches):  # noqa: ANN001, ANN202
+        total = np.zeros((n_boot, width))
         for b in batches:
-            v = b.to_numpy(float)
-            rng = np.random.default_rng([seed, int(np.abs(v).sum() * 1e6) % (2**31), len(v)])
-            w = rng.poisson(1.0, (n_boot, len(v))) @ v
-            yield pd.DataFrame(np.column_stack([np.arange(n_boot), w]), columns=["replicate", *[f"v{i}" for i in range(width)]]).astype({"replicate": "int32"})
+            v = b.to_numpy()
+            total += poisson_weights(b["h"].to_numpy(), n_boot, seed).T @ v[:, 1:].astype(float)
+        yield pd.DataFrame(np.column_stack([np.arange(n_boot), total]), columns=["replicate", *[f"v{i}" for i in range(width)]]).astype({"replicate": "int32"})
 
     sums = parts.mapInPandas(weigh, schema).groupBy("replicate").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).collect()
     keys = [f"a{i}_{j}" for i in range(p) for j in range(i, p)] + [f"b{i}" for i in range(p)]
@@ -117,9 +119,15 @@ def matched_severity(df: DataFrame, y: str, x: str, group: str, stratum: Column,
     return s.join(size, "stratum").select("stratum", "n", "n_groups", F.try_divide("b0", F.nullif(F.col("a0_0"), F.lit(0.0))).alias("beta"))
 
 
+MOST_CELLS = 2_000_000  #: cells of two effects that the driver sweeps
+
+
 def two_way_slope(df: DataFrame, y: str, x: str, a: str, b: str, rounds: int = 30) -> float | None:
-    """Slope with two fixed effects (such as state and year), by alternating demeaning of the cell table (a, b)."""
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(x) * F.col(y)).alias("xy")).toPandas()
+    """Slope with two fixed effects (such as state and year), by alternating demeaning of the cell table (a, b); refused over ``MOST_CELLS`` cells."""
+    table = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(x) * F.col(y)).alias("xy"))
+    cells = table.limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise AnalysisError(f"{a} and {b} have more than {MOST_CELLS} cells")
     n, ia, ib = cells["n"].to_numpy(float), pd.factorize(cells[a])[0], pd.factorize(cells[b])[0]
 
     def swept(s: np.ndarray) -> np.ndarray:
@@ -136,55 +144,67 @@ def two_way_slope(df: DataFrame, y: str, x: str, a: str, b: str, rounds: int = 3
     return float(sxy / sxx) if sxx > 1e-12 else None
 
 
-def irls(patterns: np.ndarray, positives: np.ndarray, totals: np.ndarray, ridge: float = 1e-6, tol: float = 1e-8, steps: int = 100) -> tuple[np.ndarray, bool]:
-    """Logistic coefficients (intercept first) of covariate patterns with their counts, and whether it converged."""
-    x = np.column_stack([np.ones(len(patterns)), patterns])
-    beta = np.zeros(x.shape[1])
+def logistic_fits(rows: DataFrame, p: int, n_boot: int = 0, seed: int = 0, ridge: float = 1e-6, tol: float = 1e-8, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic coefficients (intercept first) of all rows, then of ``n_boot`` replicates with Poisson weights, and which of them are good.
+
+    ``rows``: h (a number of the row, for its weights), y (0 or 1) and x0 to x{p-1}. Newton steps for all fits
+    at once: each is one aggregation, whose tasks hand in a gradient and a p by p matrix for every fit; rows
+    are never collected. Fits of one class, or that do not come to rest, are not good.
+    """
+    q, fits = p + 1, n_boot + 1
+    beta = np.zeros((fits, q))
+    size = q + q * q + 2
+    names = [f"x{j}" for j in range(p)]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        total = np.zeros((fits, size))
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.iloc[at : at + 2000]
+                x, y = np.column_stack([np.ones(len(part)), part[names].to_numpy(float)]), part["y"].to_numpy(float)
+                weight = np.column_stack([np.ones(len(part)), poisson_weights(part["h"].to_numpy(), n_boot, seed)])
+                mu = 1 / (1 + np.exp(-np.clip(x @ beta.T, -30, 30)))
+                outer = (x[:, :, None] * x[:, None, :]).reshape(len(part), -1)
+                total += np.column_stack([(weight * (y[:, None] - mu)).T @ x, (weight * np.maximum(mu * (1 - mu), 1e-10)).T @ outer, weight.T @ y, weight.sum(0)])
+        yield pd.DataFrame({"fit": np.arange(fits, dtype=np.int32), "v": list(total)})
+
+    settled = np.zeros(fits, bool)
+    good = np.ones(fits, bool)
     for _ in range(steps):
-        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = np.maximum(totals * mu * (1 - mu), 1e-10)
-        step = np.linalg.solve(x.T @ (w[:, None] * x) + ridge * np.eye(len(beta)), x.T @ (positives - totals * mu) - ridge * beta)
+        sums = rows.mapInPandas(run, "fit int, v array<double>").groupBy("fit").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(size)]).toPandas().sort_values("fit")
+        if not len(sums):
+            return beta, np.zeros(fits, bool)
+        s = sums.drop(columns="fit").to_numpy(float)
+        good = (s[:, -2] > 0) & (s[:, -2] < s[:, -1])
+        step = np.linalg.solve(s[:, q:-2].reshape(fits, q, q) + ridge * np.eye(q), (s[:, :q] - ridge * beta)[:, :, None])[:, :, 0]
+        step[~good | settled] = 0
         beta = beta + step
-        if np.abs(step).max() < tol:
-            return beta, True
-    return beta, False
+        settled |= np.abs(step).max(1) < tol
+        if settled.all():
+            break
+    return beta, good & settled
 
 
-def error_audit(df: DataFrame, wrong: Column, covariates: list[str], n_boot: int = 200, seed: int = 0) -> DataFrame:
+def error_audit(df: DataFrame, wrong: Column, covariates: list[str], n_boot: int = 1000, seed: int = 0, key: str = "doc_id") -> DataFrame:
     """covariate, beta, lo, hi, flagged: which covariates predict that a judgement was wrong.
 
-    Rows are reduced to covariate patterns with their counts; replicates draw multinomial counts.
-    One-class draws are skipped, under 20 usable ones flag nothing.
+    Replicates weight every row by a Poisson number of its key. One-class draws are skipped, under 20
+    usable ones flag nothing.
     """
     z = standardise(df.withColumn("_w", F.coalesce(wrong, F.lit(False)).cast("int")), covariates)
-    rows = z.groupBy(*[c + "_z" for c in covariates]).agg(F.sum("_w").alias("k"), F.count(F.lit(1)).alias("n")).orderBy(*[c + "_z" for c in covariates]).collect()
-    x = np.array([[r[c + "_z"] for c in covariates] for r in rows])
-    k, n = np.array([r["k"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    number = F.xxhash64(key) if key in df.columns else F.xxhash64(*df.columns)
+    rows = checkpointed(z.select(number.alias("h"), F.col("_w").alias("y"), *[F.col(c + "_z").alias(f"x{j}") for j, c in enumerate(covariates)]))
     spark = df.sparkSession
     schema = "covariate string, beta double, lo double, hi double, flagged boolean, n_draws int"
-    if not len(rows) or k.sum() in (0, n.sum()):
+    classes = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    if classes[0] in (0, classes[1]):
         return spark.createDataFrame([(c, None, None, None, False, 0) for c in covariates], schema)
-    beta, _ = irls(x, k, n)
-    probabilities = np.concatenate([k, n - k]) / n.sum()
-
-    def replicate(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            out = []
-            for i in b["id"]:
-                d = np.random.default_rng([seed, int(i)]).multinomial(int(n.sum()), probabilities)
-                kk, nn = d[: len(k)], d[: len(k)] + d[len(k) :]
-                if 0 < kk.sum() < nn.sum():
-                    fitted, ok = irls(x[nn > 0], kk[nn > 0], nn[nn > 0])
-                    if ok:
-                        out.append([int(i), *fitted[1:].tolist()])
-            yield pd.DataFrame(out, columns=["id", *[f"b{j}" for j in range(len(covariates))]])
-
-    draws = spark.range(n_boot).repartition(min(n_boot, 16)).mapInPandas(replicate, ", ".join(["id bigint", *[f"b{j} double" for j in range(len(covariates))]])).collect()
+    beta, good = logistic_fits(rows, len(covariates), n_boot, seed)
+    draws = beta[1:][good[1:], 1:]
     out = []
     for j, c in enumerate(covariates):
-        d = [r[f"b{j}"] for r in draws]
-        lo, hi = (float(v) for v in np.percentile(d, [2.5, 97.5])) if len(d) >= 20 else (None, None)
-        out.append((c, float(beta[j + 1]), lo, hi, bool(lo is not None and (lo > 0 or hi < 0)), len(d)))
+        lo, hi = (float(v) for v in np.percentile(draws[:, j], [2.5, 97.5])) if len(draws) >= 20 else (None, None)
+        out.append((c, float(beta[0, j + 1]), lo, hi, bool(lo is not None and (lo > 0 or hi < 0)), len(draws)))
     return spark.createDataFrame(out, schema)
 
 

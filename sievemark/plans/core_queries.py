@@ -52,8 +52,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_valid(spark: SparkSession, d: str) -> DataFrame:
-    return valid_rows(table(spark, d, "raw_lines"))
+    return valid_rows(table(spark, d, "raw_lines")).withColumn("survey_date", F.col("survey_date").cast("string"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_changes, p4_paths, p4_table, p5_found, p5_valid)}
-SQL: dict[str, str] = {"p3_found": oracle_core.P3_FOUND, "p3_report": oracle_core.P3_REPORT}
+SQL: dict[str, str] = {"p3_found": oracle_core.P3_FOUND, "p3_report": oracle_core.P3_REPORT, "p5_found": oracle_core.P5_FOUND, "p5_valid": oracle_core.P5_VALID}

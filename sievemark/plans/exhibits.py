@@ -27,12 +27,17 @@ def vocabulary_census(counts: DataFrame) -> DataFrame:
 
 
 def validation_table(spark: SparkSession, results: dict) -> DataFrame:
-    """check_name, observed, lo, hi, passed, rule."""
+    """check_name, observed, lo, hi, passed, rule; then the q ladder, the least category, self-consistency, refusals and parse failures."""
     v, gate = _result(results, "validate") or {}, results.get("gate") or {"checks": {}}
     rows = []
     for name, c in gate["checks"].items():
         ci = (v.get("model_vs_human") or {}).get({"model_f1": "f1", "model_kappa": "kappa"}.get(name, ""), {}) or {}
         rows.append((name, c["observed"], ci.get("lo"), ci.get("hi"), c["passed"], c["rule"]))
+    more = [(f"q_alpha_under_{k}", q) for k, q in ((v.get("human_alpha_bootstrap") or {}).get("q_ladder") or {}).items()]
+    more += [("per_category_alpha_least", (v.get("per_category_alpha") or {}).get("min_alpha"))]
+    more += [(f"self_consistency_{k}", x) for k, x in (v.get("self_consistency") or {}).items() if k != "n"]
+    more += [(k, None if v.get(k) is None else float(v[k])) for k in ("n_refusals", "n_parse_failures")]
+    rows += [(k, x, None, None, None, "reported") for k, x in more]
     return spark.createDataFrame(rows, "check_name string, observed double, lo double, hi double, passed boolean, rule string")
 
 
@@ -74,7 +79,20 @@ def projection_figure(spark: SparkSession, results: dict) -> DataFrame:
     return spark.createDataFrame(rows, "scenario string, step int, failures double, failures_illegible double, lo double, hi double")
 
 
-EXHIBITS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {"table2_validation": validation_table, "table3_gap": gap_table, "table4_equity": equity_table, "table5_forecast": forecast_table, "figure2_prevalence": prevalence_figure, "figure3_gap": gap_figure, "figure4_projection": projection_figure}
+def census_table(spark: SparkSession, results: dict) -> DataFrame:
+    """term_group, term, total, n_groups of the census of words."""
+    rows = [(x["term_group"], x["term"], x["total"], x["n_groups"]) for x in (_result(results, "study1") or {}).get("census", [])]
+    return spark.createDataFrame(rows, "term_group string, term string, total bigint, n_groups bigint").orderBy("term_group", F.desc("total"), "term")
+
+
+def overall_figure(spark: SparkSession, results: dict) -> DataFrame:
+    """What share of all citations names a technology, and what share of these is illegible: measure, n, share."""
+    o, g = (_result(results, "rq1") or {}).get("overall") or {}, (_result(results, "rq2") or {}).get("gap") or {}
+    rows = [("technology", o.get("n_citations"), o.get("share")), ("illegible_strict", g.get("n"), g.get("strict_rate")), ("illegible_lenient", g.get("n"), g.get("lenient_rate"))]
+    return spark.createDataFrame([r for r in rows if r[1] is not None], "measure string, n bigint, share double")
+
+
+EXHIBITS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {"table1_census": census_table, "figure1_overall": overall_figure, "table2_validation": validation_table, "table3_gap": gap_table, "table4_equity": equity_table, "table5_forecast": forecast_table, "figure2_prevalence": prevalence_figure, "figure3_gap": gap_figure, "figure4_projection": projection_figure}
 
 
 def render_all(spark: SparkSession, results: dict, folder: str) -> dict[str, Any]:

@@ -44,3 +44,19 @@ orphans AS (
 
 P3_FOUND = f"WITH {_KEYS} SELECT DISTINCT doc_id, ref_table, reason FROM orphans"
 P3_REPORT = f"WITH {_KEYS} SELECT ref_table, year, quarter, reason, count(*)::BIGINT AS n_orphans, count(DISTINCT key)::BIGINT AS n_keys FROM orphans GROUP BY ALL"
+
+_P5 = r"""
+WITH l AS (SELECT raw_id, file_name, line_no, regexp_replace(coalesce(raw_line, ''), '\r$', '') AS line FROM raw_lines WHERE line_no <> 1 OR line_no IS NULL),
+f AS (SELECT *, regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS quoted,
+        [regexp_replace(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, '^\s+|\s+$', '', 'g') FOR x IN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1)] AS p FROM l),
+c AS (SELECT raw_id, file_name, line_no, quoted, len(p) AS n, p[1] AS ccn, p[2] AS survey_date, upper(regexp_replace(p[3], '\s', '', 'g')) AS f_tag, p[4] AS narrative, upper(p[5]) AS scope_severity, lower(p[6]) AS flag, upper(p[7]) AS state FROM f),
+judged AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN n <> 7 THEN 'column_count'
+  WHEN NOT (regexp_full_match(ccn, '[A-Za-z0-9]{6}') AND regexp_full_match(survey_date, '\d{4}-\d{2}-\d{2}') AND TRY_CAST(survey_date AS DATE) IS NOT NULL AND regexp_full_match(f_tag, '[FK]\d{3,4}')
+    AND narrative <> '' AND NOT contains(narrative, chr(65533)) AND regexp_full_match(scope_severity, '[A-L]?') AND flag IN ('', 'y', 'n', 'true', 'false', '1', '0') AND regexp_full_match(state, '([A-Z]{2})?')) THEN 'invalid_value' END AS reason FROM c)
+"""
+P5_FOUND = _P5 + "SELECT DISTINCT raw_id, reason FROM judged WHERE reason IS NOT NULL"
+P5_VALID = (
+    _P5
+    + """SELECT raw_id, file_name, line_no::INT AS line_no, upper(ccn) AS ccn, survey_date, f_tag, narrative, nullif(scope_severity, '') AS scope_severity,
+  CASE WHEN flag <> '' THEN flag IN ('y', 'true', '1') END AS is_complaint, nullif(state, '') AS state FROM judged WHERE reason IS NULL"""
+)

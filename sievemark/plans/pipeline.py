@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.contracts import Config, EngineError, Thresholds, stage_seed
-from sievemark.operators import agreement, forecast, reliability, stats, stratified, taxonomy, trends
+from sievemark.operators import forecast, stats, taxonomy, trends
+from sievemark.operators.corpus import analysis_frame, canonical_keys
 from sievemark.plans.gate import evaluate_gate, optional_check
+from sievemark.plans.validation import validate_measurement
 from sievemark.sources.writers import save_json, timed
 
 log = logging.getLogger("sievemark")
@@ -42,9 +44,7 @@ class Stage:
 
 
 def _frame(r: Run) -> DataFrame:
-    from sievemark.operators.corpus import analysis_frame
-
-    f = analysis_frame(r.tables["corpus"], r.tables["extracted"], r.config.extraction.get("on_parse_failure", "false"))
+    f = canonical_keys(analysis_frame(r.tables["corpus"], r.tables["extracted"], r.config.extraction.get("on_parse_failure", "false")))
     return taxonomy.with_level(f, r.tables["taxonomy"]) if "taxonomy" in r.tables else f
 
 
@@ -54,35 +54,7 @@ def run_study1(r: Run) -> dict:
 
 
 def run_validate(r: Run) -> dict:
-    cfg = r.config.validation
-    sample = stratified.stratified_sample(r.tables["corpus"], r.config.corpus.get("validation_sample_n", 1200), r.seed, r.config.corpus.get("sampling", {}).get("min_per_severity_level"))
-    gold = r.tables["annotations"]
-    out: dict[str, Any] = {"n_sample": sample.count()}
-    codes = reliability.first_codes(gold.select(F.col("doc_id").alias("unit"), F.col("annotator").alias("coder"), F.col("technology_present").cast("int").alias("value"), "labelled_at"), "labelled_at")
-    boot, reason = optional_check(lambda: reliability.alpha_bootstrap(codes, "nominal", cfg.get("alpha_bootstrap", 10_000), cfg.get("alpha_min", 0.8), r.seed))
-    out["human_alpha"], out["human_alpha_bootstrap"], out["human_alpha_reason"] = (boot or {}).get("point"), boot, reason
-    roles = reliability.first_codes(gold.select(F.col("doc_id").alias("unit"), F.col("annotator").alias("coder"), F.lower(F.trim("failure_role")).alias("value"), "labelled_at"), "labelled_at")
-    from sievemark.contracts import FAILURE_ROLES
-
-    by = [x.asDict() for x in reliability.alpha_by_category(roles, list(FAILURE_ROLES)).collect()]
-    known = [x for x in by if x["alpha"] is not None]
-    out["per_category_alpha"] = {"by_category": by, "min_alpha": min((x["alpha"] for x in known), default=None)}
-    model = r.tables["extracted"].groupBy("doc_id").agg(F.max(F.struct(F.coalesce("parse_ok", F.lit(False)).alias("ok"), F.coalesce("technology_present", F.lit(False)).alias("p")))["p"].alias("model_present"))
-    labelled = codes.groupBy("unit").agg((F.avg("value") > 0.5).alias("gold_present")).withColumnRenamed("unit", "doc_id").join(model, "doc_id")
-    cells = agreement.binary_cells(labelled, F.col("gold_present"), F.col("model_present")).first().asDict()
-    n = cfg.get("n_bootstrap", 1000)
-    out["model_vs_human"] = {"cells": cells, "f1": agreement.bootstrap_cells({k: cells[k] for k in ("tp", "fp", "fn", "tn")}, agreement.f1_of, n, r.seed + 1), "kappa": agreement.bootstrap_cells({k: cells[k] for k in ("tp", "fp", "fn", "tn")}, agreement.kappa_of, n, r.seed + 2)}
-    from sievemark.operators.judgements import keyword_judgement
-
-    low = F.lower("narrative")
-    keyed = r.tables["corpus"].select("doc_id", "ccn", keyword_judgement(F.col("narrative"))["technology_present"].alias("v1"), low.rlike("alarm|sensor|camera|call light").alias("v2")).join(model, "doc_id")
-    out["prompt_sensitivity"] = agreement.prompt_sensitivity(keyed, ["v1", "v2"]).first().asDict()
-    rho = agreement.spearman(agreement.facility_rates(keyed, "v1", "model_present", "ccn", cfg.get("min_facility_docs", 5)), "rate_a", "rate_b").first()
-    out["model_sensitivity"] = {"facility_rho": rho["rho"], "n_facilities": rho["n"]}
-    audited = labelled.join(r.tables["corpus"].select("doc_id", "severity_level", "n_tokens", "certified_beds"), "doc_id")
-    audit, _ = optional_check(lambda: stats.error_audit(audited, F.col("gold_present") != F.col("model_present"), ["severity_level", "n_tokens", "certified_beds"], n, r.seed).collect())
-    out["differential_error"] = None if audit is None else {"flagged": [x["covariate"] for x in audit if x["flagged"]]}
-    return out
+    return validate_measurement(r.tables, r.config, r.seed)
 
 
 def run_rq1(r: Run) -> dict:

@@ -12,14 +12,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.contracts import FAILURE_ROLES, TECHNOLOGY_TYPES
+from sievemark.contracts import FAILURE_ROLES, TECHNOLOGY_TYPES, Config
 from sievemark.functions import diffusion
 from sievemark.functions.hashing import stable_doc_id
 from sievemark.functions.keys import facility_key, tag_key
 from sievemark.functions.severity import decompose, grid_letter
-from sievemark.functions.text import count_tokens, locate_span, looks_like_refusal, requirement_text, strip_boilerplate
+from sievemark.functions.text import BOILERPLATE_MARKERS, GUIDANCE_WORDS, REFUSAL, count_tokens, locate_span, looks_like_refusal, requirement_text, strip_boilerplate
 from sievemark.operators import agreement, corpus, forecast, judgements, release, reliability, stats, stratified, taxonomy, trends
 from sievemark.plans.gate import gate_table, gate_verdict
+from sievemark.plans.validation import validate_measurement
 from sievemark.session import table
 from sievemark.sources.readers import split_tag_blocks
 from sievemark.streaming.prevalence import windowed_share
@@ -67,7 +68,7 @@ best AS (
     row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(parse_ok, false) DESC, coalesce(confidence, -1) DESC, technology_type DESC NULLS LAST, failure_role DESC NULLS LAST, technology_present DESC NULLS LAST, harm_linked DESC NULLS LAST) AS rn
     FROM extracted) WHERE rn = 1),
 frame AS (
-  SELECT c.doc_id, c.ccn, c.year, c.quarter, c.state, c.severity_level, c.scope_severity, c.n_tokens, c.certified_beds, {_tag('c.f_tag')} AS tag, {_ccn('c.ccn')} || '~' || {_day('c.survey_date')} AS survey_id,
+  SELECT c.doc_id, {_ccn('c.ccn')} AS ccn, c.year, c.quarter, nullif(upper(trim(c.state)), '') AS state, c.severity_level, c.scope_severity, c.n_tokens, c.certified_beds, {_tag('c.f_tag')} AS tag, {_ccn('c.ccn')} || '~' || {_day('c.survey_date')} AS survey_id,
          coalesce(b.tp, false) AS tech, b.technology_type, b.failure_role, coalesce(l.level, 'none') AS level
   FROM corpus c JOIN best b ON b.doc_id = c.doc_id LEFT JOIN levels l ON l.tag = {_tag('c.f_tag')})"""
 
@@ -83,7 +84,7 @@ def levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, d: str) -> DataFrame:
-    f = corpus.analysis_frame(table(spark, d, "corpus"), table(spark, d, "extracted")).withColumn("f_tag", tag_key(F.col("f_tag")))
+    f = corpus.canonical_keys(corpus.analysis_frame(table(spark, d, "corpus"), table(spark, d, "extracted")))
     return taxonomy.with_level(f, levels(spark, d))
 
 
@@ -197,12 +198,14 @@ def _rfind(m: str) -> str:
     return f"(CASE WHEN contains(lower(narrative), '{m}') THEN length(narrative) - strpos(reverse(lower(narrative)), reverse('{m}')) + 1 END)"
 
 
-@query("SELECT doc_id, CASE WHEN cut IS NULL THEN regexp_replace(narrative, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(substr(narrative, cut + 1), '^[ :,;\\-\\n\\t]+|[ :,;\\-\\n\\t]+$', '', 'g') END AS body FROM (SELECT doc_id, narrative, greatest(" + ", ".join(_rfind(m) for m in ("based on observation", "based on interview", "based on record review", "this requirement is not met as evidenced by")) + ") AS cut FROM corpus)")
+@query("SELECT doc_id, CASE WHEN cut IS NULL THEN regexp_replace(narrative, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(substr(narrative, cut + 1), '^[ :,;\\-\\n\\t]+|[ :,;\\-\\n\\t]+$', '', 'g') END AS body FROM (SELECT doc_id, narrative, greatest(" + ", ".join(_rfind(m) for m in BOILERPLATE_MARKERS) + ") AS cut FROM corpus)")
 def boilerplate_strip(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "corpus").select("doc_id", strip_boilerplate(F.col("narrative")).alias("body"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, 'preamble' || chr(10) || f_tag || ' ' || coalesce(narrative, '') || chr(10) || 'F 689 again' || chr(10) AS text FROM corpus WHERE f_tag IS NOT NULL),
+b AS (SELECT doc_id, regexp_extract_all(text, '(?m)^\s*([FK]\s?\d{3,4})\b', 1) AS tags, regexp_split_to_array(text, '(?m)^\s*[FK]\s?\d{3,4}\b') AS parts FROM t)
+SELECT doc_id, upper(regexp_replace(tags[i], '\s', '', 'g')) AS f_tag, (i - 1)::INT AS place, length(regexp_replace(parts[i + 1], '^\s+|\s+$', '', 'g')) AS n_chars FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM b)""".replace("\\\\", "\\"))
 def report_tag_blocks(spark, d):  # noqa: ANN001, ANN201
     text = F.concat(F.lit("preamble\n"), F.col("f_tag"), F.lit(" "), F.coalesce("narrative", F.lit("")), F.lit("\nF 689 again\n"))
     return table(spark, d, "corpus").where("f_tag is not null").select("doc_id", F.explode(split_tag_blocks(text)).alias("b")).select("doc_id", "b.f_tag", "b.place", F.length("b.narrative").alias("n_chars"))
@@ -214,7 +217,11 @@ def regulation_levels(spark, d):  # noqa: ANN001, ANN201
     return taxonomy.classify_blocks(taxonomy.tag_blocks(lines)).select("book", "f_tag", "level", "method", "justification")
 
 
-@query()
+_GUIDANCE = "\\b(?:" + "|".join(GUIDANCE_WORDS) + ")\\b"
+_BODY = "regexp_replace(text, '\\(Rev\\.[^)]*\\)', ' ', 'g')"
+
+
+@query(f"WITH b AS (SELECT doc_id, {_BODY} AS body FROM documents) SELECT doc_id, substr(regexp_replace(regexp_replace(CASE WHEN regexp_matches(body, '{_GUIDANCE}') THEN regexp_extract(body, '(?s)^(.*?){_GUIDANCE}', 1) ELSE substr(body, 1, 900) END, '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'), '^ | $', '', 'g'), 1, 900) AS requirement FROM b")
 def requirement_texts(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", requirement_text(F.col("text")).alias("requirement"))
 
@@ -247,7 +254,7 @@ def taxonomy_levels(spark, d):  # noqa: ANN001, ANN201
     return taxonomy.level_counts(table(spark, d, "tag_taxonomy").withColumnRenamed("names_technology", "level"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)i\\s+(can(no|\\x27)t|cannot|won\\x27?t|am\\s+unable\\s+to)\\s+(help|assist|analy[sz]e|classify|label|provide|do\\s+that)|i\\x27?m\\s+(sorry|not\\s+able)|as\\s+an\\s+ai\\b|(harmful|inappropriate)\\s+content') AS refusal FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, regexp_matches(text, '" + REFUSAL.replace("'", "''") + "') AS refusal FROM documents WHERE text IS NOT NULL")
 def refusal_flag(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").where("text is not null").select("doc_id", looks_like_refusal(F.col("text")).alias("refusal"))
 
@@ -415,7 +422,10 @@ def class_scores(spark, d):  # noqa: ANN001, ANN201
     return r6(agreement.class_scores(agreement.confusion(_roles(spark, d), "gold_role", "role", list(FAILURE_ROLES))))
 
 
-@query()
+_CLASS_F1 = f"SELECT label, support, coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f1 FROM (SELECT label, (SELECT count(*) FROM role_pairs WHERE gold_role = label)::BIGINT AS support, (SELECT count(*) FROM role_pairs WHERE role = label) AS predicted, (SELECT count(*) FROM role_pairs WHERE role = label AND gold_role = label) AS tp FROM l)"
+
+
+@query(f"WITH {_GOLD}, {_ROLECELLS}, l AS (SELECT unnest([{_R}]) AS label), f AS ({_CLASS_F1}) SELECT round(avg(f1), 6) AS macro_f1, count(*)::BIGINT AS n_labels FROM f")
 def macro_f1(spark, d):  # noqa: ANN001, ANN201
     return r6(agreement.macro_f1(agreement.confusion(_roles(spark, d), "gold_role", "role", list(FAILURE_ROLES))))
 
@@ -432,10 +442,10 @@ _V1, _V2 = "alarm|sensor|camera", "alarm|sensor|camera|call light|record"
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("narrative")
-    return table(spark, d, "corpus").select("doc_id", "ccn", low.rlike(_V1).alias("v1"), low.rlike(_V2).alias("v2")).join(model(spark, d).select("doc_id", F.col("pred").alias("v3")), "doc_id")
+    return table(spark, d, "corpus").select("doc_id", facility_key(F.col("ccn")).alias("ccn"), low.rlike(_V1).alias("v1"), low.rlike(_V2).alias("v2")).join(model(spark, d).select("doc_id", F.col("pred").alias("v3")), "doc_id")
 
 
-_VARIANTS = f"v AS (SELECT c.doc_id, c.ccn, regexp_matches(lower(narrative), '{_V1}') AS v1, regexp_matches(lower(narrative), '{_V2}') AS v2, m.pred AS v3 FROM corpus c JOIN model m USING (doc_id))"
+_VARIANTS = f"v AS (SELECT c.doc_id, {_ccn('c.ccn')} AS ccn, regexp_matches(lower(narrative), '{_V1}') AS v1, regexp_matches(lower(narrative), '{_V2}') AS v2, m.pred AS v3 FROM corpus c JOIN model m USING (doc_id))"
 
 
 @query(f"""WITH {_GOLD}, {_VARIANTS}, p AS (SELECT avg(v1::INT) AS a, avg(v2::INT) AS b, avg(v3::INT) AS c, (avg((v1 = v2)::INT) + avg((v1 = v3)::INT) + avg((v2 = v3)::INT)) / 3 AS m FROM v)
@@ -513,7 +523,8 @@ def alpha_by_category(spark, d):  # noqa: ANN001, ANN201
     return r6(reliability.alpha_by_category(codes(spark, d, "failure_role"), list(FAILURE_ROLES)))
 
 
-@query()
+@query(f"""WITH {_GOLD}, v AS (SELECT doc_id AS u, tp::INT AS v, annotator AS a FROM votes WHERE tp IS NOT NULL), m AS (SELECT u, count(*) AS m FROM v GROUP BY 1 HAVING count(*) > 1)
+SELECT round(1.0::DOUBLE / (m - 1), 6) AS weight, (x.v <> y.v)::INT::DOUBLE AS d, count(*)::DOUBLE AS n_pairs FROM v x JOIN v y ON x.u = y.u AND x.a < y.a JOIN m ON m.u = x.u GROUP BY ALL""")
 def alpha_pairs(spark, d):  # noqa: ANN001, ANN201
     return r6(reliability.pair_decomposition(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int"))))
 
@@ -524,6 +535,29 @@ def alpha_bootstrap_q(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(b["point"], b["lo"], b["hi"], b["q"], b["n_pairs"])], "point double, lo double, hi double, q double, n_pairs bigint")
 
 
+@query(f"WITH {_GOLD} SELECT doc_id AS unit, " + ", ".join(f"max(tp::INT) FILTER (annotator = {a}) AS coder_{a}" for a in range(14)) + " FROM votes WHERE tp IS NOT NULL GROUP BY 1")
+def coder_matrix(spark, d):  # noqa: ANN001, ANN201
+    m = reliability.coder_matrix(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int")))
+    return m.select("unit", *[(F.col(f"`{a}`") if str(a) in m.columns else F.lit(None).cast("int")).alias(f"coder_{a}") for a in range(14)])
+
+
+@query("SELECT unnest(['ownership_type', 'state', 'certified_beds']) AS \"column\", unnest([0, 0, n]) AS n_failed FROM (SELECT count_if(number_of_certified_beds IS NOT NULL AND TRY_CAST(trim(number_of_certified_beds) AS BIGINT) IS NULL)::BIGINT AS n FROM provider_information)")
+def failed_casts(spark, d):  # noqa: ANN001, ANN201
+    return corpus.cast_failures(table(spark, d, "provider_information").select("ownership_type", "state", F.col("number_of_certified_beds").alias("certified_beds")))
+
+
+@query(f"SELECT doc_id, {_TECH} AS technology_type, CASE WHEN {_TECH} = 'none' THEN 'none' ELSE {_ROLE} END AS failure_role FROM corpus WHERE narrative IS NOT NULL")
+def backend_round_trip(spark, d):  # noqa: ANN001, ANN201
+    """Prompts built, answered by the keyword backend and parsed; the instructions name categories that must not be matched."""
+    c = table(spark, d, "corpus").where("narrative is not null").select("doc_id", F.concat(F.lit("Read. NARRATIVE:\n"), "narrative", F.lit("\nINSTRUCTIONS: choose call_light, alarm, sensor or camera, malfunction or disabled.")).alias("prompt"))
+    return judgements.parse_responses(judgements.run_backend(c, "prompt", "keyword")).select("doc_id", "technology_type", "failure_role")
+
+
+@query("SELECT doc_id FROM corpus ORDER BY doc_id LIMIT 50")
+def pilot_rows(spark, d):  # noqa: ANN001, ANN201
+    return judgements.pilot(table(spark, d, "corpus"), 50).select("doc_id")
+
+
 # --- estimators --------------------------------------------------------------------------------------
 
 
@@ -683,15 +717,20 @@ def free_text_scan(spark, d):  # noqa: ANN001, ANN201
     return release.scan_free_text(table(spark, d, "provider_information"))
 
 
+def _prompt_variants(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("narrative")
+    pair = lambda name, c: F.struct(F.lit(name).alias("variant"), c.alias("technology_present"))
+    c = table(spark, d, "corpus").select("doc_id", F.explode(F.array(pair("v1", low.rlike(_V1)), pair("v2", low.rlike(_V2)))).alias("p"))
+    return c.select("doc_id", "p.*")
+
+
 @query()
 def gate_checks(spark, d):  # noqa: ANN001, ANN201
-    c = _cells(spark, d).first().asDict()
-    boot = reliability.alpha_bootstrap(codes(spark, d, "technology_present").withColumn("value", F.col("value").cast("int")), "nominal", 10_000, 0.8, 11)
-    cells = {k: c[k] for k in ("tp", "fp", "fn", "tn")}
-    spread = agreement.prompt_sensitivity(_variants(spark, d), ["v1", "v2", "v3"]).first()["prevalence_spread"]
-    rho = agreement.spearman(agreement.facility_rates(_variants(spark, d), "v2", "v3"), "rate_a", "rate_b").first()["rho"]
-    results = {"human_alpha_bootstrap": boot, "model_vs_human": {"f1": {"point": agreement.f1_of(cells)}, "kappa": {"point": agreement.kappa_of(cells)}}, "prompt_sensitivity": {"prevalence_spread": spread}, "model_sensitivity": {"facility_rho": rho}}
-    return gate_table(spark, results)
+    """All seven checks on a sample of the labelled narratives; keyword rules stand for the second prompt and the second model."""
+    labelled = table(spark, d, "corpus").join(table(spark, d, "annotations").select("doc_id").distinct(), "doc_id", "left_semi")
+    variants = _prompt_variants(spark, d)
+    tables = {"corpus": labelled, "extracted": table(spark, d, "extracted"), "annotations": table(spark, d, "annotations"), "predictions": variants, "second_model": variants.where("variant = 'v1'")}
+    return gate_table(spark, validate_measurement(tables, Config(), 11))
 
 
 @query()

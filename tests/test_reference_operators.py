@@ -199,8 +199,15 @@ def test_estimators(spark):
     assert stats.rogan_gladen(0.3, 0.9, 0.8) == pytest.approx(0.1 / 0.7)
     with pytest.raises(AnalysisError):
         stats.rogan_gladen(0.3, 0.5, 0.52)
-    beta, ok = stats.irls(np.array([[0.0], [1.0]]), np.array([20.0, 60.0]), np.array([100.0, 100.0]))
-    assert ok and beta[0] == pytest.approx(math.log(0.25), abs=1e-4) and beta[1] == pytest.approx(math.log(1.5) - math.log(0.25), abs=1e-4)
+    two = spark.range(200).selectExpr("id as h", "cast(if(id < 100, id < 20, id < 160) as int) as y", "cast(id >= 100 as double) as x0")
+    fits, good = stats.logistic_fits(two, 1, 40, 3)
+    beta = fits[0]
+    again, _ = stats.logistic_fits(two.repartition(7), 1, 40, 3)
+    assert good.all() and np.allclose(fits, again) and 0.15 < fits[1:, 1].std() < 0.6
+    frame = d.selectExpr("cast(g as string) as ccn", "x1", "x2", "y", "true as technology_present")
+    boots = [[tuple(r) for r in stats.equity_model(f, ["x1", "x2"], F.col("y") > 5, n_boot=60, seed=4).collect()] for f in (frame, frame.repartition(6))]
+    assert boots[0][0][2] == pytest.approx(boots[1][0][2]) and boots[0][1][3] == pytest.approx(boots[1][1][3])
+    assert beta[0] == pytest.approx(math.log(0.25), abs=1e-4) and beta[1] == pytest.approx(math.log(1.5) - math.log(0.25), abs=1e-4)
 
 
 def test_equity(spark, data):
@@ -273,8 +280,17 @@ def test_pipeline(spark, data, tmp_path):
 
     tables = {t: table(spark, data, t) for t in ("corpus", "extracted", "annotations")} | {"taxonomy": levels(spark, data)}
     cfg = Config.from_mapping({"corpus": {"validation_sample_n": 50}, "validation": {"n_bootstrap": 50, "alpha_bootstrap": 200}})
+    uncovered = pipeline.run_pipeline(spark, cfg, tables, ["validate"])
+    assert uncovered["stages"]["validate"]["status"] == "failed" and "labels cover" in uncovered["stages"]["validate"]["reason"]
+    tables["corpus"] = tables["corpus"].join(tables["annotations"].select("doc_id").distinct(), "doc_id", "left_semi")
+    variants = tables["corpus"].select("doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("variant"), F.lit(True).alias("technology_present"))
     r = pipeline.run_pipeline(spark, cfg, tables, ["study1", "validate", "rq1"], str(tmp_path / "r.json"))
     assert r["stages"]["study1"]["status"] == "ok" and r["stages"]["validate"]["status"] == "ok", r["stages"]
+    v = r["stages"]["validate"]["result"]
+    assert set(v["checks_not_evaluated"]) >= {"prompt_sensitivity", "model_sensitivity", "self_consistency"} and v["n_sample"] == min(50, tables["corpus"].count()) and v["gold_overlap"] == 1.0
+    assert 0 <= v["error_rates"]["sensitivity"] <= 1 and v["failure_role_agreement"]["n"] > 0 and set(v["human_alpha_bootstrap"]["q_ladder"]) == {"0.9", "0.8", "0.7", "0.667"}
+    full = pipeline.run_pipeline(spark, cfg, tables | {"predictions": variants, "second_model": variants, "second_pass": tables["extracted"].where("parse_ok")}, ["validate"])["stages"]["validate"]["result"]
+    assert full["prompt_sensitivity"]["prevalence_spread"] == 0 and full["self_consistency"]["n"] > 0 and "prompt_sensitivity" not in full["checks_not_evaluated"]
     assert r["stages"]["rq1"]["status"] == ("ok" if r["gate"]["passed"] else "withheld")
     done = pipeline.run_pipeline(spark, cfg, tables, ["rq1", "rq2", "rq3", "rq4"], previous={"gate": {"passed": True, "equity_permitted": True, "checks": {}}})
     assert [done["stages"][s]["status"] for s in ("rq1", "rq2", "rq3")] == ["ok"] * 3, {k: v.get("reason") for k, v in done["stages"].items()}
