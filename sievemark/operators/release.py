@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.contracts import FORBIDDEN_FIELDS, PERMITTED, RELEASE_FIELDS, ReleaseError, ReleasePolicy
 from sievemark.functions.hashing import salted_hash
-from sievemark.sources.writers import manifest_of, save_json
+from sievemark.sources.writers import manifest_of, write_text
 
 _SPARK = {"string": "string", "integer": "bigint", "boolean": "boolean", "number": "double"}
 
@@ -111,11 +111,12 @@ def write_release(annotations: DataFrame, aggregates: DataFrame, folder: str, po
     review = disclosure_review(annotations, aggregates, policy)
     if not review["cleared"]:
         raise ReleaseError("the disclosure review did not clear this release")
-    out = Path(folder)
-    annotations.write.mode("overwrite").json(str(out / "annotations"))
-    aggregates.write.mode("overwrite").json(str(out / "facility_quarter"))
-    save_json(codebook(policy), out / "codebook.json")
-    save_json(review, out / "review.json")
-    (out / "CITATION.cff").write_text(f"cff-version: 1.2.0\ntitle: {title}\nlicense: {policy.licence}\n", encoding="utf-8")
-    save_json(manifest_of(out), out / "MANIFEST.json")
+    spark, folder = annotations.sparkSession, folder.rstrip("/")
+    annotations.write.mode("overwrite").json(f"{folder}/annotations")
+    aggregates.write.mode("overwrite").json(f"{folder}/facility_quarter")
+    as_json = lambda x: json.dumps(x, indent=1, sort_keys=True, default=str) + "\n"
+    write_text(spark, f"{folder}/codebook.json", as_json(codebook(policy)))
+    write_text(spark, f"{folder}/review.json", as_json(review))
+    write_text(spark, f"{folder}/CITATION.cff", f"cff-version: 1.2.0\ntitle: {title}\nlicense: {policy.licence}\n")
+    write_text(spark, f"{folder}/MANIFEST.json", as_json(manifest_of(spark, folder)))
     return review

@@ -56,4 +56,4 @@ def p5_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_changes, p4_paths, p4_table, p5_found, p5_valid)}
-SQL: dict[str, str] = {"p3_found": oracle_core.P3_FOUND, "p3_report": oracle_core.P3_REPORT, "p5_found": oracle_core.P5_FOUND, "p5_valid": oracle_core.P5_VALID}
+SQL: dict[str, str] = {"p3_found": oracle_core.P3_FOUND, "p3_report": oracle_core.P3_REPORT, "p4_paths": oracle_core.P4_PATHS, "p5_found": oracle_core.P5_FOUND, "p5_valid": oracle_core.P5_VALID}

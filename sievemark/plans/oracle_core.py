@@ -60,3 +60,12 @@ P5_VALID = (
     + """SELECT raw_id, file_name, line_no::INT AS line_no, upper(ccn) AS ccn, survey_date, f_tag, narrative, nullif(scope_severity, '') AS scope_severity,
   CASE WHEN flag <> '' THEN flag IN ('y', 'true', '1') END AS is_complaint, nullif(state, '') AS state FROM judged WHERE reason IS NULL"""
 )
+
+P4_PATHS = """
+WITH r AS (SELECT row_number() OVER () AS rid, feed, file_name, payload FROM archive_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+t AS (SELECT r.rid, r.feed, r.file_name, j.id, j.parent, j.type, regexp_replace(lower(trim(j.key)), '\\s', '_', 'g') AS name FROM r, json_tree(r.payload) j),
+p AS (
+  SELECT feed, file_name, name AS path, type FROM t WHERE parent = 0
+  UNION ALL SELECT c.feed, c.file_name, q.name || CASE WHEN q.type = 'ARRAY' THEN '[]' ELSE '.' || c.name END, c.type FROM t c JOIN t q ON q.rid = c.rid AND q.id = c.parent AND q.parent = 0)
+SELECT feed, file_name, path, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS raw_type, count(*)::BIGINT AS n FROM p GROUP BY ALL
+"""

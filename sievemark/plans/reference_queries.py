@@ -186,6 +186,17 @@ def stratified_weights(spark, d):  # noqa: ANN001, ANN201
     return s.select("doc_id", "severity_level", "year", "sampling_weight")
 
 
+_SIZES = "sizes AS (SELECT coalesce(severity_level, -1) AS level, count(*)::BIGINT AS n FROM (SELECT doc_id, min(coalesce(severity_level, -1)) AS severity_level FROM corpus GROUP BY 1) GROUP BY 1), goal AS (SELECT level, n, least(1200, sum(n) OVER ()) * n / sum(n) OVER () AS g, least(1200, sum(n) OVER ()) AS total FROM sizes)"
+
+
+@query(f"WITH {_SIZES}, low AS (SELECT *, floor(g + 1e-9) AS f, row_number() OVER (ORDER BY g - floor(g + 1e-9) DESC, level) AS place FROM goal) SELECT level, (f + (place <= total - sum(f) OVER ())::INT)::BIGINT AS quota FROM low")
+def level_allocation(spark, d):  # noqa: ANN001, ANN201
+    """Rows of each severity level in a sample of 1,200, by largest remainder."""
+    ids = table(spark, d, "corpus").groupBy("doc_id").agg(F.min(F.coalesce("severity_level", F.lit(-1.0))).alias("level"))
+    sizes = {r[0]: r[1] for r in ids.groupBy("level").agg(F.count(F.lit(1))).collect()}
+    return spark.createDataFrame(list(stratified.level_quotas(sizes, 1200, {}).items()), "level double, quota bigint")
+
+
 # --- text --------------------------------------------------------------------------------------------
 
 

@@ -35,11 +35,15 @@ def _records(df: DataFrame, column_map: dict[str, str] | None, ordinal: Column)
 def _in_file_order(df: DataFrame) -> DataFrame:
     """Rows with file_name and their 0-based place in the file.
 
-    Ids of rows ascend inside a file split, and splits follow each other by their start; ranking by both
-    within the file gives the place without collecting the file anywhere.
+    Ids of rows ascend inside a file split, and splits follow each other by their start. Rows are numbered
+    inside their split, and the splits before it in the file are added up, so no task sees a whole file.
     """
     placed = df.select("*", F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    return placed.withColumn("offset", (F.row_number().over(Window.partitionBy("file_name").orderBy("_block", "_row")) - 1).cast("bigint")).drop("_block", "_row")
+    split = ["file_name", "_block"]
+    numbered = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*split).orderBy("_row")))
+    earlier = Window.partitionBy("file_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    sizes = placed.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(*split, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return numbered.join(sizes, split).withColumn("offset", (F.col("_before") + F.col("_i") - 1).cast("bigint")).drop("_block", "_row", "_i", "_before")
 
 
 def read_csv_archive(spark: SparkSession, path: str, column_map: dict[str, str] | None = None) -> DataFrame:
@@ -106,7 +110,8 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame | None:
             return None
         raise
     files = raw.select("_file").distinct().withColumn("annotator", F.dense_rank().over(Window.orderBy("_file")) - 1)
-    return raw.join(F.broadcast(files), "_file").drop("_file")
+    few = files.limit(100_001).count() <= 100_000
+    return raw.join(F.broadcast(files) if few else files, "_file").drop("_file")
 
 
 def read_regulation(spark: SparkSession, path: str) -> DataFrame:

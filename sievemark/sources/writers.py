@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import logging
 import os
@@ -12,7 +11,8 @@ from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_table_by_fingerprint(df: DataFrame, folder: str, stem: str, fingerprint: str, partition_by: list[str] | None = None) -> str:
@@ -69,8 +69,24 @@ def write_exhibit(df: DataFrame, folder: str, stem: str, caption: str) -> tuple[
     return out / f"{stem}.csv", out / f"{stem}.tex"
 
 
-def manifest_of(folder: str | Path) -> dict[str, str]:
-    return {str(p.relative_to(folder)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(Path(folder).rglob("*")) if p.is_file() and p.name != "MANIFEST.json"}
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on whatever file system the path names."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def manifest_of(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Digest of every data file under a folder, taken by the executors; the manifest itself is left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    base = F.regexp_replace(F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()), "/$", "")
+    name = F.expr("substring(path, instr(path, base) + length(base) + 1)")
+    rows = files.withColumn("base", base).select(name.alias("name"), F.sha2("content", 256).alias("digest")).where("name != 'MANIFEST.json'").orderBy("name").collect()
+    return {r["name"]: r["digest"] for r in rows}
 
 
 @contextmanager
