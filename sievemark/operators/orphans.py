@@ -51,15 +51,9 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = 1024) -> Dat
         "ref_table", "key", F.coalesce("at", _ts(FOREVER) - F.expr("interval 1 day")).alias("at"), F.col("at").alias("_at0"),
         F.struct(*own).alias("_own") if own else F.lit(None).alias("_own"),
     ).withColumn("q", _quarter(F.col("at")))
-    p = (
-        parents.where(F.col("key").isNotNull())
-        .select("ref_table", "key", F.coalesce("valid_from", _ts(ALWAYS_FROM)).alias("valid_from"), F.coalesce("valid_to", _ts(FOREVER)).alias("valid_to"))
-        .where(F.col("valid_from") < F.col("valid_to"))
-        .unionByName(  # a row that is never valid still makes its key known
-            parents.where("key is not null and valid_from >= valid_to").select("ref_table", "key", "valid_from", F.col("valid_from").alias("valid_to"))
-        )
-        .withColumn("q", _quarter(F.col("valid_from")))
-    )
+    # a row that is never valid still makes its key known
+    since, to = F.coalesce("valid_from", _ts(ALWAYS_FROM)), F.coalesce("valid_to", _ts(FOREVER))
+    p = parents.where(F.col("key").isNotNull()).select("ref_table", "key", since.alias("valid_from"), F.greatest(since, to).alias("valid_to")).withColumn("q", _quarter(F.col("valid_from")))
     # One row for each key and quarter, of references (n_refs) and of rows that can answer (until).
     asked = r.groupBy("ref_table", "key", "q").agg(F.count(F.lit(1)).alias("n_refs"))
     known = p.groupBy("ref_table", "key", "q").agg(F.min("valid_from").alias("first_from"), F.max("valid_to").alias("until"))
@@ -69,17 +63,25 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = 1024) -> Dat
     entry = F.dense_rank().over(Window.partitionBy("block").orderBy("ref_table", "key")) - 1
     coded = checkpointed(both.withColumn("entry", entry).select("*", F.expr("entry div 64").cast("int").alias("word"), F.expr("entry % 64").cast("int").alias("bit")).drop("entry"))
 
-    # A row loaded in quarter q and valid to quarter e answers every reference of the quarters between.
+    # A row loaded in quarter q and valid to quarter e answers every reference of the quarters between. Rows valid
+    # to the end of all references are most of them: their bits are carried forward along the quarters, nothing is
+    # repeated for each. Only shorter validity is spread over its quarters.
     span = coded.where("n_refs is not null").agg(F.min("q").alias("a"), F.max("q").alias("b")).first()
     lo, hi = (span["a"], span["b"]) if span["a"] is not None else (0, -1)
-    start, end = F.greatest(F.col("q") + 1, F.lit(lo)), F.least(_quarter(F.col("until")) - 1, F.lit(hi))
-    whole = coded.where(F.col("until").isNotNull() & (start <= end)).select("block", "word", "bit", F.explode(F.sequence(start, end)).alias("q"), F.lit(False).alias("asks"))
-    bits = coded.where("n_refs is not null").select("block", "word", "bit", "q", F.lit(True).alias("asks")).unionByName(whole)
+    end = _quarter(F.col("until")) - 1
+    place, bit = ["block", "word", "q"], F.expr("shiftleft(1L, bit)")
+    part = lambda df, name: df.select(*place, *[(bit if k == name else F.lit(0).cast("bigint")).alias(k) for k in ("asks", "gives", "holds")])
+    lasting = coded.where(F.col("until").isNotNull() & (end >= hi))
+    start = F.greatest(F.col("q") + 1, F.lit(lo))
+    spread = coded.where(F.col("until").isNotNull() & (end < hi) & (start <= end)).select("block", "word", "bit", F.explode(F.sequence(start, end)).alias("q"))
+    bits = part(coded.where("n_refs is not null"), "asks").unionByName(part(lasting, "gives")).unionByName(part(spread, "holds"))
+    words = bits.groupBy(*place).agg(*[F.expr(f"bit_or({k})").alias(k) for k in ("asks", "gives", "holds")])
+    earlier = Window.partitionBy("block", "word").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    carried = words.withColumn("carried", F.coalesce(F.bit_or("gives").over(earlier), F.lit(0).cast("bigint"))).where("asks != 0")
     left = (
-        bits.groupBy("block", "word", "q")
-        .agg(F.expr("bit_or(if(asks, shiftleft(1L, bit), 0L)) & ~bit_or(if(asks, 0L, shiftleft(1L, bit)))").alias("bits"))
+        carried.select(*place, F.expr("asks & ~(holds | carried)").alias("bits"))
         .where("bits != 0")
-        .select("block", "word", "q", F.explode(F.expr("filter(sequence(0, 63), b -> getbit(bits, b) = 1)")).alias("bit"))
+        .select(*place, F.explode(F.expr("filter(sequence(0, 63), b -> getbit(bits, b) = 1)")).alias("bit"))
     )
 
     # Decoded: what was known of such a key before the quarter, and whether it changed inside it.
