@@ -62,19 +62,23 @@ def locate_span(text: Column, span: Column) -> tuple[Column, Column]:
     return (at - 1).cast("bigint"), (at - 1 + F.length(span)).cast("bigint")
 
 
+REVISION = r"\(Rev\.[^)]*\)"  #: Fixed value: a revision stamp
+
+
 def requirement_text(block: Column, max_chars: int = 900) -> Column:
     """The requirement itself: revision stamps dropped, cut at the first guidance word, collapsed, at most ``max_chars``."""
-    body = F.regexp_replace(block, r"\(Rev\.[^)]*\)", " ")
+    body = F.regexp_replace(block, REVISION, " ")
     at = F.regexp_instr(body, F.lit(r"\b(?:" + "|".join(GUIDANCE_WORDS) + r")\b"))
     part = F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(F.substring(body, 1, max_chars))
     return F.substring(collapse(part), 1, max_chars)
 
 
-def build_prompt(template: str, narrative: Column, slot: str = "{narrative}") -> Column:
+def build_prompt(template: str, narrative: Column, slot: str = "{{NARRATIVE}}") -> Column:
+    """The template with the narrative at every slot; a template without one is refused."""
     if slot not in template:
         raise ValueError(f"the template has no {slot}")
-    before, after = template.split(slot, 1)
-    return F.concat(F.lit(before), narrative, F.lit(after))
+    first, *rest = template.split(slot)
+    return F.concat(F.lit(first), *[x for part in rest for x in (narrative, F.lit(part))])
 
 
 def first_label(c: Column, pairs: tuple[tuple[str, str], ...], default: str) -> Column:

@@ -76,6 +76,21 @@ def link_providers(corpus: DataFrame, providers: DataFrame) -> DataFrame:
     return out.withColumn("state", F.coalesce("state", "p_state")).withColumnRenamed("p_ownership", "ownership_type").withColumnRenamed("p_beds", "certified_beds").drop("k_ccn", "p_state")
 
 
+def link_communities(facilities: DataFrame, crosswalk: DataFrame, communities: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Facilities with the covariates of their county: by county_ssa over the crosswalk (county_ssa, county_fips) to ``communities`` (county_fips, ...).
+
+    Codes are compared as digits, zeros restored to five. Of repeated codes the first by all columns counts,
+    so no facility is multiplied; facilities without a match keep nulls. Both tables are broadcast while they
+    have at most ``limit`` rows.
+    """
+    code = lambda c: F.lpad(F.regexp_replace(F.col(c).cast("string"), r"\D", ""), 5, "0")
+    over = keep_first(crosswalk.select(code("county_ssa").alias("_ssa"), code("county_fips").alias("county_fips")).where("_ssa is not null"), ["_ssa"], ["county_fips"])
+    named = [c for c in communities.columns if c != "county_fips"]
+    place = keep_first(communities.select(code("county_fips").alias("county_fips"), *named).where("county_fips is not null"), ["county_fips"], [F.col(c).cast("string") for c in named])
+    held = lambda df: F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return facilities.withColumn("_ssa", code("county_ssa")).join(held(over), "_ssa", "left").drop("_ssa").join(held(place), "county_fips", "left")
+
+
 def enforce_schema(df: DataFrame) -> DataFrame:
     """Exactly the corpus columns in order; what cannot be cast becomes null."""
     have = set(df.columns)

@@ -77,6 +77,14 @@ def build_taxonomy(lines: DataFrame, min_blocks: int = 100) -> DataFrame:
     return classify_blocks(blocks)
 
 
+def taxonomy_meta(lines: DataFrame, taxonomy: DataFrame, source: str = "") -> DataFrame:
+    """One row about a taxonomy: source, revision (the first stamp with a number), n_tags, tags of each level, n_curated."""
+    stamp = F.nullif(F.regexp_extract("line", r"\(Rev\.\s*\d+[^)]*\)", 0), F.lit(""))
+    revision = lines.select("line_no", stamp.alias("stamp")).where("stamp is not null").agg(F.min_by("stamp", "line_no").alias("revision"))
+    counts = taxonomy.agg(F.count(F.lit(1)).alias("n_tags"), *[F.count_if(F.col("level") == k).alias(f"n_{k}") for k in TAXONOMY_LEVELS], F.count_if(F.col("method") == "curated").alias("n_curated"))
+    return counts.crossJoin(revision).select(F.lit(source).alias("source"), F.coalesce("revision", F.lit("")).alias("revision"), *counts.columns)  # one row each
+
+
 def level_counts(taxonomy: DataFrame, level: str = "level") -> DataFrame:
     """Every level with its number of tags, 0 included."""
     all_levels = taxonomy.sparkSession.createDataFrame([(x,) for x in TAXONOMY_LEVELS], f"{level} string")

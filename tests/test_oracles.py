@@ -2,11 +2,11 @@
 
 import pytest
 
-from sievemark.plans import core_queries, reference_queries
+from sievemark.plans import core_queries, reference_queries, source_queries
 from tests.oracle import connect, same
 
-ALL = {**core_queries.QUERIES, **reference_queries.QUERIES}
-SQL = {**core_queries.SQL, **reference_queries.SQL}
+ALL = {**core_queries.QUERIES, **reference_queries.QUERIES, **source_queries.QUERIES}
+SQL = {**core_queries.SQL, **reference_queries.SQL, **source_queries.SQL}
 
 
 @pytest.fixture(scope="module")

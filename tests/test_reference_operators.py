@@ -324,3 +324,26 @@ def test_plans_stay_in_the_jvm(spark, data):
 
     plan = trends.gap_breakdown(frame(spark, data))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "narrative" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_communities_prompts_and_meta(spark):
+    from sievemark.functions.text import build_prompt
+
+    f = spark.createDataFrame([("a", 1010, "x"), ("b", 99999, "x"), ("c", None, "x")], "ccn string, county_ssa int, state string")
+    cross = spark.createDataFrame([("01010", "1001"), ("01010", "1001"), (None, "1003")], "county_ssa string, county_fips string")
+    acs = spark.createDataFrame([(1001, 40.5), (1001, 41.0), (1003, 1.0)], "county_fips int, minority double")
+    assert {r["ccn"]: r["minority"] for r in corpus.link_communities(f, cross, acs).collect()} == {"a": 40.5, "b": None, "c": None}
+    d = spark.createDataFrame([("n",)], "x string")
+    assert d.select(build_prompt("A {{NARRATIVE}} B {{NARRATIVE}}.", F.col("x"))).first()[0] == "A n B n."
+    with pytest.raises(ValueError):
+        build_prompt("no slot", F.col("x"))
+    lines = spark.createDataFrame([(0, "x"), (1, "F001"), (2, "(Rev. 225; Issued) alarm"), (3, "(Rev. 9)")], "line_no int, line string")
+    t = taxonomy.classify_blocks(taxonomy.tag_blocks(lines))
+    m = taxonomy.taxonomy_meta(lines, t, "book").first()
+    assert (m["source"], m["revision"], m["n_tags"], m["n_partial"]) == ("book", "(Rev. 225; Issued)", 1, 1)
+    c = spark.createDataFrame([(1, "x", 1), (1, "y", 0)], "unit int, coder string, value int")
+    assert reliability.coder_matrix(c).first().asDict() == {"unit": 1, "x": 1, "y": 0}
+    bad = spark.createDataFrame([("d", "maybe", "12")], "doc_id string, is_complaint string, certified_beds string")
+    assert {r["column"]: r["n_failed"] for r in corpus.cast_failures(bad).collect()} == {"doc_id": 0, "is_complaint": 1, "certified_beds": 0}
+    body = judgements.BACKENDS["keyword"]()(["NARRATIVE: a bed alarm was disabled INSTRUCTIONS: camera", "NARRATIVE: nothing INSTRUCTIONS: alarm"])
+    assert '"fall_alarm_or_sensor"' in body[0] and '"workaround"' in body[0] and '"technology_present": false' in body[1]
