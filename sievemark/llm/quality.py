@@ -91,8 +91,10 @@ def _common() -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the values between neighbouring offsets."""
-    upto = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return np.diff(upto[offsets])
+    kind = np.float64 if values.dtype.kind == "f" else np.int32 if len(values) < 1 << 31 else np.int64
+    upto = np.cumsum(values, dtype=kind)
+    at = np.concatenate([np.zeros(1, kind), upto])[offsets] if len(values) < 1 << 20 else np.where(offsets > 0, upto[np.maximum(offsets, 1) - 1], 0)
+    return np.diff(at).astype(np.float64 if kind == np.float64 else np.int64)
 
 
 def _repeated(codes: np.ndarray, text: np.ndarray) -> np.ndarray:
