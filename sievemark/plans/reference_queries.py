@@ -222,17 +222,32 @@ def report_tag_blocks(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "corpus").where("f_tag is not null").select("doc_id", F.explode(split_tag_blocks(text)).alias("b")).select("doc_id", "b.f_tag", "b.place", F.length("b.narrative").alias("n_chars"))
 
 
-@query()
-def regulation_levels(spark, d):  # noqa: ANN001, ANN201
-    lines = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("book"), F.posexplode(F.split(F.concat(F.lit("F"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("\n"), F.col("text")), "\r?\n")).alias("line_no", "line"))
-    return taxonomy.classify_blocks(taxonomy.tag_blocks(lines)).select("book", "f_tag", "level", "method", "justification")
+def _requirement(x: str) -> str:
+    body = f"regexp_replace({x}, '\\(Rev\\.[^)]*\\)', ' ', 'g')"
+    blanks = "[\\s\\x0B\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{3000}]+"
+    own = f"CASE WHEN regexp_matches({body}, '{_GUIDANCE}') THEN regexp_extract({body}, '(?s)^(.*?){_GUIDANCE}', 1) ELSE substr({body}, 1, 900) END"
+    return f"substr(regexp_replace(regexp_replace({own}, '{blanks}', ' ', 'g'), '^ | $', '', 'g'), 1, 900)"
 
 
 _GUIDANCE = "\\b(?:" + "|".join(GUIDANCE_WORDS) + ")\\b"
-_BODY = "regexp_replace(text, '\\(Rev\\.[^)]*\\)', ' ', 'g')"
+_FULL = "[x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(req, '(?i){p}') THEN '{k}' END" for k, p in taxonomy.FULL_PATTERNS) + "] IF x IS NOT NULL]"
+_HITS = "list_sort([x FOR x IN [" + ", ".join(f"{{'c': -len(regexp_extract_all(block, '(?i){p}')), 'i': {i}, 'label': '{k}'}}" for i, (k, p) in enumerate(taxonomy.PARTIAL_PATTERNS)) + "] IF x.c < 0])"
+_OWN_LEVEL = "CASE f_tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in taxonomy.CURATED.items()) + " END"
+
+
+@query(f"""WITH p AS (SELECT doc_id AS book, regexp_split_to_array('F' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || chr(10) || text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT book, i, parts[i] AS line, nullif(regexp_extract(parts[i], '^\\s*(F\\d{{3}})\\s*$', 1), '') AS head FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+t AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY book ORDER BY i ROWS UNBOUNDED PRECEDING) AS f_tag FROM l),
+b AS (SELECT book, f_tag, string_agg(line, chr(10) ORDER BY i) AS block FROM t WHERE head IS NULL AND f_tag IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, {_requirement('block')} AS req FROM b), c AS (SELECT book, f_tag, {_OWN_LEVEL} AS own, {_FULL} AS full_, {_HITS} AS hits FROM r)
+SELECT book, f_tag, coalesce(own, CASE WHEN len(full_) > 0 THEN 'full' WHEN len(hits) > 0 THEN 'partial' ELSE 'none' END) AS level, CASE WHEN own IS NULL THEN 'rule' ELSE 'curated' END AS method,
+CASE WHEN own IS NOT NULL THEN 'decided by hand' WHEN len(full_) > 0 THEN array_to_string(full_, '; ') WHEN len(hits) > 0 THEN array_to_string([x.label || ' (' || (-x.c) || ')' FOR x IN hits[1:4]], ', ') ELSE 'no technology word' END AS justification FROM c""")
+def regulation_levels(spark, d):  # noqa: ANN001, ANN201
+    lines = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("book"), F.posexplode(F.split(F.concat(F.lit("F"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("\n"), F.col("text")), "\r?\n")).alias("line_no", "line"))
+    return taxonomy.classify_blocks(taxonomy.tag_blocks(lines)).select("book", "f_tag", "level", "method", "justification")
 
 
-@query(f"WITH b AS (SELECT doc_id, {_BODY} AS body FROM documents) SELECT doc_id, substr(regexp_replace(regexp_replace(CASE WHEN regexp_matches(body, '{_GUIDANCE}') THEN regexp_extract(body, '(?s)^(.*?){_GUIDANCE}', 1) ELSE substr(body, 1, 900) END, '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'), '^ | $', '', 'g'), 1, 900) AS requirement FROM b")
+@query(f"SELECT doc_id, {_requirement('text')} AS requirement FROM documents")
 def requirement_texts(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", requirement_text(F.col("text")).alias("requirement"))
 
