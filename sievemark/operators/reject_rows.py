@@ -27,18 +27,21 @@ _ARROW = pa.schema([
     ("raw_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int32()), ("reason", pa.string()), ("failed_field", pa.string()), ("n_fields", pa.int32()), ("raw_line", pa.string()),
     ("ccn", pa.string()), ("survey_date", pa.date32()), ("f_tag", pa.string()), ("narrative", pa.string()), ("scope_severity", pa.string()), ("is_complaint", pa.bool_()), ("state", pa.string()),
 ])
-_BREAKS = ("", "", "")
+_SHIFT = "\x10"  #: stands before the letter of a line break, or of itself, while the reader runs
+_CODES = ((_SHIFT, _SHIFT + "d"), ("\n", _SHIFT + "n"), ("\r", _SHIFT + "r"))
 
 
-def _marks(text: pa.Array) -> tuple[str, str] | None:
-    """Two characters no line holds, to stand for line breaks while the reader runs."""
-    free = []
-    for code in range(0xE000, 0xF8FF):
-        if not pc.any(pc.match_substring(text, chr(code))).as_py():
-            free.append(chr(code))
-            if len(free) == 2:
-                return free[0], free[1]
-    return None
+def _unbroken(text: pa.Array) -> pa.Array:
+    """Texts without line breaks; ``_broken`` gives them back, whatever characters they hold."""
+    for plain, code in _CODES:
+        text = pc.replace_substring(text, plain, code)
+    return text
+
+
+def _broken(text: pa.Array) -> pa.Array:
+    for plain, code in reversed(_CODES):
+        text = pc.replace_substring(text, code, plain)
+    return text
 
 
 def _days(text: pa.Array) -> pa.Array:
@@ -68,18 +71,8 @@ def judge_lines(raw_id: pa.Array, file_name: pa.Array, line_no: pa.Array, raw_li
     quoted = _matches(line, QUOTING).to_numpy(zero_copy_only=False)
     for i in (~quoted).nonzero()[0]:
         reason[i] = "quoting"
-    marks = _marks(line)
-    if marks is None:  # every private character is in use: judge these lines one by one
-        half = n // 2
-        if n == 1:
-            marks = _BREAKS[:2]
-        else:
-            cut = lambda a, b: judge_lines(raw_id[a:b], file_name[a:b], line_no[a:b], raw_line[a:b])
-            return pa.concat_tables([cut(0, half), cut(half, n)])
-    nl, cr = marks
-    flat = pc.replace_substring(pc.replace_substring(line, "\n", nl), "\r", cr)
-    texts = flat.to_pylist()
-    numbered = "\n".join(f"{i},{texts[i]}" for i in quoted.nonzero()[0])
+    flat = _unbroken(line).filter(pa.array(quoted))
+    numbered = "\n".join(pc.binary_join_element_wise(pc.cast(pa.array(quoted.nonzero()[0]), flat.type), flat, ",").to_pylist())
     rejected: dict[int, int] = {}
 
     def invalid(row: csv.InvalidRow) -> str:
@@ -104,8 +97,7 @@ def judge_lines(raw_id: pa.Array, file_name: pa.Array, line_no: pa.Array, raw_li
     at = pc.cast(parsed["_i"], pa.int64())
     cols = {}
     for k in FIELDS:
-        text = pc.replace_substring(pc.replace_substring(parsed[k], nl, "\n"), cr, "\r")
-        cols[k] = pc.utf8_trim_whitespace(text)
+        cols[k] = pc.utf8_trim_whitespace(_broken(parsed[k]))
     tag = pc.utf8_upper(pc.replace_substring_regex(cols["f_tag"], r"\s", ""))
     day = _days(cols["survey_date"])
     flag = pc.utf8_lower(cols["is_complaint"])
