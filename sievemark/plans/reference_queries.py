@@ -164,9 +164,11 @@ def gold_overlap(spark, d):  # noqa: ANN001, ANN201
     return r6(agreement.gold_overlap(table(spark, d, "corpus"), table(spark, d, "annotations")))
 
 
-@query("SELECT c.doc_id, coalesce(g.p, false) AS gold_present, coalesce(g.r, 'none') AS gold_role FROM corpus c LEFT JOIN (SELECT doc_id, bool_or(technology_present) AS p, max(failure_role) AS r FROM annotations WHERE annotator = 5 GROUP BY 1) g ON g.doc_id = c.doc_id")
+@query("SELECT c.doc_id, coalesce(g.p, false) AS gold_present, coalesce(g.r, 'none') AS gold_role FROM corpus c LEFT JOIN (SELECT doc_id, bool_or(technology_present) AS p, max(failure_role) AS r FROM annotations WHERE annotator = (SELECT min(annotator) FROM annotations) GROUP BY 1) g ON g.doc_id = c.doc_id")
 def gold_aligned(spark, d):  # noqa: ANN001, ANN201
-    return agreement.gold_aligned(table(spark, d, "corpus"), table(spark, d, "annotations"), 5)
+    """The labels of the first coder, by whom gold is defined, beside every narrative."""
+    a = table(spark, d, "annotations")
+    return agreement.gold_aligned(table(spark, d, "corpus"), a, a.agg(F.min("annotator")).first()[0])
 
 
 @query()
@@ -497,13 +499,15 @@ def facility_rates_spearman(spark, d):  # noqa: ANN001, ANN201
     return r6(agreement.spearman(agreement.facility_rates(_variants(spark, d), "v2", "v3"), "rate_a", "rate_b"))
 
 
-@query("""WITH a AS (SELECT doc_id, technology_present, failure_role FROM annotations WHERE annotator = 5), x AS (SELECT doc_id, min(technology_present) AS p, min(failure_role) AS r FROM a GROUP BY 1), y AS (SELECT doc_id, max(technology_present) AS p, max(failure_role) AS r FROM annotations WHERE annotator = 13 GROUP BY 1)
-SELECT count(*)::BIGINT AS n, round(avg((x.p IS NOT DISTINCT FROM y.p)::INT), 6) AS technology_present, round(avg((x.r IS NOT DISTINCT FROM y.r)::INT), 6) AS failure_role FROM x JOIN y USING (doc_id)""")
+@query("""WITH a AS (SELECT doc_id, annotator, labelled_at, coalesce(technology_present::INT, -1) AS p, coalesce(failure_role, '') AS r FROM annotations WHERE labelled_at IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, annotator ORDER BY labelled_at, p, r) AS i, row_number() OVER (PARTITION BY doc_id, annotator ORDER BY labelled_at DESC, p DESC, r DESC) AS j FROM a)
+SELECT count(*)::BIGINT AS n, round(avg((x.p = y.p)::INT), 6) AS technology_present, round(avg((x.r = y.r)::INT), 6) AS failure_role FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.annotator = y.annotator AND x.i = 1 AND y.j = 1""")
 def self_consistency(spark, d):  # noqa: ANN001, ANN201
-    a = table(spark, d, "annotations")
-    x = a.where("annotator = 5").groupBy("doc_id").agg(F.min("technology_present").alias("technology_present"), F.min("failure_role").alias("failure_role"))
-    y = a.where("annotator = 13").groupBy("doc_id").agg(F.max("technology_present").alias("technology_present"), F.max("failure_role").alias("failure_role"))
-    return r6(agreement.self_consistency(x, y, ["technology_present", "failure_role"]))
+    """The first against the last pass of every annotator over a narrative."""
+    fields = [F.coalesce(F.col("technology_present").cast("int"), F.lit(-1)).alias("technology_present"), F.coalesce("failure_role", F.lit("")).alias("failure_role")]
+    a = table(spark, d, "annotations").where("labelled_at is not null").select("doc_id", "annotator", F.struct("labelled_at", *fields).alias("v"))
+    both = a.groupBy(F.concat_ws("|", "doc_id", F.col("annotator").cast("string")).alias("doc_id")).agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    return r6(agreement.self_consistency(both.select("doc_id", "first.*"), both.select("doc_id", "last.*"), ["technology_present", "failure_role"]))
 
 
 def _alpha_sql(value: str, distance: str) -> str:
