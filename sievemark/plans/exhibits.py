@@ -95,6 +95,16 @@ def overall_figure(spark: SparkSession, results: dict) -> DataFrame:
 EXHIBITS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {"table1_census": census_table, "figure1_overall": overall_figure, "table2_validation": validation_table, "table3_gap": gap_table, "table4_equity": equity_table, "table5_forecast": forecast_table, "figure2_prevalence": prevalence_figure, "figure3_gap": gap_figure, "figure4_projection": projection_figure}
 
 
+#: stage that an exhibit is made from
+SOURCES = {"table1_census": "study1", "figure1_overall": "rq1", "table2_validation": "validate", "table3_gap": "rq2", "table4_equity": "rq3", "table5_forecast": "rq4", "figure2_prevalence": "rq1", "figure3_gap": "rq2", "figure4_projection": "rq4"}
+
+
+def availability(results: dict) -> dict[str, list[str]]:
+    """Exhibits whose stage has a result, and those without."""
+    have = {name: _result(results, stage) is not None for name, stage in SOURCES.items()}
+    return {"available": sorted(k for k, v in have.items() if v), "unavailable": sorted(k for k, v in have.items() if not v)}
+
+
 def render_all(spark: SparkSession, results: dict, folder: str) -> dict[str, Any]:
     """Write every exhibit; one that cannot be made is reported and does not stop the others."""
     out = {}

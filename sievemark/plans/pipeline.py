@@ -12,11 +12,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.contracts import Config, EngineError, Thresholds, stage_seed
+from sievemark.contracts import Config, EngineError, Thresholds, prompt_hash, stage_seed
+from sievemark.functions.text import build_prompt
 from sievemark.operators import forecast, stats, taxonomy, trends
-from sievemark.operators.corpus import analysis_frame, canonical_keys
+from sievemark.operators.corpus import analysis_frame, assert_unique, build_corpus, canonical_keys, cast_failures
+from sievemark.operators.judgements import extraction_stats, parse_responses, pilot, run_backend
+from sievemark.plans.exhibits import availability
 from sievemark.plans.gate import evaluate_gate, optional_check
 from sievemark.plans.validation import validate_measurement
+from sievemark.session import checkpointed
 from sievemark.sources.writers import save_json, timed
 
 log = logging.getLogger("sievemark")
@@ -48,6 +52,28 @@ def _frame(r: Run) -> DataFrame:
     return taxonomy.with_level(f, r.tables["taxonomy"]) if "taxonomy" in r.tables else f
 
 
+def run_corpus(r: Run) -> dict:
+    """The corpus from archive records (tables ``records``, and ``citations`` and ``providers`` where given); a given corpus is taken as it is."""
+    if "records" not in r.tables:
+        return {"source": "given", "failed_casts": {x["column"]: x["n_failed"] for x in cast_failures(r.tables["corpus"]).collect() if x["n_failed"]}}
+    cfg = r.config.corpus
+    r.tables["corpus"] = checkpointed(build_corpus(r.tables["records"], r.tables.get("citations"), r.tables.get("providers"), cfg.get("min_tokens", 40), cfg.get("drop_boilerplate", True)))
+    assert_unique(r.tables["corpus"])
+    return {"source": "records", "n": r.tables["corpus"].count()}
+
+
+def run_extract(r: Run) -> dict:
+    """Judgements of the configured backend; given ones are taken as they are. ``extraction.pilot`` limits a trial run to so many narratives."""
+    if "extracted" not in r.tables:
+        cfg = r.config.extraction
+        corpus = r.tables["corpus"].select("doc_id", "narrative")
+        corpus = pilot(corpus, cfg["pilot"]) if cfg.get("pilot") else corpus
+        asked = corpus.withColumn("prompt", build_prompt(cfg["prompt"], F.coalesce("narrative", F.lit(""))))
+        answers = run_backend(asked, "prompt", cfg.get("backend", "keyword"), cfg.get("batch_size", 256))
+        r.tables["extracted"] = checkpointed(parse_responses(answers, "response", "narrative").drop("prompt", "narrative", "response").withColumn("prompt_hash", F.lit(prompt_hash(cfg["prompt"]))))
+    return extraction_stats(r.tables["extracted"]).first().asDict()
+
+
 def run_study1(r: Run) -> dict:
     counts = taxonomy.term_counts(r.tables["corpus"], r.config.analysis.get("census_terms") or {"digital": ["alarm", "sensor"], "pre_digital": ["call light", "side rail"]})
     return {"census": [x.asDict() for x in taxonomy.term_census(counts).collect()], "ratio": taxonomy.census_ratio(counts).first().asDict(), "levels": {x["level"]: x["n_tags"] for x in taxonomy.level_counts(r.tables["taxonomy"]).collect()}}
@@ -96,6 +122,8 @@ def run_rq4(r: Run) -> dict:
 
 
 REGISTRY = (
+    Stage("corpus", run_corpus),
+    Stage("extract", run_extract, ("corpus",)),
     Stage("study1", run_study1),
     Stage("validate", run_validate),
     Stage("rq1", run_rq1, gated=True),
@@ -172,7 +200,7 @@ def summarise(results: dict) -> dict:
     by: dict[str, list[str]] = {}
     for n, s in results["stages"].items():
         by.setdefault(s["status"], []).append(n)
-    return {"by_status": {k: sorted(v) for k, v in sorted(by.items())}, "gate_passed": bool((results.get("gate") or {}).get("passed"))}
+    return {"by_status": {k: sorted(v) for k, v in sorted(by.items())}, "gate_passed": bool((results.get("gate") or {}).get("passed")), "exhibits": availability(results)}
 
 
 def exit_code(results: dict, strict: bool = False) -> int:

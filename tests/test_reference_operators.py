@@ -296,6 +296,9 @@ def test_pipeline(spark, data, tmp_path):
     assert [done["stages"][s]["status"] for s in ("rq1", "rq2", "rq3")] == ["ok"] * 3, {k: v.get("reason") for k, v in done["stages"].items()}
     assert done["stages"]["rq4"]["result"]["projection"]["status"] in ("ok", "not_identifiable")
     assert set(exhibits.render_all(spark, done, str(tmp_path / "ex")).values()) == {"written"}
+    assert set(done["summary"]["exhibits"]["available"]) >= {"figure1_overall", "table3_gap", "table4_equity"} and "table2_validation" in done["summary"]["exhibits"]["unavailable"]
+    made = pipeline.run_pipeline(spark, Config.from_mapping({"extraction": {"prompt": "NARRATIVE: {{NARRATIVE}} INSTRUCTIONS: camera", "pilot": 30}}), {"corpus": tables["corpus"]}, ["corpus", "extract"])
+    assert made["stages"]["extract"]["result"]["n"] == min(30, tables["corpus"].count()) == made["stages"]["extract"]["result"]["n_parsed"], made["stages"]
     assert pipeline.exit_code(done) == 0 and pipeline.exit_code(r) in (0, 2)
 
 
@@ -347,3 +350,10 @@ def test_communities_prompts_and_meta(spark):
     assert {r["column"]: r["n_failed"] for r in corpus.cast_failures(bad).collect()} == {"doc_id": 0, "is_complaint": 1, "certified_beds": 0}
     body = judgements.BACKENDS["keyword"]()(["NARRATIVE: a bed alarm was disabled INSTRUCTIONS: camera", "NARRATIVE: nothing INSTRUCTIONS: alarm"])
     assert '"fall_alarm_or_sensor"' in body[0] and '"workaround"' in body[0] and '"technology_present": false' in body[1]
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from sievemark.__main__ import main
+
+    code = main(["--tables", data, "--stages", "corpus,extract,rq2", "--out", str(tmp_path / "r.json")])
+    assert code == 2 and "rq2" in writers.load_json(tmp_path / "r.json")["stages"] and "withheld" in capsys.readouterr().out
