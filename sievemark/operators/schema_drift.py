@@ -353,17 +353,19 @@ def unified_records(records: DataFrame) -> DataFrame:
     base = records.select("feed", "file_name", "released_at", "position", "payload", F.when(F.schema_of_variant(v).startswith("OBJECT"), raw).alias("raw"), nested.alias("nested"))
     joined = base.join(by_file, ["feed", "file_name"], "left")
     entries = F.transform(F.map_entries("raw"), lambda e, i: F.struct(F.coalesce(F.element_at("columns", snake_name(e["key"])), snake_name(e["key"])).alias("key"), e["value"].alias("value"), F.get("nested", i).alias("nested")))
-    opened = joined.withColumn("entries", entries)
+    # each field is looked up once, in a projection of its own
+    kept = ["feed", "file_name", "released_at", "position", "payload", "raw", "entries"]
+    opened = joined.withColumn("entries", entries).select(*kept, *[_first_entry("entries", F.lit(k)).alias(f"_{k}") for k in REFERENCE_FIELDS])
     typed, failed = [], []
     for name, kind in REFERENCE_FIELDS.items():
-        text = _first_value("entries", F.lit(name))
+        text = F.col(f"_{name}")["value"]
         t = F.lower(F.trim(text))
         if kind == "boolean":
             value = F.when(t.isin("true", "y", "yes", "t", "1"), True).when(t.isin("false", "n", "no", "f", "0"), False)
         elif kind == "date":
             value = F.coalesce(F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(text, F.lit("M/d/yyyy"))))
         else:
-            value = _text_value(name, text, _first_entry("entries", F.lit(name))["nested"])
+            value = _text_value(name, text, F.col(f"_{name}")["nested"])
         typed.append(value.alias(name))
         failed.append(F.when(text.isNotNull() & (t != "") & value.isNull(), F.struct(F.lit(name).alias("column"), text.alias("value"))))
     failed.append(F.when(F.col("raw").isNull(), F.struct(F.lit("payload").alias("column"), F.col("payload").alias("value"))))
