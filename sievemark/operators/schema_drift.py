@@ -1,19 +1,21 @@
 """Schemas that drift between files.
 
-Every record is opened once into path/value pairs with the raw type of each value (a variant, so a
-number stays a number), objects and arrays at any depth. Pairs are reduced to counts by feed, file, path,
-type and content shape before anything moves; shapes are of a bounded number, so further work follows files
-and paths, not rows. Each file is compared with the one before it, which gives added, removed, renamed and
+Every record is opened once into path/value pairs with the raw type of each value, objects and arrays at
+any depth. Pairs are counted by feed, file, path, type and content shape where they are read; shapes are of
+a bounded number, so what moves follows files and paths, not rows. Each file is compared with the one before it, which gives added, removed, renamed and
 retyped fields; renames, and the content of keys with unknown names, put the fields into one typed table. A
 value that does not fit its column is kept as text and named in ``failed_casts``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -30,101 +32,123 @@ REFERENCE_FIELDS = {"ccn": "string", "survey_date": "date", "f_tag": "string", "
 TYPES = ("string", "number", "boolean", "object", "array")
 
 
-def _raw_type(schema: Column) -> Column:
-    return (
-        F.when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null")
-        .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").otherwise("number")
-    )
-
-
 VALUE_BUCKETS = 64  #: short values are told apart by a hash into so many
 
+_FORMS = tuple(
+    (name, re.compile(pattern))
+    for name, pattern in (
+        ("yes", r"true|y|yes|t|1"), ("no", r"false|n|no|f|0"), ("day", r"\d{4}-\d{2}-\d{2}.*|\d{1,2}/\d{1,2}/\d{4}"), ("code3", r"[a-z]?\d{3,4}"), ("int", r"-?\d+"), ("decimal", r"-?\d+[.,]\d+"),
+        ("mixed", r"(?=.*\d)[a-z0-9]+"), ("letter:", r"[a-l]"), ("initial:", r"[m-z]"), ("pair:", r"[a-z]{2}"), ("blank", r""),
+    )
+)
 
-def _shape(t: Column, raw: Column, released: Column) -> Column:
-    """A class of content that survives another name or type, one of a bounded number.
 
-    Yes/no words, days by distance from the release, letters and digits by length, numbers, running text;
-    a single letter, a pair of letters and other short text also by a bucket of the value. ``t`` is trimmed
-    and in lower case.
+@lru_cache(maxsize=200_000)
+def _shape(text: str) -> tuple[str, dt.date | None]:
+    """A class of content that survives another name or type, one of a bounded number; and the day, if it is one.
+
+    Yes/no words, days, letters and digits by length, numbers, running text; a single letter, a pair of letters
+    and other short text also by a bucket of the value.
     """
-    years = F.floor(F.datediff(released.cast("date"), F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")).cast("date")) / 365.25)
-    bucket = F.pmod(F.xxhash64(t), F.lit(VALUE_BUCKETS)).cast("string")
-    words = F.least(F.lit(4), F.regexp_count(t, F.lit(r"\S+"))).cast("string")
-    return (
-        F.when(raw.isin("object", "array"), raw)
-        .when(t.isin("true", "y", "yes", "t", "1"), "yes")
-        .when(t.isin("false", "n", "no", "f", "0"), "no")
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{4}$"), F.concat(F.lit("day"), F.when(years < 0, "-").otherwise("+")))
-        .when(t.rlike(r"^[a-z]?\d{3,4}$"), "code3")
-        .when(t.rlike(r"^-?\d+$"), F.concat(F.lit("int"), F.least(F.lit(12), F.length(t)).cast("string")))
-        .when(t.rlike(r"^-?\d+[.,]\d+$"), "decimal")
-        .when(t.rlike(r"^(?=.*\d)[a-z0-9]+$"), F.concat(F.lit("mixed"), F.least(F.lit(12), F.length(t)).cast("string")))
-        .when(t.rlike(r"^[a-l]$"), F.concat(F.lit("letter:"), bucket))
-        .when(t.rlike(r"^[m-z]$"), F.concat(F.lit("initial:"), bucket))
-        .when(t.rlike(r"^[a-z]{2}$"), F.concat(F.lit("pair:"), bucket))
-        .when(F.length(t) >= 25, "prose")
-        .when(t == "", "blank")
-        .otherwise(F.concat(F.lit("word"), words, F.lit(":"), bucket))
-    )
+    t = text.strip().lower()
+    name = next((k for k, form in _FORMS if form.fullmatch(t)), None) if len(t) < 40 else None
+    if name == "day":
+        try:
+            return name, dt.date.fromisoformat(t[:10])
+        except ValueError:
+            return name, None
+    if name in ("int", "mixed"):
+        return f"{name}{min(12, len(t))}", None
+    if name and name[-1] != ":":
+        return name, None
+    if name is None and len(t) >= 25:
+        return "prose", None
+    return f"{name or f'word{min(4, len(t.split()))}:'}{zlib.crc32(t.encode()) % VALUE_BUCKETS}", None
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _pairs(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key stands twice")
+    return out
+
+
+def _bad(constant: str) -> None:
+    raise ValueError(constant)
 
 
-def path_values(records: DataFrame) -> DataFrame:
-    """One row for each key of each record: feed, file_name, released_at, position, field, raw_type, value_text.
+def read_paths(payload: str | None) -> Iterator[tuple[str, int, str, str | None]]:
+    """(path, depth, raw type, text) of everything in a JSON object; elements of an array share the path ``field[]``. Other payloads give nothing.
 
-    A payload that is null, no JSON or no object gives no row. A null value has raw_type null and
-    value_text null. Only the columns named here are read, so further ones cannot clash.
+    Names are trimmed, in lower case, with blanks as underscores. Nested values come after the keys.
     """
-    v = records.select("feed", "file_name", "released_at", "position", F.try_parse_json("payload").alias("v")).where("schema_of_variant(v) like 'OBJECT%'")
-    spark = records.sparkSession
-    opened = v.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    raw = _raw_type(F.schema_of_variant("value"))
-    return opened.select("feed", "file_name", "released_at", "position", snake_name(F.col("key")).alias("field"), raw.alias("raw_type"), F.expr("try_variant_get(value, '$', 'string')").alias("value_text"))
-
-
-def _inner(field: str, text: str | None) -> list[tuple[str, str, str | None]]:
-    """Path, raw type and text of everything inside an object or array; elements of an array share the path ``field[]``."""
-    out: list[tuple[str, str, str | None]] = []
-    todo = [(field, json.loads(text))] if text else []
-    while todo:
-        path, value = todo.pop()
-        pairs = [(f"{path}.{re.sub(r'\s', '_', k.strip().lower())}", v) for k, v in value.items()] if isinstance(value, dict) else [(f"{path}[]", v) for v in value]
-        for name, v in pairs:
+    try:
+        record = json.loads(payload or "", parse_int=_Number, parse_float=_Number, parse_constant=_bad, object_pairs_hook=_pairs)
+    except (ValueError, RecursionError):
+        return
+    todo = [("", -1, record)] if isinstance(record, dict) else []
+    for path, depth, value in todo:  # grows while it is read
+        inner = [(f"{path}.{_name(k)}" if depth >= 0 else _name(k), v) for k, v in value.items()] if isinstance(value, dict) else [(f"{path}[]", v) for v in value]
+        for name, v in inner:
             if isinstance(v, dict | list):
-                out.append((name, "object" if isinstance(v, dict) else "array", json.dumps(v, ensure_ascii=False)))
-                todo.append((name, v))
+                todo.append((name, depth + 1, v))
+                yield name, depth + 1, "object" if isinstance(v, dict) else "array", None
             elif v is None:
-                out.append((name, "null", None))
+                yield name, depth + 1, "null", None
             else:
-                out.append((name, "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number", v if isinstance(v, str) else json.dumps(v)))
-    return out
+                kind = "number" if isinstance(v, _Number) else "string" if isinstance(v, str) else "boolean"
+                yield name, depth + 1, kind, v if kind != "boolean" else str(v).lower()
 
 
-def every_path(records: DataFrame) -> DataFrame:
-    """``path_values`` and the paths inside objects and arrays at any depth: the same columns and depth (0 for a key of the record)."""
-    flat = F.udf(_inner, "array<struct<field: string, raw_type: string, value_text: string>>", useArrow=True)
-    pairs = path_values(records)
-    head = ["feed", "file_name", "released_at", "position"]
-    # only records with a second bracket can hold an object or array; the others are not read again
-    brackets = F.length("payload") - F.length(F.translate("payload", "{[", ""))
-    deep = path_values(records.where(brackets > 1))
-    nested = deep.where(F.col("raw_type").isin("object", "array")).select(*head, "field", F.explode(flat("field", "value_text")).alias("p"))
-    depth = F.length(F.col("path")) - F.length(F.translate(F.col("path"), ".[", ""))
-    inner = nested.select(*head, "field", F.col("p.field").alias("path"), F.col("p.raw_type").alias("raw_type"), F.col("p.value_text").alias("value_text"))
-    inner = inner.withColumn("depth", (depth - (F.length("field") - F.length(F.translate("field", ".[", "")))).cast("int"))
-    return pairs.withColumn("depth", F.lit(0)).unionByName(inner.drop("field").withColumnRenamed("path", "field"))
+@lru_cache(maxsize=100_000)
+def _name(key: str) -> str:
+    return re.sub(r"\s", "_", key.strip().lower())
 
 
-def path_statistics(records: DataFrame) -> DataFrame:
-    """Counts by feed, file, path and raw type, with the paths inside objects and arrays at any depth."""
-    return every_path(records).groupBy("feed", "file_name", F.col("field").alias("path"), "raw_type").agg(F.count(F.lit(1)).alias("n"))
+def field_statistics(records: DataFrame, most_held: int = 200_000) -> DataFrame:
+    """Counts (n) by feed, file_name, field (a path), depth, raw_type and shape: a bounded number for each path of a file.
+
+    Records are read in Arrow batches and counted where they are read; a task holds at most ``most_held``
+    counts and hands them in earlier otherwise. A payload that is null, no JSON or no object counts nothing.
+    A day after the release of its file is another shape (day-) than one before it (day+).
+    """
+    names = ["feed", "file_name", "field", "depth", "raw_type", "shape", "n"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
 
+        def give() -> pa.RecordBatch:
+            columns = list(zip(*((*k, n) for k, n in held.items()))) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-def field_statistics(records: DataFrame) -> DataFrame:
-    """Counts by feed, file, path, depth, raw type and content shape: a bounded number for each path of a file."""
-    # the text is made ready once, in a projection of its own, and long text is settled before any pattern
-    ready = every_path(records).withColumn("t", F.lower(F.regexp_replace("value_text", r"(?U)^\s+|\s+$", "")))
-    shape = F.when(F.col("raw_type") == "null", None).when((F.length("t") >= 27) & ~F.col("raw_type").isin("object", "array"), "prose").otherwise(_shape(F.col("t"), F.col("raw_type"), F.col("released_at")))
-    return ready.withColumn("shape", shape).groupBy("feed", "file_name", "field", "depth", "raw_type", "shape").agg(F.count(F.lit(1)).alias("n"))
+        for b in batches:
+            for feed, file_name, released, payload in zip(*(c.to_pylist() for c in b.columns)):
+                for path, depth, raw, text in read_paths(payload):
+                    if text is None:
+                        shape = None if raw == "null" else raw
+                    else:
+                        shape, day = _shape(text)
+                        if shape == "day":
+                            shape = "day-" if day and released and day > released else "day+"
+                    held[feed, file_name, path, depth, raw, shape] += 1
+            if len(held) > most_held:
+                yield give()
+                held.clear()
+        yield give()
+
+    source = records.select("feed", "file_name", F.col("released_at").cast("date").alias("released"), "payload")
+    counted = source.mapInArrow(run, "feed string, file_name string, field string, depth int, raw_type string, shape string, n bigint")
+    return counted.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def path_statistics(records: DataFrame) -> DataFrame:
+    """Counts by feed, file, path and raw type, with the paths inside objects and arrays at any depth."""
+    return field_statistics(records).groupBy("feed", "file_name", F.col("field").alias("path"), "raw_type").agg(F.sum("n").alias("n"))
 
 
 def file_sketches(records: DataFrame, min_share: float) -> DataFrame:
