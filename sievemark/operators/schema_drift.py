@@ -354,7 +354,12 @@ def _first_entry(entries: Column | str, key: Column) -> Column:
     return F.get(F.filter(entries, lambda e: (e["key"] == key) & e["value"].isNotNull()), F.lit(0))
 
 
-def unified_records(records: DataFrame) -> DataFrame:
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one element, so that later steps do not work its columns out again for each use."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
+def unified_records(records: DataFrame, broadcast_files: int = 50_000) -> DataFrame:
     """All records as one table.
 
     Columns: feed, file_name, released_at, position, the seven reference fields with their types,
@@ -363,23 +368,26 @@ def unified_records(records: DataFrame) -> DataFrame:
     with a reference field's name is that field; a renamed one keeps the column of its first name; a key
     whose content is that of a reference field the file lacks becomes it, whatever its name. A record whose
     payload does not parse keeps its row, with nulls and the payload under ``failed_casts``. Repeated rows
-    stay repeated.
+    stay repeated. The names of up to ``broadcast_files`` files (those with other names) are broadcast, so
+    records are not shuffled; beyond, they are joined by shuffle.
     """
     order = Window.partitionBy("feed").orderBy(F.col("released_at").asc_nulls_first(), "file_name")
     files = records.groupBy("feed", "file_name").agg(F.min("released_at").alias("released_at")).select("feed", "file_name", F.row_number().over(order).alias("seq"))
     named = files.join(field_columns(schema_events(records)), "feed").where(F.col("seq").between(F.col("from_seq"), F.col("to_seq")) & ~F.col("name").isin(*REFERENCE_FIELDS))
     one = named.groupBy("feed", "file_name", "name").agg(F.min(F.struct("rank", "column_name"))["column_name"].alias("column_name"))
-    by_file = one.groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("name", "column_name"))).alias("columns"))
+    by_file = checkpointed(one.groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("name", "column_name"))).alias("columns")))
+    few = by_file.limit(broadcast_files + 1).count() <= broadcast_files
     v = F.try_parse_json("payload")
     # One map for a record: normalised key -> text. Keys that become equal: the first one counts.
     raw = F.expr("from_json(payload, 'map<string,string>')")
     nested = F.expr("transform(map_values(from_json(payload, 'map<string,variant>')), x -> schema_of_variant(x) rlike '^(OBJECT|ARRAY)')")
-    base = records.select("feed", "file_name", "released_at", "position", "payload", F.when(F.schema_of_variant(v).startswith("OBJECT"), raw).alias("raw"), nested.alias("nested"))
-    joined = base.join(by_file, ["feed", "file_name"], "left")
+    base = _once(records.select("feed", "file_name", "released_at", "position", "payload", F.when(F.schema_of_variant(v).startswith("OBJECT"), raw).alias("raw"), nested.alias("nested")))
+    joined = base.join(F.broadcast(by_file) if few else by_file, ["feed", "file_name"], "left")
     entries = F.transform(F.map_entries("raw"), lambda e, i: F.struct(F.coalesce(F.element_at("columns", snake_name(e["key"])), snake_name(e["key"])).alias("key"), e["value"].alias("value"), F.get("nested", i).alias("nested")))
     # each field is looked up once, in a projection of its own
     kept = ["feed", "file_name", "released_at", "position", "payload", "raw", "entries"]
-    opened = joined.withColumn("entries", entries).select(*kept, *[_first_entry("entries", F.lit(k)).alias(f"_{k}") for k in REFERENCE_FIELDS])
+    opened = _once(joined.withColumn("entries", entries).select(*kept))
+    opened = opened.select(*kept, *[_first_entry("entries", F.lit(k)).alias(f"_{k}") for k in REFERENCE_FIELDS])
     typed, failed = [], []
     for name, kind in REFERENCE_FIELDS.items():
         text = F.col(f"_{name}")["value"]
