@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.words import small_batches
+from sievemark.llm.words import small_batches, valid_text
 
 _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"[.?!][\"'”’»)\]}]?$")
@@ -124,7 +124,7 @@ def split_oversized(texts: DataFrame, text: str = "narrative", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 4 << 20):
-            found = [split_text(t, limit, overlap) for t in b.column(1).to_pylist()]
+            found = [split_text(t, limit, overlap) for t in valid_text(b.column(1)).to_pylist()]
             rows = [(i, whole, k, a, z, e, p) for i, (whole, pieces) in enumerate(found) for k, (a, z, e, p) in enumerate(pieces)]
             columns = list(zip(*rows)) if rows else [[]] * 7
             types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]

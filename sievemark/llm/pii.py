@@ -405,7 +405,7 @@ def redact(texts: DataFrame, text: str = "narrative", key: str = "doc_id", field
                 parts += [raw[at : a[j]], PLACEHOLDERS[LABELS[kind[j]]].encode()]
                 at = int(z[j])
             out[i] = b"".join([*parts, raw[at : offsets[i + 1] - len(_END)]])
-        texts_out = pa.array([None if no else x.decode() for x, no in zip(out, null.to_pylist())], pa.string())
+        texts_out = pa.array([None if no else x.decode("utf-8", "replace") for x, no in zip(out, null.to_pylist())], pa.string())
         return pa.RecordBatch.from_arrays([keys, texts_out, pa.array(np.bincount(row, minlength=len(keys)), pa.int64())], names=[key, text, "n_spans"])
 
     return _mapped(texts, text, key, f"{key} {texts.schema[key].dataType.simpleString()}, {text} string, n_spans bigint", make, field, batch_bytes, True)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.llm.consensus import chi2_quantile
-from sievemark.llm.words import hashed, replace, runs, small_batches, text_bytes
+from sievemark.llm.words import hashed, replace, runs, small_batches, text_bytes, valid_text
 from sievemark.session import checkpointed
 
 #: The commonest function words of each language. Fixed values.
@@ -135,7 +135,7 @@ def _line_shares(texts: pa.Array, n: int) -> dict[str, np.ndarray]:
 
 def measure(texts: pa.Array, declared: pa.Array) -> dict[str, np.ndarray | list[str]]:
     """The statistics of texts without nulls, and the sizes they were measured on."""
-    texts = replace(texts.cast(pa.large_string()), _HIDDEN, "")
+    texts = replace(valid_text(texts), _HIDDEN, "")
     data, offsets = text_bytes(texts)
     kinds, lower = _alphabet()
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # offsets in characters

@@ -18,9 +18,19 @@ def replace(texts: pa.Array, pattern: str, by: str) -> pa.Array:
     return pc.replace_substring_regex(texts, pattern, by)
 
 
+def valid_text(texts: pa.Array) -> pa.Array:
+    """The texts as large_string; where bytes are no UTF-8, a replacement character stands for them."""
+    t = texts.cast(pa.large_string())
+    try:
+        text_bytes(pc.fill_null(t, ""))[0].tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        t = pa.array([None if x is None else x.decode("utf-8", "replace") for x in t.cast(pa.large_binary()).to_pylist()], pa.large_string())
+    return t
+
+
 def plain_words(texts: pa.Array) -> pa.Array:
     """Texts without case, punctuation, spacing and markup: words of letters and digits between single blanks. Null becomes empty."""
-    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    t = pc.fill_null(valid_text(texts), "")
     wide = pc.invert(pc.string_is_ascii(t))
     if pc.any(wide).as_py():  # full-width letters, ligatures and split accents are the letters they stand for
         t = pc.replace_with_mask(t, wide, pa.array([unicodedata.normalize("NFKC", x) for x in t.filter(wide).to_pylist()], pa.large_string()))
