@@ -217,23 +217,24 @@ def rogan_gladen(apparent: float, sensitivity: float, specificity: float) -> flo
 
 
 def corrected_prevalence(apparent: float, cells: dict[str, int], n_boot: int = 2000, seed: int = 0) -> dict:
-    """Point, percentile interval and skipped draws, the gold counts resampled."""
+    """Point, percentile interval and skipped draws, the gold counts resampled; an error where they do not identify the instrument's errors."""
     names = ("tp", "fp", "fn", "tn")
     n = np.array([cells[k] for k in names])
 
-    def one(c: np.ndarray) -> float | None:
+    def one(c: np.ndarray) -> float:
         tp, fp, fn, tn = c
         if tp + fn == 0 or tn + fp == 0:
-            return None
+            raise AnalysisError("the gold labels lack one of the two classes")
+        return rogan_gladen(apparent, tp / (tp + fn), tn / (tn + fp))
+
+    def drawn(c: np.ndarray) -> float | None:
         try:
-            return rogan_gladen(apparent, tp / (tp + fn), tn / (tn + fp))
+            return one(c)
         except AnalysisError:
             return None
 
     point = one(n)
-    if point is None:
-        raise AnalysisError("the gold labels do not identify the instrument's errors")
-    draws = [one(d) for d in np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), size=n_boot)]
+    draws = [drawn(d) for d in np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), size=n_boot)]
     good = [d for d in draws if d is not None]
     lo, hi = np.percentile(good, [2.5, 97.5]) if good else (None, None)
     return {"point": point, "lo": None if lo is None else float(lo), "hi": None if hi is None else float(hi), "skipped": len(draws) - len(good)}

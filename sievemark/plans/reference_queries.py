@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.contracts import FAILURE_ROLES, TECHNOLOGY_TYPES, Config
+from sievemark.contracts import FAILURE_ROLES, TECHNOLOGY_TYPES, AnalysisError, Config
 from sievemark.functions import diffusion
 from sievemark.functions.hashing import stable_doc_id
 from sievemark.functions.keys import facility_key, tag_key
@@ -634,10 +634,15 @@ def rogan_gladen_point(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def corrected_prevalence(spark, d):  # noqa: ANN001, ANN201
+    """Where the correction refuses, its reason stands in the place of an estimate, as in the reference's stage."""
     c = _cells(spark, d).first().asDict()
     p = model(spark, d).agg(F.avg(F.col("pred").cast("int"))).first()[0]
-    b = stats.corrected_prevalence(p, c, 2000, 3)
-    return spark.createDataFrame([(b["point"], b["lo"], b["hi"], b["skipped"])], "point double, lo double, hi double, skipped int")
+    try:
+        b = stats.corrected_prevalence(p, c, 2000, 3)
+        row = (b["point"], b["lo"], b["hi"], b["skipped"], None)
+    except AnalysisError as e:
+        row = (None, None, None, None, str(e))
+    return spark.createDataFrame([row], "point double, lo double, hi double, skipped int, correction_unavailable string")
 
 
 @query()
