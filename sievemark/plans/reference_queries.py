@@ -627,9 +627,12 @@ def two_way_effects(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {_GOLD}, {_CELLS}, a AS (SELECT avg(pred::INT) AS p FROM model) SELECT round(p, 6) AS apparent, round(greatest(0, least(1, (p + tn / (tn + fp) - 1) / (tp / (tp + fn) + tn / (tn + fp) - 1))), 6) AS corrected FROM cells, a")
 def rogan_gladen_point(spark, d):  # noqa: ANN001, ANN201
-    c = _cells(spark, d).first()
-    p = model(spark, d).agg(F.avg(F.col("pred").cast("int"))).first()[0]
-    return r6(spark.createDataFrame([(p, stats.rogan_gladen(p, c["tp"] / (c["tp"] + c["fn"]), c["tn"] / (c["tn"] + c["fp"])))], "apparent double, corrected double"))
+    """The bare formula, near chance too, and 1 where it is undefined, as in the SQL; `corrected_prevalence` is what refuses there."""
+    apparent = model(spark, d).agg(F.avg(F.col("pred").cast("int")).alias("apparent"))
+    cells = agreement.sensitivity_specificity(_cells(spark, d)).crossJoin(apparent)
+    above, power = F.col("apparent") + F.col("specificity") - 1, F.col("sensitivity") + F.col("specificity") - 1
+    corrected = F.when(power != 0, F.try_divide(above, power)).when(above < 0, 0.0)
+    return r6(cells.select("apparent", F.greatest(F.lit(0.0), F.least(F.lit(1.0), corrected)).alias("corrected")))
 
 
 @query()

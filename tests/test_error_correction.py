@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from sievemark.plans import reference_queries
+from tests.oracle import connect, same
 
 
 def tables(folder, tp, fp, fn, tn, extra_true=0, extra_false=0):
@@ -29,3 +30,14 @@ def test_refused_correction_is_a_row_with_its_reason(spark, tmp_path, cells, rea
 def test_correction_has_no_reason_where_it_is_made(spark, tmp_path):
     r = reference_queries.QUERIES["corrected_prevalence"](spark, tables(tmp_path, 80, 10, 20, 90)).first()
     assert r["point"] == pytest.approx(0.5) and r["lo"] < r["point"] < r["hi"] and r["skipped"] == 0 and r["correction_unavailable"] is None
+
+
+@pytest.mark.parametrize(
+    "cells, want",
+    [((33, 31, 67, 69), 0.5), ((80, 10, 20, 90), 0.5), ((5, 5, 5, 5), 1.0), ((5, 5, 5, 5, 0, 2), 0.0), ((5, 5, 5, 5, 2, 0), 1.0), ((49, 51, 51, 49, 9, 0), 0.0), ((0, 4, 0, 6), 1.0), ((3, 0, 4, 0), 1.0), ((0, 0, 0, 0, 2, 3), 1.0), ((0, 0, 0, 0), 1.0)],
+)
+def test_point_is_the_sqls_at_and_near_chance(spark, tmp_path, cells, want):
+    folder = tables(tmp_path, *cells)
+    df = reference_queries.QUERIES["rogan_gladen_point"](spark, folder)
+    same(df, connect(folder), reference_queries.SQL["rogan_gladen_point"])
+    assert df.first()["corrected"] == pytest.approx(want)
